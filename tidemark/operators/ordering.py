@@ -82,16 +82,16 @@ def in_chunks(
     last ``halo`` rows of the chunk before it, marked ``_own = false``, so that windows
     reaching back at most ``halo`` rows are complete inside one chunk.
     """
-    placed = global_position(df, [*group, *order], "_pos", "_n", partitions)
-    size = _chunk_rows(df, F.col("_n"), halo, chunk_rows)
-    placed = placed.withColumn("_rows", size).withColumn("_home", F.floor(F.col("_pos") / F.col("_rows")))
+    placed = global_position(df, [*group, *order], "_pos", "_stream_rows", partitions)
+    size = _chunk_rows(df, F.col("_stream_rows"), halo, chunk_rows)
+    placed = placed.withColumn("_chunk_rows", size).withColumn("_home", F.floor(F.col("_pos") / F.col("_chunk_rows")))
     if halo:
-        near_end = F.col("_pos") % F.col("_rows") >= F.col("_rows") - F.lit(halo)
+        near_end = F.col("_pos") % F.col("_chunk_rows") >= F.col("_chunk_rows") - F.lit(halo)
         targets = F.when(near_end, F.array("_home", F.col("_home") + 1)).otherwise(F.array("_home"))
         placed = placed.withColumn("_chunk", F.explode(targets)).withColumn("_own", F.col("_chunk") == F.col("_home"))
     else:
         placed = placed.withColumn("_chunk", F.col("_home"))
-    return placed.drop("_n", "_rows", "_home")
+    return placed.drop("_stream_rows", "_chunk_rows", "_home")
 
 
 def look_back(
