@@ -90,42 +90,48 @@ FLOW_ORDER_SQL = '"Timestamp", l_orderkey, l_linenumber, l_partkey, l_suppkey, l
 # --- dirty: events with planted defects -------------------------------------------------
 
 
-def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Missing, infinite and repeated values, constant columns and untidy labels."""
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing and infinite values, constant columns, mixed time shapes and untidy labels."""
     i = F.col("event_id")
     nan, inf = F.lit(float("nan")), F.lit(INF)
     base = table(spark, sf_dir, "events").withColumn("k", prop_k())
-    planted = base.select(
+    return base.select(
         "event_id",
         F.col("user_id").alias("Source IP"),
         F.concat_ws("-", "user_id", "k").alias("Flow ID"),
-        F.date_format("ts", "d/M/yyyy H:mm:ss").alias("Timestamp"),
+        F.when(i % 61 == 7, "not a time").when(i % 3 == 0, F.date_format("ts", "d/M/yyyy H:mm"))
+        .otherwise(F.date_format("ts", "d/M/yyyy H:mm:ss")).alias("Timestamp"),
         F.when(i % 97 == 0, None).when(i % 101 == 1, inf).when(i % 103 == 2, -inf).when(i % 107 == 3, nan)
         .otherwise(F.col("value")).alias("Flow Bytes/s"),
         F.when(i % 89 == 4, None).when(i % 83 == 5, inf).otherwise(F.col("k").cast("double")).alias("Flow Packets/s"),
         F.lit(7.0).alias("const_all"),
-        F.when(i % 200 == 0, 1.0).otherwise(0.0).alias("const_most"),
+        F.when(i % 400 == 0, 1.0).otherwise(0.0).alias("const_most"),
         F.when(i % 211 == 6, None)
         .when(F.col("event_type") == "view", F.when(i % 2 == 0, "  Benign ").otherwise("benign"))
         .when(F.col("event_type") == "click", "BENIGN")
         .otherwise(F.concat(F.lit(" "), F.initcap("event_type"))).alias(" Label"),
     )
-    again = planted.filter(i % 50 == 0)
-    return planted.unionByName(again)
+
+
+def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``planted`` with every fiftieth row repeated."""
+    rows = planted(spark, sf_dir)
+    return rows.unionByName(rows.filter(F.col("event_id") % 50 == 0))
 
 
 DIRTY_SQL = """
 planted AS (
   SELECT event_id, user_id AS "Source IP",
     user_id || '-' || regexp_extract(props, '"k": *([0-9]+)', 1) AS "Flow ID",
-    strftime(ts, '%-d/%-m/%Y %-H:%M:%S') AS "Timestamp",
+    CASE WHEN event_id % 61 = 7 THEN 'not a time' WHEN event_id % 3 = 0 THEN strftime(ts, '%-d/%-m/%Y %-H:%M')
+         ELSE strftime(ts, '%-d/%-m/%Y %-H:%M:%S') END AS "Timestamp",
     CASE WHEN event_id % 97 = 0 THEN NULL WHEN event_id % 101 = 1 THEN CAST('inf' AS DOUBLE)
          WHEN event_id % 103 = 2 THEN CAST('-inf' AS DOUBLE) WHEN event_id % 107 = 3 THEN CAST('nan' AS DOUBLE)
          ELSE value END AS "Flow Bytes/s",
     CASE WHEN event_id % 89 = 4 THEN NULL WHEN event_id % 83 = 5 THEN CAST('inf' AS DOUBLE)
          ELSE CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS DOUBLE) END AS "Flow Packets/s",
     7e0 AS const_all,
-    CASE WHEN event_id % 200 = 0 THEN 1e0 ELSE 0e0 END AS const_most,
+    CASE WHEN event_id % 400 = 0 THEN 1e0 ELSE 0e0 END AS const_most,
     CASE WHEN event_id % 211 = 6 THEN NULL
          WHEN event_type = 'view' THEN CASE WHEN event_id % 2 = 0 THEN '  Benign ' ELSE 'benign' END
          WHEN event_type = 'click' THEN 'BENIGN'
