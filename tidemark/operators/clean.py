@@ -63,9 +63,8 @@ def impute(df: DataFrame, values: dict[str, float]) -> DataFrame:
     """Replace NULL by the given values; whole-number columns keep their type and take the rounded value."""
 
     def filled(c: str) -> Column:
-        return F.coalesce(col(c), F.round(F.lit(values[c])).cast(df.schema[c].dataType)) if not is_floating(
-            df.schema[c].dataType
-        ) else F.coalesce(col(c), F.lit(values[c]))
+        kind, value = df.schema[c].dataType, F.lit(values[c])
+        return F.coalesce(col(c), value if is_floating(kind) else F.round(value).cast(kind))
 
     return df.select(*[filled(c).alias(c) if c in values else col(c) for c in df.columns])
 

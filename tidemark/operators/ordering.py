@@ -168,9 +168,10 @@ def position_in_group(df: DataFrame, group: list[str], order: list[str | Column]
 
 
 def quantiles_by_group(
-    df: DataFrame, group: list[str], value: str, points: dict[str, float], partitions: int | None = None
+    df: DataFrame, group: list[str], value: str, points: dict[str, float], distinct: str | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Exact linear-interpolated quantiles per group.
+    """Exact linear-interpolated quantiles per group, and on request the number of distinct values.
 
     The built-in exact ``percentile`` keeps all values of a group in one task.  Here equal
     values are counted first, the counts are summed along the order across partitions, and
@@ -185,9 +186,10 @@ def quantiles_by_group(
         rank = F.lit(float(q)) * (F.col("_size") - 1)
         picks.append(F.min(F.when(F.col("_upto") > F.floor(rank), col(value))).alias(f"_lo_{name}"))
         picks.append(F.min(F.when(F.col("_upto") > F.ceil(rank), col(value))).alias(f"_hi_{name}"))
-    out = joined.groupBy(*group).agg(F.first("_size").alias("_size"), *picks)
+    out = joined.groupBy(*group).agg(F.first("_size").alias("_size"), F.count(F.lit(1)).alias("_distinct"), *picks)
     for name, q in points.items():
         rank = F.lit(float(q)) * (F.col("_size") - 1)
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         out = out.withColumn(name, lo + (hi - lo) * (rank - F.floor(rank)))
-    return out.select(*group, *points)
+    extra = [F.col("_distinct").alias(distinct)] if distinct else []
+    return out.select(*group, *points, *extra)

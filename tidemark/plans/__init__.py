@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("quality", "preparation", "splitting")
+_MODULES = ("quality", "preparation", "splitting", "distributions", "traffic")
 
 
 def load_all() -> None:

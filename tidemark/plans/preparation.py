@@ -296,7 +296,7 @@ def scale_train_fit(spark, sf_dir):
 @query(
     "coerce_zero",
     """WITH kev AS (SELECT *, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) AS k FROM events)
-SELECT event_id AS packet_id, CASE WHEN event_id % 131 = 0 THEN 0e0 ELSE value END AS length,
+SELECT event_id AS packet_id, CASE WHEN event_id % 131 = 0 THEN 0e0 ELSE round(value) END AS length,
   CASE WHEN k > 20 THEN k * 1e2 ELSE 0e0 END AS "window", CASE WHEN k % 3 = 0 OR k = 50 THEN 0e0 ELSE 443e0 END AS tcp_dstport FROM kev""",
 )
 def coerce_zero(spark, sf_dir):

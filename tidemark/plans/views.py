@@ -150,7 +150,8 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = table(spark, sf_dir, "events")
     return base.select(
         F.col("event_id").alias("packet_id"),
-        (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("time"),
+        # whole 64ths of a second, so that time differences are exact in every engine
+        (F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 15625) / 64.0).alias("time"),
         F.when(odd, dst).otherwise(src).alias("src"),
         F.when(odd, src).otherwise(dst).alias("dst"),
         F.when(k % 3 == 0, None).otherwise((1000 + k % 2).cast("string")).alias("tcp_srcport"),
@@ -158,7 +159,7 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 3 == 0, "53").alias("udp_srcport"),
         F.when(k % 3 == 0, "53").alias("udp_dstport"),
         F.when(k % 3 == 0, 17).otherwise(6).alias("proto"),
-        F.when(F.col("event_id") % 131 == 0, None).otherwise(F.col("value").cast("string")).alias("length"),
+        F.when(F.col("event_id") % 131 == 0, None).otherwise(F.round("value").cast("long").cast("string")).alias("length"),
         F.when(k == 99, "zz").when(k == 98, None).otherwise(F.concat(F.lit("0x"), F.lower(F.hex(k)))).alias("flags"),
         F.when(k > 20, (k * 100).cast("string")).alias("window"),
     )
@@ -167,13 +168,13 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 PACKETS_SQL = """
 kev AS (SELECT *, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) AS k FROM events),
 packets AS (
-  SELECT event_id AS packet_id, epoch_us(ts) / 1e6 AS "time",
+  SELECT event_id AS packet_id, floor(epoch_us(ts) / 15625) / 64e0 AS "time",
     CASE WHEN k % 2 = 1 THEN 'h' || (k % 7) ELSE CAST(user_id AS VARCHAR) END AS src,
     CASE WHEN k % 2 = 1 THEN CAST(user_id AS VARCHAR) ELSE 'h' || (k % 7) END AS dst,
     CASE WHEN k % 3 = 0 THEN 53 ELSE 1000 + k % 2 END AS srcport,
     CASE WHEN k % 3 = 0 THEN 53 WHEN k = 50 THEN 0 ELSE 443 END AS dstport,
     CASE WHEN k % 3 = 0 THEN 17 ELSE 6 END AS proto,
-    CASE WHEN event_id % 131 = 0 THEN 0e0 ELSE value END AS length,
+    CASE WHEN event_id % 131 = 0 THEN 0e0 ELSE round(value) END AS length,
     CASE WHEN k >= 98 THEN NULL ELSE k END AS flags,
     CASE WHEN k > 20 THEN k * 100e0 END AS win
   FROM kev)"""
