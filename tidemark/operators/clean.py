@@ -96,11 +96,11 @@ def near_constant_shares(df: DataFrame, columns: list[str], threshold: float = 0
         shares = top.select(F.col("feature").alias("column"), ratio(F.col("top"), F.col("n")).alias("top_share"), (F.col("values") <= 1).alias("single"))
     else:
         value = {c: F.when(~missing(df, c), col(c).cast("double")) for c in columns}
-        middle = df.agg(F.struct(*[F.percentile_approx(value[c], 0.5, 10000).alias(f"_{i}") for i, c in enumerate(columns)]).alias("m")).scalar()
+        middle = df.agg(*[F.percentile_approx(value[c], 0.5, 10000).alias(f"_{i}") for i, c in enumerate(columns)]).first()
         row = df.agg(*[
             F.struct(
                 F.lit(c).alias("column"),
-                ratio(F.count_if(value[c] == middle.getField(f"_{i}")), F.count(value[c])).alias("top_share"),
+                ratio(F.count_if(value[c] == F.lit(middle[i])), F.count(value[c])).alias("top_share"),
                 F.coalesce(F.min(value[c]) == F.max(value[c]), F.lit(True)).alias("single"),
             ).alias(f"_{i}")
             for i, c in enumerate(columns)

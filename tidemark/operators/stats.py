@@ -131,21 +131,24 @@ def windowed_feature_stats(df: DataFrame, features: list[str], pos: str, n: Colu
 def feature_histogram(df: DataFrame, features: list[str], bins: int = 50, in_second: Column | None = None) -> DataFrame:
     """Counts and densities in equal bins between the finite extremes; empty bins included.
 
-    The extremes of all features are one row; every cell finds its bin by arithmetic.
+    The extremes of all features are one row that reaches the driver; every cell then finds
+    its bin by arithmetic.
     With ``in_second`` both samples share the bins and have their own density.
     """
     side = F.when(in_second, "b").otherwise("a") if in_second is not None else F.lit("a")
     values = df.select(side.alias("side"), *[finite(col(f).cast("double")).alias(f"_{i}") for i, f in enumerate(features)])
-    ends = values.agg(F.struct(*[
-        F.struct(F.min(f"_{i}").alias("lo"), F.max(f"_{i}").alias("hi")).alias(f"_{i}") for i in range(len(features))
-    ]).alias("e")).scalar()
+    ends = values.agg(*[x for i in range(len(features)) for x in (F.min(f"_{i}").alias(f"lo{i}"), F.max(f"_{i}").alias(f"hi{i}"))]).first()
     sides = ("a", "b") if in_second is not None else ("a",)
     cells = []
     for i, f in enumerate(features):
-        e, v = ends.getField(f"_{i}"), F.col(f"_{i}")
-        lo, width = e.getField("lo"), e.getField("hi") - e.getField("lo")
-        at = F.when(width > 0, F.least(F.floor((v - lo) / width * bins), F.lit(bins - 1))).otherwise(0)
-        cells.append(F.struct(F.lit(f).alias("feature"), F.when(v.isNotNull(), at).cast("long").alias("bin"), lo.alias("lo"), width.alias("width")))
+        lo, hi = ends[f"lo{i}"], ends[f"hi{i}"]
+        if lo is None:
+            continue
+        v, width = F.col(f"_{i}"), hi - lo
+        at = F.least(F.floor((v - lo) / width * bins), F.lit(bins - 1)) if width > 0 else F.lit(0)
+        cells.append(F.struct(
+            F.lit(f).alias("feature"), F.when(v.isNotNull(), at).cast("long").alias("bin"), F.lit(lo).alias("lo"), F.lit(width).alias("width")
+        ))
     counted = (
         values.select("side", F.explode(F.array(*cells)).alias("c")).select("side", "c.*").filter("bin IS NOT NULL")
         .groupBy("feature", "side", "bin", "lo", "width").agg(F.count(F.lit(1)).alias("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("quality", "preparation", "splitting", "distributions", "traffic")
+_MODULES = ("quality", "preparation", "splitting", "distributions", "traffic", "drift")
 
 
 def load_all() -> None:
