@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("quality", "preparation", "splitting", "distributions", "traffic", "drift")
+_MODULES = ("quality", "preparation", "splitting", "distributions", "traffic", "drift", "experiments", "storage", "learning", "feeds")
 
 
 def load_all() -> None:

@@ -57,7 +57,7 @@ def attack_rate_drift(spark, sf_dir):
     rows = scored(spark, sf_dir).withColumn("attack", (F.col("y_pred") == "ATTACK").cast("double"))
     share = rows.agg(F.avg("attack")).scalar()
     rows = rows.withColumn("signal", F.when(share > 0, F.col("attack")).otherwise(0.5))
-    return _tidy(dt.detect(rows, [], ["pos"], "signal"))
+    return _tidy(dt.detect(rows, ["event_type"], ["pos"], "signal"))
 
 
 @query("drift_events")
