@@ -7,9 +7,10 @@ import time
 from dataclasses import dataclass, field
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,12 +28,6 @@ GBT_DEFAULTS = {"maxIter": 200, "maxDepth": 8, "stepSize": 0.1}
 FOREST_DEFAULTS = {"numTrees": 200, "maxDepth": 20, "minInstancesPerNode": 2}
 
 
-def with_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    """Balanced class weight per row; the weight table has one row per label."""
-    weights = class_weights(df, label).select(F.col("label").alias("_label"), F.col("weight").alias(name))
-    return df.join(weights, col(label) == F.col("_label")).drop("_label")
-
-
 @dataclass
 class Classifier:
     """A fitted model with the feature list it was fitted on."""
@@ -62,9 +57,13 @@ class Classifier:
 
 def train(df: DataFrame, features: list[str], label: str, algorithm: str = "gbt", balanced: bool = True, seed: int = 42, **params) -> Classifier:
     """Fit gradient-boosted trees (two labels) or a random forest on the given columns."""
-    rows = df.select(*[col(f).cast("double").alias(f) for f in features], col(label))
-    rows = with_weights(rows, label) if balanced else rows.withColumn("weight", F.lit(1.0))
-    index = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(rows)
+    rows = df.select(*[col(f).cast("double").alias(f) for f in features], col(label)).filter(col(label).isNotNull())
+    # one row per label: the weights, and the label index without another pass
+    weights = {r["label"]: r["weight"] if balanced else 1.0 for r in class_weights(rows, label).orderBy("label").collect()}
+    labels = list(weights)
+    index = StringIndexerModel.from_labels(labels, inputCol=label, outputCol="_y")
+    by_label = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
+    rows = index.transform(rows).withColumn("weight", by_label[col(label)])
     vector = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep")
     common = {"featuresCol": "_x", "labelCol": "_y", "weightCol": "weight", "seed": seed}
     if algorithm == "gbt":
@@ -73,8 +72,13 @@ def train(df: DataFrame, features: list[str], label: str, algorithm: str = "gbt"
         tree = RandomForestClassifier(**common, **{**FOREST_DEFAULTS, **params})
     else:
         raise ValueError(f"unknown algorithm {algorithm!r}; known: gbt, rf")
-    back = IndexToString(inputCol="prediction", outputCol="y_pred", labels=index.labels)
-    fitted = Pipeline(stages=[vector, tree]).fit(index.transform(rows))
+    back = IndexToString(inputCol="prediction", outputCol="y_pred", labels=labels)
+    # the trees pass over the rows many times; lost blocks are recomputed from the input
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fitted = Pipeline(stages=[vector, tree]).fit(rows)
+    finally:
+        rows.unpersist()
     return Classifier(PipelineModel([*fitted.stages, back]), features)
 
 

@@ -13,7 +13,7 @@ from tidemark.plans.views import scored, table
 from tidemark.workspace import new_path
 
 FEATURES = ["value", "k", "hour"]
-SMALL = {"maxIter": 5, "maxDepth": 4}  # enough trees for a rule of two features
+SMALL = {"maxIter": 3, "maxDepth": 3}  # enough trees for a rule of two features
 FOREST = {"numTrees": 10, "maxDepth": 6}
 
 
