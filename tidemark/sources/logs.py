@@ -84,7 +84,8 @@ def _flat(df: DataFrame) -> DataFrame:
 def write_result(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Write a result as it is partitioned; nothing is gathered into one file."""
     if fmt == "csv":
-        _flat(df).write.mode("errorifexists").option("header", True).csv(path)
+        # quotes are doubled, as other CSV readers expect
+        _flat(df).write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
     elif fmt == "json":
         df.write.mode("errorifexists").json(path)
     elif fmt == "parquet":
