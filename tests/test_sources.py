@@ -45,6 +45,8 @@ def test_samples_repeat_whatever_the_partitioning(spark):
     assert ids(tb.sample_n(df, 50, ["id"])) == ids(tb.sample_n(df.repartition(7), 50, ["id"]))
     assert 150 < tb.sample_fraction(df, 0.2, ["id"]).count() < 250
     assert ids(tb.row_cap(df.repartition(5), 3, ["id"])) == [0, 1, 2]
+    large = tb.row_cap(spark.range(150_000), tb.TOP_K_ROWS + 1, ["id"])
+    assert large.count() == tb.TOP_K_ROWS + 1 and large.agg(F.max("id")).first()[0] == tb.TOP_K_ROWS
 
 
 def test_logs_replace_repeated_batches(spark):

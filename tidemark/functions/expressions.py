@@ -74,3 +74,12 @@ def long_form(df: DataFrame, features: list[str], keep: list[str | Column] | Non
     return df.select(*kept, F.explode(cells).alias("_cell")).select(
         *[col(n) for n in df.select(*kept).columns], "_cell.feature", "_cell.value"
     )
+
+
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on same-named keys where NULL equals NULL, so that no group gets lost."""
+    right = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    match = F.lit(True)
+    for k in keys:
+        match = match & col(k).eqNullSafe(col(f"_r_{k}"))
+    return left.join(right, match, how).drop(*[f"_r_{k}" for k in keys])

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.expressions import col
+from tidemark.functions.expressions import col, join_on
 from tidemark.operators.detectors import DetectorFold, create
-from tidemark.operators.evaluate import cumulative_error, rolling_error
 from tidemark.operators.ordering import look_back, position_in_group, running
 from tidemark.operators.streams import CHUNK_ROWS, fold_streams
 
@@ -25,6 +24,7 @@ def detect(
     grid: dict[str, dict] | None = None,
     states: tuple[str, ...] = ("drift",),
     chunk_rows: int = CHUNK_ROWS,
+    rank: str | None = None,
 ) -> DataFrame:
     """One row per drift (and warning, if asked for) of every stream.
 
@@ -34,7 +34,7 @@ def detect(
     grid = grid or {"default": params or {}}
     for p in grid.values():
         create(method, **p)  # an unknown name or parameter fails here, not in a task
-    return fold_streams(df, key, order, value, lambda: DetectorFold(method, grid, states), DRIFT_FIELDS, chunk_rows)
+    return fold_streams(df, key, order, value, lambda: DetectorFold(method, grid, states), DRIFT_FIELDS, chunk_rows, rank)
 
 
 def sensitivity(
@@ -51,7 +51,7 @@ def sensitivity(
     )
     streams = df.select(*key).distinct() if key else df.agg(F.count(F.lit(1)).alias("_rows")).drop("_rows")
     every = streams.withColumn("config", F.explode(F.array(*[F.lit(str(d)) for d in deltas])))
-    joined = every.join(stats, [*key, "config"], "left")
+    joined = join_on(every, stats, [*key, "config"], "left")
     return joined.withColumn("n_alarms", F.coalesce("n_alarms", F.lit(0))).withColumnRenamed("config", "delta")
 
 
@@ -59,10 +59,27 @@ def drift_events(
     df: DataFrame, key: list[str], order: list[str], error: str, method: str = "adwin", params: dict | None = None,
     model_version: str = "v1", rolling_rows: int = 500, **kw
 ) -> DataFrame:
-    """The drift-event table: id, detector, position, model, window, recent and overall error, state."""
-    found = detect(df, key, order, error, method, params, **kw)
-    errors = cumulative_error(rolling_error(df.select(*key, *order, error), key, order, error, rolling_rows), key, order, error)
-    joined = found.join(errors.drop(error), [*key, *order])
+    """The drift-event table: id, detector, position, model, window, recent and overall error, state.
+
+    The stream is ranked and its errors are summed in one sort.  Only the two ends of each
+    event's recent stretch are looked up, by equality on the rank.
+    """
+    what = {"_n": ("sum", F.lit(1).cast("long")), "_errors": ("sum", col(error).cast("double"))}
+    ranked = running(df.select(*key, *order, error), key, order, what).withColumn("_rank", F.col("_n") - 1)
+    found = detect(ranked, key, order, error, method, params, rank="_rank", **kw)
+    ends = F.array(
+        F.struct(F.col("n_seen").alias("_n"), F.lit(True).alias("_end")),
+        F.struct((F.col("n_seen") - rolling_rows).alias("_n"), F.lit(False).alias("_end")),
+    )
+    probes = found.select(*key, "n_seen", F.explode(ends).alias("e")).select(*key, "n_seen", "e.*")
+    sums = join_on(ranked.select(*key, "_n", "_errors"), probes, [*key, "_n"]).groupBy(*key, "n_seen").agg(
+        F.sum(F.when(F.col("_end"), F.col("_errors"))).alias("_upto"),
+        F.coalesce(F.sum(F.when(~F.col("_end"), F.col("_errors"))), F.lit(0.0)).alias("_before"),
+    )
+    joined = join_on(found, sums, [*key, "n_seen"]).withColumns({
+        "rolling_error": (F.col("_upto") - F.col("_before")) / F.least("n_seen", F.lit(rolling_rows)),
+        "cumulative_error": F.col("_upto") / F.col("n_seen"),
+    })
     numbered = position_in_group(joined, [], [*order, *key], "event_no")
     return numbered.select(
         F.concat(F.lit("drift-"), F.lpad((F.col("event_no") + 1).cast("string"), 6, "0")).alias("event_id"),

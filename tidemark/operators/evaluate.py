@@ -180,10 +180,20 @@ def metric_range(windows: DataFrame, metric: str = "f1", by: list[str] | None =
 def rolling_error(
     df: DataFrame, key: list[str], order: list[str], error: str = "err", rows: int = 500, name: str = "rolling_error", **kw
 ) -> DataFrame:
-    """Mean of the last ``rows`` errors per stream; shorter at the start."""
-    return look_back(
-        df, key, order, rows - 1, lambda w: {name: F.avg(col(error)).over(w.rowsBetween(-(rows - 1), 0))}, **kw
-    )
+    """Mean of the last ``rows`` errors per stream; shorter at the start.
+
+    The difference of two running sums costs the same for any ``rows``; a sliding frame
+    would add up ``rows`` values for every row.
+    """
+
+    def build(w):
+        so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+        return [
+            {"_sum": F.sum(col(error)).over(so_far), "_at": F.row_number().over(w)},
+            {name: (F.col("_sum") - F.coalesce(F.lag("_sum", rows).over(w), F.lit(0))) / F.least("_at", F.lit(rows))},
+        ]
+
+    return look_back(df, key, order, rows, build, **kw).drop("_sum", "_at")
 
 
 def cumulative_error(

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from tidemark.functions.expressions import col
+from tidemark.functions.expressions import col, join_on
 from tidemark.workspace import materialize
 
 MIN_CHUNK_ROWS = 4_096
@@ -64,7 +64,8 @@ def _chunk_rows(df: DataFrame, total: Column, at_least: int, chunk_rows: int | N
     if chunk_rows:
         return F.lit(max(chunk_rows, at_least)).cast("long")
     slots = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    even = F.least(F.lit(MAX_CHUNK_ROWS), F.ceil(total / F.lit(slots)))
+    # four chunks per slot even out the hashing of chunk numbers to tasks
+    even = F.least(F.lit(MAX_CHUNK_ROWS), F.ceil(total / F.lit(4 * slots)))
     return F.greatest(even, F.lit(max(MIN_CHUNK_ROWS, at_least))).cast("long")
 
 
@@ -99,18 +100,19 @@ def look_back(
     group: list[str],
     order: list[str | Column],
     rows: int,
-    build: Callable[[WindowSpec], dict[str, Column]],
+    build: Callable[[WindowSpec], dict[str, Column] | list[dict[str, Column]]],
     chunk_rows: int | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
     """Window expressions that look at most ``rows`` rows back inside a group.
 
-    ``build`` receives the ordered window and returns the new columns.  A group of any
-    size is spread over many chunks.
+    ``build`` receives the ordered window and returns the new columns, or a list of them
+    where later ones use earlier ones.  A group of any size is spread over many chunks.
     """
-    cut = in_chunks(df, group, order, rows, chunk_rows, partitions)
-    window = Window.partitionBy("_chunk", *group).orderBy("_pos")
-    out = cut.select("*", *[c.alias(n) for n, c in build(window).items()])
+    out = in_chunks(df, group, order, rows, chunk_rows, partitions)
+    steps = build(Window.partitionBy("_chunk", *group).orderBy("_pos"))
+    for columns in steps if isinstance(steps, list) else [steps]:
+        out = out.select("*", *[c.alias(n) for n, c in columns.items()])
     return out.filter("_own").drop("_own", "_chunk", "_pos")
 
 
@@ -180,7 +182,7 @@ def quantiles_by_group(
     counted = df.filter(col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
     summed = running(counted, group, [value], {"_upto": ("sum", F.col("_n"))}, partitions=partitions)
     sizes = counted.groupBy(*group).agg(F.sum("_n").alias("_size"))
-    joined = summed.join(sizes, group) if group else summed.withColumn("_size", sizes.scalar())
+    joined = join_on(summed, sizes, group) if group else summed.withColumn("_size", sizes.scalar())
     picks = []
     for name, q in points.items():
         rank = F.lit(float(q)) * (F.col("_size") - 1)

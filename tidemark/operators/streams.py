@@ -32,20 +32,23 @@ def fold_streams(
     factory: Callable[[], object],
     fields: str,
     chunk_rows: int = CHUNK_ROWS,
+    rank: str | None = None,
 ) -> DataFrame:
     """Fold ``value`` of every stream in order.
 
     ``factory`` makes the fold of one stream.  Its ``push(chunk)`` gets the next rows as a
     pandas frame with ``_value`` and returns tuples whose first item is the row's index in
     the chunk; the other items are the ``fields`` (a DDL string).  The result has the key,
-    the order columns of that row and the fields.
+    the order columns of that row and the fields.  ``rank`` names a column that already
+    holds the 0-based rank in the stream, which saves sorting it again.
     """
     ship_package(df.sparkSession)
     keys = key or ["_stream"]
-    rows = df.select(*[col(c) for c in [*key, *order]], col(value).alias("_value"))
+    known = [col(rank).cast("long").alias("_seq")] if rank else []
+    rows = df.select(*[col(c) for c in [*key, *order]], col(value).alias("_value"), *known)
     if not key:
         rows = rows.withColumn("_stream", F.lit(0))
-    ranked = position_in_group(rows, keys, order, "_seq")
+    ranked = rows if rank else position_in_group(rows, keys, order, "_seq")
     extra = T.StructType.fromDDL(fields)
     outer = T.StructType([ranked.schema[k] for k in keys] + [ranked.schema[o] for o in order])
     out_schema = T.StructType([*outer.fields, *extra.fields, T.StructField("_state", T.BinaryType())])

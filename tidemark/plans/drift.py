@@ -25,7 +25,7 @@ def adwin_by_key(spark, sf_dir):
 
 @query("adwin_stream")
 def adwin_stream(spark, sf_dir):
-    return _tidy(dt.detect(_stream(spark, sf_dir), [], ["pos"], "err"))
+    return _tidy(dt.detect(_stream(spark, sf_dir), [], ["pos"], "err", rank="pos"))
 
 
 @query("ddm_by_key")
@@ -70,7 +70,7 @@ def drift_events(spark, sf_dir):
 def adwin_sensitivity(spark, sf_dir):
     rows = _stream(spark, sf_dir)
     n = rows.count()
-    return dt.sensitivity(rows, [], ["pos"], "err", injected=int(n * 0.6))
+    return dt.sensitivity(rows, [], ["pos"], "err", injected=int(n * 0.6), rank="pos")
 
 
 _KEYED = f"{SCORED_SQL}, s AS (SELECT event_type, pos, err, value, row_number() OVER w AS n, sum(err) OVER w AS e, sum(value) OVER w AS x FROM scored WINDOW w AS (PARTITION BY event_type ORDER BY pos))"

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.expressions import col, hash_bits, hash_uniform
+from tidemark.operators.ordering import global_position
+
+TOP_K_ROWS = 100_000
 
 # Public flow datasets with their label, time and column names.
 DATASETS = {
@@ -82,8 +85,14 @@ def scan_headerless(
 
 
 def row_cap(df: DataFrame, n: int, order: list[str]) -> DataFrame:
-    """The first ``n`` rows in the given order (each task keeps its own first ``n`` only)."""
-    return df.orderBy(*order).limit(n)
+    """The first ``n`` rows in the given total order.
+
+    A small cap is a top-k: each task keeps its own first ``n`` rows.  A large one would
+    move all its rows through one task, so it filters on the distributed rank instead.
+    """
+    if n <= TOP_K_ROWS:
+        return df.orderBy(*order).limit(n)
+    return global_position(df, order, "_rank").filter(F.col("_rank") < n).drop("_rank")
 
 
 def sample_fraction(df: DataFrame, fraction: float, key: list[str], seed: int = 42) -> DataFrame:
@@ -93,7 +102,7 @@ def sample_fraction(df: DataFrame, fraction: float, key: list[str], seed: int =
 
 def sample_n(df: DataFrame, n: int, key: list[str], seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows in hash order, the same ones on every run."""
-    return df.withColumn("_h", hash_bits(seed, *key)).orderBy("_h", *key).limit(n).drop("_h")
+    return row_cap(df.withColumn("_h", hash_bits(seed, *key)), n, ["_h", *key]).drop("_h")
 
 
 def normalize_labels(df: DataFrame, label: str, benign: tuple[str, ...]) -> DataFrame:
