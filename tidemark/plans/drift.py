@@ -18,6 +18,67 @@ def _tidy(df):
     return df.withColumn("estimation", r6("estimation"))
 
 
+# Detectors with restarts, as one step of a recursion per row of a stream.
+
+_STEPS = f"""{SCORED_SQL},
+s AS (SELECT event_type, pos, err, value, row_number() OVER (PARTITION BY event_type ORDER BY pos) AS i FROM scored)"""
+_FOUND = """SELECT event_type, pos, 'default' AS config, state, CAST(i AS BIGINT) AS n_seen, CAST(drifts AS BIGINT) AS n_drifts,
+  CAST(n AS BIGINT) AS window_size, round({estimate}, 6) AS estimation FROM st WHERE state <> ''"""
+
+_DDM_SQL = f"""WITH RECURSIVE {_STEPS},
+st AS (
+  SELECT DISTINCT event_type, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS e,
+    CAST('inf' AS DOUBLE) AS best, CAST('inf' AS DOUBLE) AS bp, CAST('inf' AS DOUBLE) AS bs, '' AS state, CAST(0 AS BIGINT) AS drifts FROM s
+  UNION ALL
+  SELECT event_type, i, pos, n, e, best, bp, bs, state, drifts + CASE WHEN state = 'drift' THEN 1 ELSE 0 END FROM (
+    SELECT *, CASE WHEN n <= 30 THEN '' WHEN p + sd > bp + 3e0 * bs THEN 'drift' WHEN p + sd > bp + 2e0 * bs THEN 'warning' ELSE '' END AS state FROM (
+      SELECT event_type, i, pos, n, e, p, sd, drifts,
+        CASE WHEN n > 30 AND p + sd <= best THEN p + sd ELSE best END AS best,
+        CASE WHEN n > 30 AND p + sd <= best THEN p ELSE bp END AS bp, CASE WHEN n > 30 AND p + sd <= best THEN sd ELSE bs END AS bs FROM (
+        SELECT *, sqrt(p * (1 - p) / n) AS sd FROM (
+          SELECT *, CAST(e AS DOUBLE) / n AS p FROM (
+            SELECT s.event_type, s.i, s.pos, st.drifts, CASE WHEN st.state = 'drift' THEN 1 ELSE st.n + 1 END AS n,
+              CASE WHEN st.state = 'drift' THEN s.err ELSE st.e + s.err END AS e,
+              CASE WHEN st.state = 'drift' THEN CAST('inf' AS DOUBLE) ELSE st.best END AS best,
+              CASE WHEN st.state = 'drift' THEN CAST('inf' AS DOUBLE) ELSE st.bp END AS bp,
+              CASE WHEN st.state = 'drift' THEN CAST('inf' AS DOUBLE) ELSE st.bs END AS bs
+            FROM st JOIN s ON s.event_type = st.event_type AND s.i = st.i + 1))))))
+{_FOUND.format(estimate='CAST(e AS DOUBLE) / n')}"""
+
+_EDDM_SQL = f"""WITH RECURSIVE {_STEPS},
+st AS (
+  SELECT DISTINCT event_type, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS last,
+    CAST(0 AS BIGINT) AS ds, CAST(0 AS BIGINT) AS dd, 0e0 AS top, '' AS state, CAST(0 AS BIGINT) AS drifts FROM s
+  UNION ALL
+  SELECT event_type, i, pos, n, k, last, ds, dd, top, state, drifts + CASE WHEN state = 'drift' THEN 1 ELSE 0 END FROM (
+    SELECT event_type, i, pos, n, k, last, ds, dd, top, drifts,
+      CASE WHEN err = 0 THEN zone WHEN k < 30 THEN '' WHEN lev / top < 9e-1 THEN 'drift' WHEN lev / top < 95e-2 THEN 'warning' ELSE '' END AS state FROM (
+      SELECT * EXCLUDE (top), CASE WHEN err = 1 AND k >= 30 THEN greatest(top, lev) ELSE top END AS top FROM (
+        SELECT *, CASE WHEN k > 0 THEN CAST(ds AS DOUBLE) / k + 2 * sqrt(greatest(0e0, CAST(dd AS DOUBLE) / k - CAST(ds AS DOUBLE) / k * (CAST(ds AS DOUBLE) / k))) END AS lev FROM (
+          SELECT event_type, i, pos, err, n, zone, drifts, top, k + err AS k, CASE WHEN err = 1 THEN n ELSE last END AS last,
+            ds + CASE WHEN err = 1 THEN n - last ELSE 0 END AS ds, dd + CASE WHEN err = 1 THEN (n - last) * (n - last) ELSE 0 END AS dd FROM (
+            SELECT s.event_type, s.i, s.pos, s.err, st.drifts, CASE WHEN f THEN 1 ELSE st.n + 1 END AS n, CASE WHEN f THEN 0 ELSE st.k END AS k,
+              CASE WHEN f THEN 0 ELSE st.last END AS last, CASE WHEN f THEN 0 ELSE st.ds END AS ds, CASE WHEN f THEN 0 ELSE st.dd END AS dd,
+              CASE WHEN f THEN 0e0 ELSE st.top END AS top, CASE WHEN f THEN '' ELSE st.state END AS zone
+            FROM (SELECT *, state = 'drift' AS f FROM st) st JOIN s ON s.event_type = st.event_type AND s.i = st.i + 1))))))
+{_FOUND.format(estimate='CASE WHEN k = 0 THEN 0e0 ELSE CAST(ds AS DOUBLE) / k END')}"""
+
+_PAGE_HINKLEY_SQL = f"""WITH RECURSIVE {_STEPS},
+st AS (
+  SELECT DISTINCT event_type, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS n, 0e0 AS x, 0e0 AS up, CAST('inf' AS DOUBLE) AS low,
+    0e0 AS down, CAST('-inf' AS DOUBLE) AS high, '' AS state, CAST(0 AS BIGINT) AS drifts FROM s
+  UNION ALL
+  SELECT event_type, i, pos, n, x, up, low, down, high, state, drifts + CASE WHEN state = 'drift' THEN 1 ELSE 0 END FROM (
+    SELECT *, CASE WHEN n >= 30 AND greatest(up - low, high - down) > 5e1 THEN 'drift' ELSE '' END AS state FROM (
+      SELECT * EXCLUDE (low, high), least(low, up) AS low, greatest(high, down) AS high FROM (
+        SELECT event_type, i, pos, n, x, drifts, low, high, 9999e-4 * up + (value - x / n) - 5e-3 AS up, 9999e-4 * down + (value - x / n) + 5e-3 AS down FROM (
+          SELECT s.event_type, s.i, s.pos, s.value, st.drifts, CASE WHEN f THEN 1 ELSE st.n + 1 END AS n, CASE WHEN f THEN s.value ELSE st.x + s.value END AS x,
+            CASE WHEN f THEN 0e0 ELSE st.up END AS up, CASE WHEN f THEN 0e0 ELSE st.down END AS down,
+            CASE WHEN f THEN CAST('inf' AS DOUBLE) ELSE st.low END AS low, CASE WHEN f THEN CAST('-inf' AS DOUBLE) ELSE st.high END AS high
+          FROM (SELECT *, state = 'drift' AS f FROM st) st JOIN s ON s.event_type = st.event_type AND s.i = st.i + 1)))))
+{_FOUND.format(estimate='x / n')}"""
+
+
 @query("adwin_by_key")
 def adwin_by_key(spark, sf_dir):
     return _tidy(dt.detect(_stream(spark, sf_dir), ["event_type"], ["pos"], "err"))
@@ -28,17 +89,17 @@ def adwin_stream(spark, sf_dir):
     return _tidy(dt.detect(_stream(spark, sf_dir), [], ["pos"], "err", rank="pos"))
 
 
-@query("ddm_by_key")
+@query("ddm_by_key", _DDM_SQL)
 def ddm_by_key(spark, sf_dir):
     return _tidy(dt.detect(_stream(spark, sf_dir), ["event_type"], ["pos"], "err", "ddm", states=("drift", "warning")))
 
 
-@query("eddm_by_key")
+@query("eddm_by_key", _EDDM_SQL)
 def eddm_by_key(spark, sf_dir):
     return _tidy(dt.detect(_stream(spark, sf_dir), ["event_type"], ["pos"], "err", "eddm", states=("drift", "warning")))
 
 
-@query("page_hinkley_by_key")
+@query("page_hinkley_by_key", _PAGE_HINKLEY_SQL)
 def page_hinkley_by_key(spark, sf_dir):
     return _tidy(dt.detect(_stream(spark, sf_dir, "value"), ["event_type"], ["pos"], "value", "page_hinkley"))
 
