@@ -79,12 +79,57 @@ st AS (
 {_FOUND.format(estimate='x / n')}"""
 
 
-@query("adwin_by_key")
+_LEVELS = range(14)  # buckets of up to 2**13 values: enough for the tables the check runs on
+
+
+def adwin_sql(relations: str, key: str, value: str, source: str, deltas: tuple[float, ...] = (0.002,)) -> str:
+    """ADWIN as a recursion: a step lets 32 values in and merges buckets, or drops the oldest bucket.
+
+    The state is the number of buckets per size; sums come from prefix sums of the stream.
+    The text defines ``drifts(g, config, pos, i, drifts, n, u)``.
+    """
+    grid = ", ".join(f"('{d}', CAST('{d}' AS DOUBLE))" for d in deltas)
+    enter = ", ".join(
+        f"st.k{j} + {'32' if j == 0 else f'p{j - 1}'} AS a{j}, CAST(greatest(0, ceil((a{j} - 5) / 2e0)) AS BIGINT) AS p{j}" for j in _LEVELS
+    )
+    top = "CASE " + " ".join(f"WHEN st.k{j} > 0 THEN {j}" for j in reversed(_LEVELS)) + " ELSE -1 END AS top"
+    after = ", ".join(f"CASE WHEN st.cut THEN st.k{j} - CASE WHEN top = {j} THEN 1 ELSE 0 END ELSE a{j} - 2 * p{j} END AS m{j}" for j in _LEVELS)
+    width = " + ".join(f"m{j} * {1 << j}" for j in _LEVELS)
+    sizes = "flatten([" + ", ".join(f"list_transform(range(m{j}), lambda z: CAST({1 << j} AS BIGINT))" for j in reversed(_LEVELS)) + "])"
+    levels = lambda name: ", ".join(f"{name.format(j=j)} AS k{j}" for j in _LEVELS)
+    recip = "(1e0 / (o - 4) + 1e0 / (n - o - 4))"
+    return f"""WITH RECURSIVE {relations},
+num AS (SELECT {key} AS g, pos, CAST({value} AS DOUBLE) AS x, row_number() OVER (PARTITION BY {key} ORDER BY pos) AS i FROM {source}),
+pre AS (SELECT g, i, sum(x) OVER w AS c, sum(x * x) OVER w AS q FROM num WINDOW w AS (PARTITION BY g ORDER BY i)),
+arr AS (SELECT g, list_prepend(0e0, list(c ORDER BY i)) AS c, list_prepend(0e0, list(q ORDER BY i)) AS q, count(*) AS total FROM pre GROUP BY g),
+st AS (
+  SELECT g, config, delta, CAST(0 AS BIGINT) AS i, {levels('CAST(0 AS BIGINT)')}, false AS cut, false AS fell, CAST(0 AS BIGINT) AS drifts,
+    CAST(0 AS BIGINT) AS n, 0e0 AS u FROM arr, (VALUES {grid}) grid(config, delta)
+  UNION ALL
+  SELECT g, config, delta, i, {levels('m{j}')}, cut, fell, drifts + CASE WHEN fell AND NOT cut THEN 1 ELSE 0 END, n, u FROM (
+    SELECT *, n > 10 AND len(list_filter(splits, lambda o: o >= 5 AND n - o >= 5 AND
+      abs((c[base + o + 1] - c[base + 1]) / o - (c[i + 1] - c[base + o + 1]) / (n - o)) > sqrt(2e0 * {recip} * var * strict) + 2e0 / 3e0 * strict * {recip})) > 0 AS cut FROM (
+      SELECT *, i - n AS base, c[i + 1] - c[i - n + 1] AS u, ln(2e0 * ln(greatest(n, 3)) / delta) AS strict,
+        greatest(0e0, (q[i + 1] - q[i - n + 1]) / n - (c[i + 1] - c[i - n + 1]) / n * ((c[i + 1] - c[i - n + 1]) / n)) AS var,
+        list_transform(range(1, len(sizes)), lambda j: CAST(list_sum(sizes[1:j]) AS BIGINT)) AS splits FROM (
+        SELECT *, {width} AS n, {sizes} AS sizes FROM (
+          SELECT st.g, st.config, st.delta, st.drifts, st.cut AS fell, arr.c, arr.q, CASE WHEN st.cut THEN st.i ELSE st.i + 32 END AS i, {top}, {enter}, {after}
+          FROM st JOIN arr ON arr.g = st.g WHERE st.cut OR st.i + 32 <= arr.total))))),
+drifts AS (SELECT st.g, st.config, num.pos, st.i, st.drifts, st.n, st.u FROM st JOIN num ON num.g = st.g AND num.i = st.i WHERE fell AND NOT cut)"""
+
+
+_DRIFT_ROWS = """SELECT {key} pos, 'default' AS config, 'drift' AS state, CAST(i AS BIGINT) AS n_seen, CAST(drifts AS BIGINT) AS n_drifts,
+  CAST(n AS BIGINT) AS window_size, round(u / n, 6) AS estimation FROM drifts"""
+_BY_TYPE = adwin_sql(SCORED_SQL, "event_type", "err", "scored")
+_KEYED_DRIFTS = _DRIFT_ROWS.format(key="g AS event_type,")
+
+
+@query("adwin_by_key", f"{_BY_TYPE} {_KEYED_DRIFTS}")
 def adwin_by_key(spark, sf_dir):
     return _tidy(dt.detect(_stream(spark, sf_dir), ["event_type"], ["pos"], "err"))
 
 
-@query("adwin_stream")
+@query("adwin_stream", adwin_sql(SCORED_SQL, "0", "err", "scored") + _DRIFT_ROWS.format(key=""))
 def adwin_stream(spark, sf_dir):
     return _tidy(dt.detect(_stream(spark, sf_dir), [], ["pos"], "err", rank="pos"))
 
@@ -104,7 +149,10 @@ def page_hinkley_by_key(spark, sf_dir):
     return _tidy(dt.detect(_stream(spark, sf_dir, "value"), ["event_type"], ["pos"], "value", "page_hinkley"))
 
 
-@query("confidence_drift")
+@query(
+    "confidence_drift",
+    adwin_sql(SCORED_SQL, "event_type", "CASE WHEN late THEN 5e-1 + (confidence - 5e-1) / 2 ELSE confidence END", "scored") + _KEYED_DRIFTS,
+)
 def confidence_drift(spark, sf_dir):
     # confidence falls for late rows, as a model's does on data it has not seen
     rows = scored(spark, sf_dir)
@@ -113,7 +161,11 @@ def confidence_drift(spark, sf_dir):
     return _tidy(dt.detect(rows, ["event_type"], ["pos"], "confidence", "confidence"))
 
 
-@query("attack_rate_drift")
+@query(
+    "attack_rate_drift",
+    adwin_sql(SCORED_SQL, "event_type", "CASE WHEN y_pred = 'ATTACK' THEN 1 WHEN (SELECT count(*) FROM scored WHERE y_pred = 'ATTACK') = 0 THEN 5e-1 ELSE 0 END", "scored")
+    + _KEYED_DRIFTS,
+)
 def attack_rate_drift(spark, sf_dir):
     rows = scored(spark, sf_dir).withColumn("attack", (F.col("y_pred") == "ATTACK").cast("double"))
     share = rows.agg(F.avg("attack")).scalar()
@@ -121,13 +173,29 @@ def attack_rate_drift(spark, sf_dir):
     return _tidy(dt.detect(rows, ["event_type"], ["pos"], "signal"))
 
 
-@query("drift_events")
+@query(
+    "drift_events",
+    f"""{_BY_TYPE}, e AS (SELECT event_type, pos, avg(CAST(err AS DOUBLE)) OVER (w ROWS BETWEEN 499 PRECEDING AND CURRENT ROW) AS r,
+  avg(CAST(err AS DOUBLE)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a FROM scored WINDOW w AS (PARTITION BY event_type ORDER BY pos))
+SELECT 'drift-' || lpad(CAST(row_number() OVER (ORDER BY d.pos, g) AS VARCHAR), 6, '0') AS event_id, 'concept' AS drift_type, 'adwin' AS detector,
+  g AS event_type, d.pos, 'v1' AS model_version, CAST(n AS BIGINT) AS window_size, round(r, 6) AS rolling_error, round(a, 6) AS cumulative_error,
+  CAST(i AS DOUBLE) AS n_seen, CAST(drifts AS DOUBLE) AS n_drifts, round(u / n, 6) AS estimation
+FROM drifts d JOIN e ON e.event_type = d.g AND e.pos = d.pos""",
+)
 def drift_events(spark, sf_dir):
     out = dt.drift_events(_stream(spark, sf_dir), ["event_type"], ["pos"], "err")
-    return out.withColumn("context", F.to_json("context")).withColumn("detector_state", F.to_json("detector_state"))
+    context = [r6(F.col("context")[n]).alias(n) for n in ("rolling_error", "cumulative_error")]
+    state = [r6(F.col("detector_state")[n]).alias(n) for n in ("n_seen", "n_drifts", "estimation")]
+    return out.select("event_id", "drift_type", "detector", "event_type", "pos", "model_version", "window_size", *context, *state)
 
 
-@query("adwin_sensitivity")
+@query(
+    "adwin_sensitivity",
+    adwin_sql(SCORED_SQL, "0", "err", "scored", dt.SENSITIVITY_GRID)
+    + """, cutoff AS (SELECT CAST(floor(count(*) * 6e-1) AS BIGINT) AS injected FROM scored)
+SELECT config AS delta, count(i) AS n_alarms, min(i) AS first_detection, min(CASE WHEN i > injected THEN i END) - any_value(injected) AS delay
+FROM (SELECT DISTINCT config FROM st) c LEFT JOIN drifts USING (config), cutoff GROUP BY 1""",
+)
 def adwin_sensitivity(spark, sf_dir):
     rows = _stream(spark, sf_dir)
     n = rows.count()

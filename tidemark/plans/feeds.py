@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import r6
+from tidemark.plans.drift import adwin_sql
 from tidemark.plans.registry import query
-from tidemark.plans.views import prop_k, scored, table
+from tidemark.plans.views import SCORED_SQL, prop_k, scored, table
 from tidemark.sources import logs as lg
 from tidemark.streaming import live
 from tidemark.workspace import new_path
@@ -51,7 +52,12 @@ def stream_flow_sessions(spark, sf_dir):
     return out.select("user_id", "n_packets", "bytes", F.unix_micros("start_time").alias("start_us"), F.unix_micros("last_time").alias("last_us"))
 
 
-@query("stream_adwin")
+@query(
+    "stream_adwin",
+    adwin_sql(SCORED_SQL, "event_type", "err", "scored")
+    + """SELECT g AS event_type, pos, CAST(i AS BIGINT) AS n_seen, CAST(drifts AS BIGINT) AS n_drifts, CAST(n AS BIGINT) AS window_size,
+  round(u / n, 6) AS estimation FROM drifts""",
+)
 def stream_adwin(spark, sf_dir):
     """The error signal replayed in four batches of positions."""
     rows = scored(spark, sf_dir).select("event_type", "pos", "err")
