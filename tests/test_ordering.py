@@ -77,17 +77,20 @@ def test_look_back_sees_rows_of_earlier_chunks(spark, rows, chunk_rows):
     assert len(got) == len(pdf)
 
 
-def test_quantiles_match_numpy(spark):
+@pytest.mark.parametrize("margin", [0.0, 0.001, 1.0])
+def test_quantiles_match_numpy(spark, margin):
+    """A bracket of no width is widened until it holds the ranks."""
     pdf, df = hot_frame(spark)
-    df = df.withColumn("w", F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") * 1.5))
-    cells = long_form(df, ["v", "w"])
-    points = {"a": 0.01, "b": 0.5, "c": 0.99}
-    got = {r["feature"]: r for r in o.quantiles_by_group(cells, ["feature"], "value", points, distinct="d", partitions=6).collect()}
+    df = df.withColumn("w", F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") * 1.5)).withColumn("u", F.when(F.col("id") == 7, 4.5))
+    df = df.withColumn("z", F.pow(F.lit(1.001), F.col("id") % 2971))
+    points = {"a": 0.0, "b": 0.01, "c": 0.5, "d": 0.99, "e": 1.0}
+    got = {r["feature"]: r for r in o.quantiles_by_group(long_form(df, ["v", "w", "u", "z"]), ["feature"], "value", points, margin, partitions=6).collect()}
     w = pdf["id"][pdf["id"] % 3 != 0] * 1.5
-    for name, values in (("v", pdf["v"]), ("w", w)):
+    for name, values in (("v", pdf["v"]), ("w", w), ("u", [4.5]), ("z", 1.001 ** (pdf["id"] % 2971))):
         for p, q in points.items():
-            assert got[name][p] == pytest.approx(np.percentile(values, q * 100))
-        assert got[name]["d"] == values.nunique()
+            assert got[name][p] == pytest.approx(np.percentile(values, q * 100)), (name, p)
+    whole = o.quantiles_by_group(df, [], "v", {"m": 0.5}, margin).first()
+    assert whole["m"] == np.median(pdf["v"])
 
 
 def test_no_single_task_window_over_rows(spark):

@@ -72,3 +72,16 @@ def test_result_sinks(spark):
     assert spark.read.schema(df.schema).json(f"{path}/json").first()["state"] == {"a": 1.5}
     with pytest.raises(ValueError):
         lg.write_result(df, path, "xls")
+
+
+def test_drift_and_retrain_logs(spark):
+    now = datetime.datetime(2024, 1, 2)
+    root = new_path(spark, "test-drift-log")
+    drifts = spark.createDataFrame([(now, "adwin", 383, {"n_drifts": 1.0})], "ts timestamp, detector string, pos long, state map<string,double>")
+    lg.append(lg.drift_records(drifts, "ts", "detector", "pos", "state"), root, "drift_events", 0)
+    retrains = spark.createDataFrame([(now, "v2", "drift", 20000, 1.23456)], "ts timestamp, version string, trigger string, n long, s double")
+    lg.append(lg.retrain_records(retrains, "ts", "version", "trigger", "n", "s"), root, "model_log", 0)
+    assert lg.read(spark, root, "drift_events").first()["detector_state"] == {"n_drifts": 1.0}
+    assert lg.read(spark, root, "model_log").first()["training_time_s"] == 1.235
+    s = lg.statistics({n: lg.read(spark, root, n) for n in ("drift_events", "model_log")}).first()
+    assert (s["total_drift_events"], s["total_model_log"], s["unacknowledged_attacks"]) == (1, 1, 0)

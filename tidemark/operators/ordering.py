@@ -20,6 +20,7 @@ from tidemark.workspace import materialize
 
 MIN_CHUNK_ROWS = 4_096
 MAX_CHUNK_ROWS = 4_000_000
+MAX_BROADCAST_ROWS = 100_000
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
@@ -170,28 +171,58 @@ def position_in_group(df: DataFrame, group: list[str], order: list[str | Column]
 
 
 def quantiles_by_group(
-    df: DataFrame, group: list[str], value: str, points: dict[str, float], distinct: str | None = None,
-    partitions: int | None = None,
+    df: DataFrame, group: list[str], value: str, points: dict[str, float], margin: float = 0.001, partitions: int | None = None
 ) -> DataFrame:
-    """Exact linear-interpolated quantiles per group, and on request the number of distinct values.
-
-    The built-in exact ``percentile`` keeps all values of a group in one task.  Here equal
-    values are counted first, the counts are summed along the order across partitions, and
-    the values at the needed ranks are picked with a conditional ``min``.
+    """Exact linear-interpolated quantiles per group without sorting all values.
+
+    The built-in exact ``percentile`` keeps all values of a group in one task, and a full
+    sort moves every row.  Here a sketch brackets each quantile.  One more pass counts what
+    lies below and above a bracket (merged before the shuffle) and keeps only the values
+    inside, about ``2 * margin`` of the rows.  The wanted ranks must lie inside, or right
+    at the edge of, the bracket; if a sketch was off by more, the bracket is widened, in
+    the end to all rows.
     """
-    counted = df.filter(col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
-    summed = running(counted, group, [value], {"_upto": ("sum", F.col("_n"))}, partitions=partitions)
-    sizes = counted.groupBy(*group).agg(F.sum("_n").alias("_size"))
-    joined = join_on(summed, sizes, group) if group else summed.withColumn("_size", sizes.scalar())
-    picks = []
-    for name, q in points.items():
-        rank = F.lit(float(q)) * (F.col("_size") - 1)
-        picks.append(F.min(F.when(F.col("_upto") > F.floor(rank), col(value))).alias(f"_lo_{name}"))
-        picks.append(F.min(F.when(F.col("_upto") > F.ceil(rank), col(value))).alias(f"_hi_{name}"))
-    out = joined.groupBy(*group).agg(F.first("_size").alias("_size"), F.count(F.lit(1)).alias("_distinct"), *picks)
-    for name, q in points.items():
-        rank = F.lit(float(q)) * (F.col("_size") - 1)
-        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        out = out.withColumn(name, lo + (hi - lo) * (rank - F.floor(rank)))
-    extra = [F.col("_distinct").alias(distinct)] if distinct else []
-    return out.select(*group, *points, *extra)
+    rows = df.filter(col(value).isNotNull()).select(*group, col(value).alias("_v"))
+    names = list(points)
+    while True:
+        edges = [x for p in points.values() for x in (max(0.0, p - margin), min(1.0, p + margin))]
+        sketch = rows.groupBy(*group).agg(
+            F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), 10_000).alias("_edges"), F.count("_v").alias("_size")
+        )
+        sketch = materialize(sketch, "sketch")
+        if group:
+            few = sketch.count() <= MAX_BROADCAST_ROWS
+            joined = join_on(rows, F.broadcast(sketch) if few else sketch, group)
+        else:
+            one = sketch.select(F.struct("_edges", "_size")).scalar()
+            joined = rows.select("*", one.getField("_edges").alias("_edges"), one.getField("_size").alias("_size"))
+        marks = F.array(*[
+            F.struct(
+                F.lit(i).alias("_q"),
+                F.when(F.col("_v") < F.col("_edges")[2 * i], 0).when(F.col("_v") > F.col("_edges")[2 * i + 1], 2).otherwise(1).alias("_zone"),
+                (F.lit(points[n]) * (F.col("_size") - 1)).alias("_rank"),
+            )
+            for i, n in enumerate(names)
+        ])
+        cells = joined.select(*group, "_v", F.explode(marks).alias("_m")).select(*group, "_v", "_m.*")
+        inside = F.when(F.col("_zone") == 1, F.col("_v")).alias("_key")
+        binned = cells.groupBy(*group, "_q", "_rank", "_zone", inside).agg(
+            F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+        )
+        summed = running(binned, [*group, "_q"], ["_zone", "_key"], {"_upto": ("sum", F.col("_n"))}, partitions=partitions)
+        low, high, start = F.floor("_rank"), F.ceil("_rank"), F.col("_upto") - F.col("_n")
+        holds = lambda r: (start <= r) & (r < F.col("_upto"))
+        off = lambda r: holds(r) & (
+            ((F.col("_zone") == 0) & (r != F.col("_upto") - 1)) | ((F.col("_zone") == 2) & (r != start))
+        )
+        here = F.when(F.col("_zone") == 0, F.col("_hi")).otherwise(F.col("_lo"))
+        picked = summed.groupBy(*group, "_q", "_rank").agg(
+            F.min(F.when(holds(low), here)).alias("_a"), F.min(F.when(holds(high), here)).alias("_b"),
+            F.max(off(low) | off(high)).alias("_off"),
+        )
+        picked = materialize(picked, "quantiles")  # one row per group and quantile
+        if margin >= 1.0 or not picked.filter("_off").limit(1).count():
+            break
+        margin = min(1.0, max(margin, 0.0001) * 10)
+    found = picked.withColumn("_x", F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_rank") - F.floor("_rank")))
+    return found.groupBy(*group).agg(*[F.max(F.when(F.col("_q") == i, F.col("_x"))).alias(n) for i, n in enumerate(names)])

@@ -51,8 +51,9 @@ def feature_stats(df: DataFrame, features: list[str]) -> DataFrame:
         "skewness": F.when(n > 2, g1 * F.sqrt(nd * (nd - 1)) / (nd - 2)),
         "kurtosis": F.when(n > 3, (nd - 1) / ((nd - 2) * (nd - 3)) * ((nd + 1) * g2 + 6)),
     }).drop("_g1", "_g2")
-    spread = quantiles_by_group(cells, ["feature"], "value", QUANTILES, distinct="n_unique")
-    return corrected.join(spread, "feature", "left")
+    spread = quantiles_by_group(cells, ["feature"], "value", QUANTILES)
+    distinct = cells.groupBy("feature", "value").agg(F.count("value").alias("_n")).groupBy("feature").agg(F.count_if(F.col("_n") > 0).alias("n_unique"))
+    return corrected.join(spread, "feature", "left").join(distinct, "feature")
 
 
 def window_compare(df: DataFrame, features: list[str], in_second: Column) -> DataFrame:

@@ -35,6 +35,13 @@ def attack_records(df: DataFrame, time: str, prediction: str, confidence: str, *
     )
 
 
+def drift_records(events: DataFrame, time: str, detector: str, position: str, state: str) -> DataFrame:
+    """What the drift log keeps; ``state`` names a map column."""
+    return events.select(
+        col(time).alias("timestamp"), col(detector).alias("detector"), col(position).alias("stream_position"), col(state).alias("detector_state")
+    )
+
+
 def retrain_records(df: DataFrame, time: str, model_version: str, trigger: str, rows: str, seconds: str) -> DataFrame:
     return df.select(
         col(time).alias("timestamp"), col(model_version).alias("model_version"), col(trigger).alias("trigger"),

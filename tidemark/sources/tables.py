@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,29 +43,42 @@ def _files(spark: SparkSession, folder: str, name_part: str | None) -> list[str]
     return names
 
 
+def _header(spark: SparkSession, name: str, encoding: str) -> tuple[str, ...]:
+    """Column names in the first line of a file."""
+    jvm, path = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(name)
+    reader = jvm.java.io.BufferedReader(
+        jvm.java.io.InputStreamReader(path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path), encoding)
+    )
+    try:
+        line = reader.readLine() or ""
+    finally:
+        reader.close()
+    return tuple(next(csv.reader([line.removeprefix("\ufeff")]), []))
+
+
 def scan_csv_folder(
     spark: SparkSession, folder: str, schema: T.StructType | str | None = None, name_part: str | None = None,
-    encoding: str = "utf-8",
+    encoding: str = "utf-8", sampling: float = 1.0,
 ) -> DataFrame:
     """All CSV files of a folder as one table; columns are matched by trimmed name.
 
-    With a schema (its columns in any order) nothing is inferred.  Files with the same
-    header are read together; only files whose headers differ cost a plan node.
+    With a schema (its columns in any order) nothing is inferred.  The driver reads one
+    line per file; files with the same header are read together by one scan, so only
+    differing headers cost a plan node.
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     types = {f.name: f.dataType for f in schema.fields} if schema else {}
     by_header: dict[tuple[str, ...], list[str]] = {}
     for path in _files(spark, folder, name_part):
-        header = spark.read.option("header", True).option("encoding", encoding).csv(path).columns
-        by_header.setdefault(tuple(header), []).append(path)
+        by_header.setdefault(_header(spark, path, encoding), []).append(path)
     out = None
     for header, paths in by_header.items():
         reader = spark.read.option("header", True).option("encoding", encoding)
         if schema:
             reader = reader.schema(T.StructType([T.StructField(h, types.get(h.strip(), T.StringType())) for h in header]))
         else:
-            reader = reader.option("inferSchema", True)
+            reader = reader.option("inferSchema", True).option("samplingRatio", sampling)
         part = reader.csv(paths).toDF(*[h.strip() for h in header])
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out

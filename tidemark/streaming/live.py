@@ -77,12 +77,13 @@ DRIFT_SCHEMA = "pos long, n_seen long, n_drifts long, window_size long, estimati
 
 
 def monitor_drift(
-    stream: DataFrame, key: str, pos: str, value: str, method: str = "adwin", buckets: int | None = None, **params
+    stream: DataFrame, key: str, pos: str, value: str, method: str = "adwin", **params
 ) -> DataFrame:
     """Detector per key whose state lives in the state store between micro-batches.
 
-    Rows of a key are read in position order inside a micro-batch; positions of later
-    micro-batches must be larger, as in a feed.
+    Rows of a key are read in position order inside a micro-batch, whose size the source
+    bounds (``files_per_batch``); positions of later micro-batches must be larger, as in a
+    feed.  A micro-batch of one hot key is one task's input, as a detector is sequential.
     """
     create(method, **params)
     ship_package(stream.sparkSession)
@@ -95,8 +96,8 @@ def monitor_drift(
         # Arrow cuts the rows of a key into chunks; the order must hold across them
         rows = pd.concat(list(chunks)).sort_values("_pos", ignore_index=True)
         found = []
-        for i, kind in detector.scan(rows["_value"].to_numpy(dtype=float)):
-            if kind == "drift":
+        for i, what in detector.scan(rows["_value"].to_numpy(dtype=float)):
+            if what == "drift":
                 found.append((keys[0], int(rows["_pos"].iloc[i]), detector.n_seen, detector.n_drifts, detector.width, detector.estimate))
         state.update((pickle.dumps(detector),))
         yield pd.DataFrame(found, columns=names)
