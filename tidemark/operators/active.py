@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.expressions import col, hash_bits, join_on
-from tidemark.operators.ordering import position_in_group
+from tidemark.functions.expressions import col, hash_bits
+from tidemark.operators.ordering import join_small, position_in_group
 
 STRATEGIES = ("uncertainty", "margin", "random")
 
@@ -44,7 +44,7 @@ def select_for_labels(
     ranked = position_in_group(scored, [batch], ["score", *ids], "rank", **kw)
     sizes = df.groupBy(batch).agg(F.count(F.lit(1)).alias("_n"))
     wanted = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(float(budget))))
-    return join_on(ranked, sizes, [batch]).filter(F.col("rank") < wanted).drop("_n").withColumn("strategy", F.lit(strategy))
+    return join_small(ranked, sizes, [batch]).filter(F.col("rank") < wanted).drop("_n").withColumn("strategy", F.lit(strategy))
 
 
 def labelled_pool(selections: list[DataFrame]) -> DataFrame:

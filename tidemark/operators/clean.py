@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import col, finite, is_floating, is_infinite, long_form, numeric_columns, ratio
-from tidemark.operators.ordering import global_position, quantiles_by_group
+from tidemark.operators.ordering import global_position, join_small, quantiles_by_group
 from tidemark.operators.profile import missing
 
 # The names the label column goes by and the identifying columns.
@@ -247,13 +247,11 @@ def coerce_zero(df: DataFrame, columns: list[str]) -> DataFrame:
 def categorical_codes(df: DataFrame, columns: list[str]) -> DataFrame:
     """Replace text by the rank of its value among all distinct values, from 0.
 
-    The dictionary is ranked with a distributed sort; the join leaves the choice of
-    strategy to the size measured at run time.
+    The dictionary is ranked with a distributed sort and joined by its measured size.
     """
     for c in columns:
-        values = df.select(col(c).alias("_v")).filter("_v IS NOT NULL").distinct()
-        codes = global_position(values, ["_v"], "_code")
-        df = df.join(codes, col(c) == F.col("_v"), "left").drop("_v").withColumn(c, F.col("_code")).drop("_code")
+        values = df.select(c).filter(col(c).isNotNull()).distinct()
+        df = join_small(df, global_position(values, [c], "_code"), [c], "left").withColumn(c, F.col("_code")).drop("_code")
     return df
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import col, join_on
 from tidemark.operators.detectors import DetectorFold, create
-from tidemark.operators.ordering import look_back, position_in_group, running
+from tidemark.operators.ordering import join_small, look_back, position_in_group, running
 from tidemark.operators.streams import CHUNK_ROWS, fold_streams
 
 DRIFT_FIELDS = "config string, state string, n_seen long, n_drifts long, window_size long, estimation double"
@@ -72,7 +72,7 @@ def drift_events(
         F.struct((F.col("n_seen") - rolling_rows).alias("_n"), F.lit(False).alias("_end")),
     )
     probes = found.select(*key, "n_seen", F.explode(ends).alias("e")).select(*key, "n_seen", "e.*")
-    sums = join_on(ranked.select(*key, "_n", "_errors"), probes, [*key, "_n"]).groupBy(*key, "n_seen").agg(
+    sums = join_small(ranked.select(*key, "_n", "_errors"), probes, [*key, "_n"]).groupBy(*key, "n_seen").agg(
         F.sum(F.when(F.col("_end"), F.col("_errors"))).alias("_upto"),
         F.coalesce(F.sum(F.when(~F.col("_end"), F.col("_errors"))), F.lit(0.0)).alias("_before"),
     )

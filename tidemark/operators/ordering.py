@@ -170,6 +170,17 @@ def position_in_group(df: DataFrame, group: list[str], order: list[str | Column]
     return running(df, group, order, {name: ("sum", F.lit(1).cast("long"))}, **kw).withColumn(name, F.col(name) - 1)
 
 
+def join_small(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join with a table that is usually small.
+
+    The right side is computed once and broadcast if it has at most ``MAX_BROADCAST_ROWS``
+    rows, which spares the left side a shuffle on what may be a handful of hot keys.  A
+    larger one is joined the usual way.
+    """
+    right = materialize(right, "small")
+    return join_on(left, F.broadcast(right) if right.count() <= MAX_BROADCAST_ROWS else right, keys, how)
+
+
 def quantiles_by_group(
     df: DataFrame, group: list[str], value: str, points: dict[str, float], margin: float = 0.001, partitions: int | None = None
 ) -> DataFrame:
@@ -189,10 +200,8 @@ def quantiles_by_group(
         sketch = rows.groupBy(*group).agg(
             F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), 10_000).alias("_edges"), F.count("_v").alias("_size")
         )
-        sketch = materialize(sketch, "sketch")
         if group:
-            few = sketch.count() <= MAX_BROADCAST_ROWS
-            joined = join_on(rows, F.broadcast(sketch) if few else sketch, group)
+            joined = join_small(rows, sketch, group)
         else:
             one = sketch.select(F.struct("_edges", "_size")).scalar()
             joined = rows.select("*", one.getField("_edges").alias("_edges"), one.getField("_size").alias("_size"))

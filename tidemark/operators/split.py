@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.expressions import col, hash_bits, hash_uniform
-from tidemark.operators.ordering import global_position, look_back, position_in_group
+from tidemark.operators.ordering import global_position, join_small, look_back, position_in_group
 from tidemark.operators.profile import TIMESTAMP_FORMATS, parse_timestamp
 
 
@@ -69,11 +69,10 @@ def stratified_split(df: DataFrame, label: str, key: list[str], test: float = 0.
     """
     hashed = df.withColumn("_h", hash_bits(seed, *key))
     ranked = position_in_group(hashed, [label], ["_h", *key], "_rank")
-    sizes = df.groupBy(col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_n"))
-    joined = ranked.join(sizes, col(label).eqNullSafe(F.col("_label")))
+    joined = join_small(ranked, df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")), [label])
     wanted = F.floor(F.col("_n") * F.lit(float(test)) + 0.5)
     wanted = F.when(F.col("_n") >= 2, F.least(F.greatest(wanted, F.lit(1)), F.col("_n") - 1)).otherwise(wanted)
-    return joined.withColumn("split", F.when(F.col("_rank") < wanted, "test").otherwise("train")).drop("_h", "_rank", "_n", "_label")
+    return joined.withColumn("split", F.when(F.col("_rank") < wanted, "test").otherwise("train")).drop("_h", "_rank", "_n")
 
 
 def random_split(df: DataFrame, key: list[str], test: float = 0.20, seed: int = 42) -> DataFrame:

@@ -98,7 +98,8 @@ def ks_two_sample(df: DataFrame, features: list[str], in_second: Column, min_row
         side(F.stddev_pop, ~b).alias("std_a"), side(F.stddev_pop, b).alias("std_b"),
     ).filter((F.col("n_a") >= min_rows) & (F.col("n_b") >= min_rows))
     gap = F.abs(F.col("_ca") / F.col("n_a") - F.col("_cb") / F.col("n_b"))
-    distance = summed.join(moments.select("feature", "n_a", "n_b"), "feature").groupBy("feature").agg(F.max(gap).alias("ks_statistic"))
+    sizes = F.broadcast(moments.select("feature", "n_a", "n_b"))  # one row per feature column
+    distance = summed.join(sizes, "feature").groupBy("feature").agg(F.max(gap).alias("ks_statistic"))
     na, nb = F.col("n_a").cast("double"), F.col("n_b").cast("double")
     lam = F.sqrt(na * nb / (na + nb)) * F.col("ks_statistic")
     shift = F.abs(F.col("mean_b") - F.col("mean_a"))
