@@ -60,6 +60,7 @@ def ship_package(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     package = Path(__file__).resolve().parent
+    # the archive is made next to the driver and handed out by Spark
     archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='tidemark-')}/tidemark", "zip", package.parent, package.name)
     spark.sparkContext.addPyFile(archive)
     _SHIPPED.add(app)
