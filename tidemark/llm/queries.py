@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import arrow_ids, packing
+from tidemark.llm import arrow_ids, exact, packing, shard
+from tidemark.llm.common import documents
 from tidemark.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -28,6 +30,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+EXACT_SQL = """
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS points, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g')) AS h FROM documents
+), r AS (
+  SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS n, row_number() OVER w AS place
+  FROM d WINDOW w AS (PARTITION BY h ORDER BY points DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+)
+SELECT doc_id, keep_id, n AS group_size, place = 1 AS kept, h AS text_sha256 FROM r
+"""
+
+
+@query("op6_exact_dedup", EXACT_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older half of the id range is the snapshot, the newer half (and rows without an id) the batch."""
+    docs = table(spark, sf_dir, "documents")
+    middle = docs.agg(F.floor((F.min("doc_id") + F.max("doc_id")) / 2)).first()[0]
+    is_old = F.coalesce(F.col("doc_id") <= F.lit(middle), F.lit(False))
+    return exact.deduplicate(docs.filter(is_old), docs.filter(~is_old))
+
+
+@query("op7_histogram_sort")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Law `bytes`; equal texts share a key, so they are neighbours in the sort."""
+    docs = documents(table(spark, sf_dir, "documents"))
+    rows = docs.select(
+        "doc_id", (F.octet_length("text") + 1).cast("long").alias("size"), F.crc32(F.col("text")).alias("text_crc32"), F.xxhash64("text").alias("text_key")
+    )
+    sorted_rows = shard.histogram_sort(rows, F.col("text_key"), F.col("doc_id"), F.col("size"), shards=8)
+    return sorted_rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query("op9_best_fit_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
