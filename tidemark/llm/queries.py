@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import arrow_ids, exact, packing, shard
+from tidemark.llm import arrow_ids, exact, packing, shard, warc
 from tidemark.llm.common import documents
 from tidemark.plans.registry import Query
 
@@ -30,6 +30,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS bytes, sha256(coalesce(html, '')) AS h FROM pages
+), r AS (
+  SELECT *, CASE WHEN bytes >= 100 THEN min(page_id) OVER (PARTITION BY h) ELSE page_id END AS head FROM p
+)
+SELECT page_id, bytes AS payload_bytes, h AS payload_digest, CASE WHEN head = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN head <> page_id THEN head END AS refers_to
+FROM r
+"""
+
+
+@query("op2_warc", WARC_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"))
+    records = warc.read_archives(spark, manifest).filter("kind = 'record'")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 EXACT_SQL = """
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS points, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g')) AS h FROM documents
