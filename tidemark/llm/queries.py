@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import arrow_ids, exact, packing, shard, warc
+from tidemark.llm import arrow_ids, exact, packing, shard, suffix, warc
 from tidemark.llm.common import documents
 from tidemark.plans.registry import Query
 
@@ -30,6 +30,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+REPEATS_SQL = """
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM d WHERE len(w) >= 50
+), h AS (
+  SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h FROM s
+), dup AS (
+  SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS m FROM h) WHERE m < doc_id
+), c AS (
+  SELECT DISTINCT doc_id, i + j AS i FROM dup, (SELECT unnest(range(0, 50)) AS j)
+), k AS (
+  SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id
+), r AS (
+  SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+    CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END AS kept
+  FROM d LEFT JOIN k USING (doc_id)
+)
+SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM r
+"""
+
+
+@query("op1_substring_dedup", REPEATS_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 WARC_SQL = """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS bytes, sha256(coalesce(html, '')) AS h FROM pages
