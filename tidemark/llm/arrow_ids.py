@@ -2,8 +2,9 @@
 
 The documents, in ascending id order, form one stream of ids.  Each shard holds whole
 documents: its ids are cut into sequences of equal length, a record batch has a fixed
-number of sequences, and a mask marks the padding at the shard's end.  All batches but the
-last have the same shape, so a reader finds any sequence by arithmetic and sees it without
+number of sequences, and a mask (one bit per id) marks the padding at the shard's end.  Ids
+take 16 bits where the vocabulary allows it.  All batches but the last have the same shape,
+so a reader finds any sequence by arithmetic and sees its ids and the mask's bytes without
 a copy.  A second file beside each shard lists its documents.
 """
 
@@ -27,27 +28,22 @@ MANIFEST = "shard int, ids_path string, index_path string, n_docs long, n_ids lo
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def sequence_schema(seq_len: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), seq_len)), ("mask", pa.list_(pa.uint8(), seq_len))])
+def sequence_schema(seq_len: int, wide: bool) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
 
 
 class IdWriter:
     """Streams ids into one file; memory holds one record batch."""
 
-    def __init__(self, sink, seq_len: int, batch_rows: int):
-        self.seq_len, self.room = seq_len, seq_len * batch_rows * 4
-        self.out = pa.ipc.new_file(sink, sequence_schema(seq_len))
+    def __init__(self, sink, seq_len: int, batch_rows: int, wide: bool):
+        self.seq_len, self.room, self.schema = seq_len, seq_len * batch_rows * 4, sequence_schema(seq_len, wide)
+        self.out = pa.ipc.new_file(sink, self.schema)
         self.held, self.size = [], 0
 
     def _batch(self, raw: bytes, valid: int) -> None:
-        ids = np.frombuffer(raw, dtype="<u4")
-        mask = np.zeros(len(ids), dtype=np.uint8)
-        mask[:valid] = 1
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq_len) for x in (ids, mask)]
-        self.out.write_batch(pa.record_batch(lists, schema=self.out_schema()))
-
-    def out_schema(self) -> pa.Schema:
-        return sequence_schema(self.seq_len)
+        ids = np.frombuffer(raw, dtype="<u4").astype(self.schema.field("ids").type.value_type.to_pandas_dtype())
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq_len) for x in (ids, np.arange(len(ids)) < valid)]
+        self.out.write_batch(pa.record_batch(lists, schema=self.schema))
 
     def add(self, raw: bytes) -> None:
         self.held.append(raw)
@@ -80,7 +76,8 @@ class IdReader:
     def _load(self, number: int) -> tuple[np.ndarray, np.ndarray]:
         if self.last is None or self.last[0] != number:
             batch = self.file.get_batch(number)
-            self.last = (number, *(batch.column(i).flatten().to_numpy(zero_copy_only=True) for i in (0, 1)))
+            ids = batch.column(0).flatten().to_numpy(zero_copy_only=True)
+            self.last = (number, ids, batch.column(1).flatten().to_numpy(zero_copy_only=False))
         return self.last[1], self.last[2]
 
     def sequence(self, number: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +112,8 @@ def write_ids(docs: DataFrame, vocabulary: str, end_id: int = 1, seq_len: int =
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard = encoder(vocabulary).encode, TaskContext.get().partitionId()
+        words, shard = encoder(vocabulary), TaskContext.get().partitionId()
+        encode, wide = words.encode, max(words.tokenizer.get_vocab_size(), end_id + 1) > 1 << 16
         out = index = None
         n_docs = n_ids = 0
         for batch in batches:
@@ -126,7 +124,7 @@ def write_ids(docs: DataFrame, vocabulary: str, end_id: int = 1, seq_len: int =
                 fs, _ = filesystem(folder)
                 fs.create_dir(filesystem(folder)[1], recursive=True)
                 sinks = [fs.open_output_stream(filesystem(p)[1]) for p in paths]
-                out, index = IdWriter(sinks[0], seq_len, batch_rows), pa.ipc.new_file(sinks[1], INDEX)
+                out, index = IdWriter(sinks[0], seq_len, batch_rows, wide), pa.ipc.new_file(sinks[1], INDEX)
             starts, sizes = [], []
             for raw in encode(batch.column("text").to_pylist()):
                 raw += end
@@ -170,7 +168,7 @@ def read_documents(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                         for i, (start, n) in enumerate(zip(starts.tolist(), sizes.tolist())):
                             crc = 0
                             for view in reader.span(start, n):
-                                crc = zlib.crc32(view, crc)
+                                crc = zlib.crc32(view.astype("<u4"), crc)
                             sums[i] = crc
                         yield pa.RecordBatch.from_pydict({
                             "doc_id": part.column("doc_id"), "start": pa.array(starts + row["before"]), "n_tokens": part.column("n_tokens"),
