@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import arrow_ids, exact, packing, shard, suffix, warc
+from tidemark.llm import arrow_ids, bagminhash, exact, packing, shard, suffix, warc
 from tidemark.llm.common import documents
 from tidemark.plans.registry import Query
 
@@ -76,6 +76,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op4_bagminhash")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")
+
+
 EXACT_SQL = """
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS points, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g')) AS h FROM documents
