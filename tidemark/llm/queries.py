@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import arrow_ids, bagminhash, exact, packing, shard, suffix, warc
+from tidemark.llm import arrow_ids, bagminhash, exact, linejoin, packing, shard, suffix, warc
 from tidemark.llm.common import documents
 from tidemark.plans.registry import Query
 
@@ -76,6 +76,39 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+LINES_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i FROM documents
+), t AS (
+  SELECT doc_id, i, list_sort(list_distinct(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS s FROM l
+), f AS (
+  SELECT doc_id, i, s, min((doc_id, i)) OVER (PARTITION BY s) AS head FROM t WHERE len(s) > 0
+), g AS (
+  SELECT row_number() OVER () AS g, s, head, len(s) AS n FROM (SELECT DISTINCT s, head FROM f)
+), w AS (
+  SELECT g, n, unnest(s) AS w FROM g
+), p AS (
+  SELECT a.g AS a, b.g AS b FROM w a JOIN w b ON a.w = b.w AND a.g < b.g AND a.n * 5 >= b.n * 4 AND b.n * 5 >= a.n * 4
+  GROUP BY a.g, b.g, a.n, b.n HAVING count(*) * 5 >= (a.n + b.n - count(*)) * 4
+), z AS (
+  SELECT DISTINCT CASE WHEN x.head < y.head THEN y.s ELSE x.s END AS s FROM p JOIN g x ON x.g = p.a JOIN g y ON y.g = p.b
+), r AS (
+  SELECT doc_id, i, z.s IS NOT NULL AS near FROM f LEFT JOIN z USING (s) WHERE z.s IS NOT NULL OR (doc_id, i) <> head
+), k AS (
+  SELECT doc_id, count(*) AS n_removed, count(*) FILTER (near) AS n_near, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS gone FROM r GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_near, 0) AS n_near,
+  coalesce(gone, '') AS removed_lines
+FROM documents d LEFT JOIN k USING (doc_id)
+"""
+
+
+@query("op3_line_dedup", LINES_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linejoin.repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "n_near", F.array_join("removed_lines", ",").alias("removed_lines"))
+
+
 @query("op4_bagminhash")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")
