@@ -191,7 +191,7 @@ def _across(members: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id, class_size, n_links, text_key.
+    """One row per row of ``docs``: doc_id, class_id, class_size, n_links, text_key, is_head.
 
     A class is a connected component of texts whose multisets of five-word shingles have a
     weighted Jaccard similarity of at least 0.8; ``class_id`` is its smallest doc_id.  Equal
@@ -228,11 +228,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = components(links) if not more.isEmpty() else roots
 
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    named = texts.select("id", "sha", "ord").join(roots.withColumnRenamed("node", "id"), "id", "left").join(degree, "id", "left")
-    named = materialize(named.select("sha", "ord", F.coalesce("root", "id").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "named")
-    counted = signed.groupBy("sha").agg(F.count(F.lit(1)).alias("n")).join(named.select("sha", "ord", "root"), "sha")
-    classes = counted.groupBy("root").agg(F.min("ord").alias("head"), F.sum("n").alias("class_size"))
-    by_text = materialize(named.drop("ord").join(classes, "root").drop("root"), "classes")
+    named = texts.select("id", "sha", "ord", "text_key").join(roots.withColumnRenamed("node", "id"), "id", "left").join(degree, "id", "left")
+    named = materialize(named.select("sha", "ord", "text_key", F.coalesce("root", "id").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "named")
+    counted = signed.groupBy("sha").agg(F.count(F.lit(1)).alias("n")).join(named.select("sha", "ord", "text_key", "root"), "sha")
+    classes = counted.groupBy("root").agg(F.min(F.struct("ord", "text_key")).alias("head"), F.sum("n").alias("class_size"))
+    by_text = materialize(named.drop("ord", "text_key").join(classes, "root").drop("root"), "classes")
+    is_head = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("ord"), F.col("text_key")) == F.col("head")
     return signed.select("doc_id", "text_key", "sha").join(by_text, "sha").select(
-        "doc_id", F.when(F.col("head") != LAST, F.col("head")).alias("class_id"), "class_size", "n_links", "text_key"
+        "doc_id", F.when(F.col("head.ord") != LAST, F.col("head.ord")).alias("class_id"), "class_size", "n_links", "text_key", is_head.alias("is_head")
     )
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each class, with all columns of ``docs``: the one with the smallest doc_id.
+
+    Of rows that repeat that id and text one stays; a class without any id keeps the row
+    with the smallest text key.
+    """
+    heads = near_duplicates(docs).filter("is_head").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    heads = materialize(heads, "heads")
+    keyed = docs.withColumn("_ord", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = keyed.join(heads.select(F.coalesce("_id", F.lit(LAST)).alias("_ord"), "_key"), ["_ord", "_key"], "left_semi")
+    return kept.dropDuplicates(["_ord", "_key"]).select(*docs.columns)
