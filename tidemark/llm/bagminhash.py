@@ -136,12 +136,17 @@ def _likely(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.filter(bound).filter(F.pandas_udf(agree, "double")("r_a", "r_b") >= LIKELY).select("a", "b")
 
 
+def _texts_of(ids: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """Id and whole text of the named texts."""
+    wanted = ids.distinct().join(texts.select("id", "ord", "text_key"), "id")
+    keyed = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("ord"), F.xxhash64("text").alias("text_key"), "text")
+    return materialize(keyed.join(wanted, ["ord", "text_key"]).dropDuplicates(["id"]).select("id", "text"), "own-texts")
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) whose multisets have the wanted similarity, from their whole texts."""
     pairs = materialize(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(texts.select("id", "ord", "text_key"), "id")
-    keyed = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("ord"), F.xxhash64("text").alias("text_key"), "text")
-    own = materialize(keyed.join(wanted, ["ord", "text_key"]).dropDuplicates(["id"]).select("id", "text"), "pair-texts")
+    own = _texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), texts, docs)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, last = word_hashes(), (None, None)
@@ -162,9 +167,11 @@ def _verify(pairs: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _across(members: DataFrame) -> DataFrame:
-    """Likely pairs of different components in one bucket, compared in cells of bounded size.
+    """Links between different components of one bucket, found in cells of bounded size.
 
-    A bucket of n members is cut into chunks; every pair of chunks meets in one cell.
+    A bucket of n members is cut into chunks; every pair of chunks meets in one cell.  There
+    all pairs of different components are compared, likely ones on their whole texts, until
+    a link has joined the components; only such links are emitted.
     """
     sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("chunks"))
     cut = members.join(materialize(sizes, "cells"), "bucket").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
@@ -172,20 +179,39 @@ def _across(members: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), F.col("chunks") - 1),
         lambda j: F.struct(F.least(F.col("chunk"), j).alias("low"), F.greatest(F.col("chunk"), j).alias("high")),
     )
-    cells = cut.withColumn("cell", F.explode(meets)).select("bucket", "cell.low", "cell.high", "chunk", "id", "root", "n_shingles", "registers")
+    cells = cut.withColumn("cell", F.explode(meets)).select("bucket", "cell.low", "cell.high", "chunk", "id", "root", "n_shingles", "registers", "text")
 
     def compare(key: tuple, cell: pd.DataFrame) -> pd.DataFrame:
+        known, seen, joined, out = word_hashes(), {}, {}, []
+        known.trim()
+        texts = dict(zip(cell["id"], cell["text"]))
+
+        def own(id_: int) -> np.ndarray:
+            if id_ not in seen:
+                seen[id_] = shingles(known.of(texts[id_].encode("utf-8", "surrogatepass").split()))
+            return seen[id_]
+
+        def find(root: int) -> int:
+            while joined.get(root, root) != root:
+                root = joined[root]
+            return root
+
         left, right = cell[cell["chunk"] == key[1]], cell[cell["chunk"] == key[2]]
         other = np.frombuffer(b"".join(right["registers"]), dtype=np.uint8).reshape(len(right), REGISTERS)
         ids, roots, sizes_ = (right[c].to_numpy() for c in ("id", "root", "n_shingles"))
-        out = []
         for id_, root, size, raw in zip(left["id"], left["root"], left["n_shingles"], left["registers"]):
-            near = (roots != root) & (np.minimum(sizes_, size) >= np.maximum(sizes_, size) * SIMILARITY) & (ids != id_)
+            near = (roots != root) & (np.minimum(sizes_, size) >= np.maximum(sizes_, size) * SIMILARITY)
+            if key[1] == key[2]:
+                near &= ids > id_
             at = np.flatnonzero(near)
             if len(at):
                 at = at[(other[at] == np.frombuffer(raw, dtype=np.uint8)).mean(axis=1) >= LIKELY]
-                out += [(min(id_, i), max(id_, i)) for i in ids[at].tolist()]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+            for i in at.tolist():
+                a, b = find(root), find(int(roots[i]))
+                if a != b and similarity(own(id_), own(int(ids[i]))) >= SIMILARITY:
+                    joined[max(a, b)] = min(a, b)
+                    out.append((min(id_, int(ids[i])), max(id_, int(ids[i]))))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return cells.groupBy("bucket", "low", "high").applyInPandas(compare, "a long, b long").distinct()
 
@@ -195,7 +221,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     A class is a connected component of texts whose multisets of five-word shingles have a
     weighted Jaccard similarity of at least 0.8; ``class_id`` is its smallest doc_id.  Equal
-    word sequences are one text; ``n_links`` counts links between different texts.  Words are
+    word sequences are one text; ``n_links`` counts the verified links between different texts
+    that the classes rest on (pairs already joined are not compared again).  Words are
     runs without white space, unchanged.  A text of one to four words is a single shingle;
     texts without words (null ones too) equal each other and nothing else.  Rows without an
     id belong to classes but name one only if it has no other row (``class_id`` is null
@@ -222,8 +249,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = members.select("bucket", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     placed = materialize(placed, "placed")
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-    open_ = placed.join(mixed, "bucket").join(texts.select("id", "n_shingles", "registers"), "id")
-    more = _verify(_across(open_), texts, docs)
+    open_ = materialize(placed.join(mixed, "bucket"), "open")
+    own = _texts_of(open_.select("id"), texts, docs).join(texts.select("id", "n_shingles", "registers"), "id")
+    more = materialize(_across(open_.join(own, "id")), "more-links")
     links = links.union(more)
     roots = components(links) if not more.isEmpty() else roots
 
