@@ -27,8 +27,8 @@ from tidemark.workspace import materialize, ship_package
 
 WINDOW = 50
 PREFIX = 8
-GROUP = 10_000  # places of one prefix that a tree may hold
-BLOCK = 10_000  # places after which the trees of a task's next prefixes are grown
+GROUP = 50_000  # places of one prefix that a tree may hold, about 60 MB of contexts and matrix
+BLOCK = 20_000  # places after which the trees of a task's next prefixes are grown
 SLICE_BYTES = 8 << 20
 LAST = (1 << 63) - 1  # order of rows without an id
 
@@ -132,7 +132,7 @@ def _trees(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
     def block(table: pa.Table) -> pa.RecordBatch:
         column = {n: table.column(n).to_numpy() for n in ("gram", "ord", "text_key", "place", "before", "count")}
         numbers: dict[bytes, int] = {}
-        matrix = np.full((table.num_rows, reach + window), -1, dtype=np.int64)
+        matrix = np.full((table.num_rows, reach + window), -1, dtype=np.int32)
         for i, raw in enumerate(table.column("words").to_pylist()):
             ids = [numbers.setdefault(w, len(numbers)) for w in raw.split(b" ")]
             b = int(column["before"][i])
