@@ -27,7 +27,8 @@ BITS = 13  # hashed vocabulary of the passage matrix
 DIM = 1 << BITS
 RANK = 32
 BLOCK = 24  # words; a passage is two blocks
-NEAR = 0.35  # least cosine in the latent space
+NEAR = 0.35  # least cosine in the latent space with axes of unit variance,
+SAME = 0.9  # or least cosine before that scaling
 HELD = 0.35  # least share of an item's weight inside the passage
 SURE = 0.8  # common subsequence, as a share of the item, that settles it
 LIKE = 0.6  # share that is enough together with the answer
@@ -115,8 +116,8 @@ def _weights(docs: DataFrame) -> np.ndarray:
     return np.log((out[DIM] + 1) / (out[:DIM] + 1)).clip(min=0).astype(np.float32)
 
 
-def _basis(docs: DataFrame, weights: np.ndarray) -> np.ndarray:
-    """Projection of a weighted passage to the scaled latent space (DIM x RANK)."""
+def _basis(docs: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Projection of a passage to the scaled latent space (DIM x RANK) and the axes' singular values."""
     probe = np.random.default_rng(3).standard_normal((DIM, RANK)).astype(np.float32)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,11 +150,16 @@ def _basis(docs: DataFrame, weights: np.ndarray) -> np.ndarray:
     value, vector = np.linalg.eigh((core + core.T) / 2)
     keep = value > max(value.max(), 0) * 1e-9
     if not keep.any():
-        return np.zeros((DIM, RANK), dtype=np.float32)
+        return np.zeros((DIM, RANK), dtype=np.float32), np.zeros(RANK, dtype=np.float32)
     left, size, _ = np.linalg.svd(y @ (vector[:, keep] / np.sqrt(value[keep])), full_matrices=False)
     out = np.zeros((DIM, RANK), dtype=np.float32)
-    out[:, : len(size)] = weights[:, None] * left / np.maximum(size, size.max() * 1e-6)
-    return out
+    size = np.maximum(size, size.max() * 1e-6)
+    out[:, : len(size)] = weights[:, None] * left / size
+    return out, np.pad(size, (0, RANK - len(size))).astype(np.float32)
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
 
 
 def common_subsequence(masks: dict[int, int], size: int, words: list[int]) -> int:
@@ -196,14 +202,14 @@ class Item:
 HITS = "doc_id long, text_no long, item_id long, common double, answer boolean"
 
 
-def _search(docs: DataFrame, items: list[Item], weights: np.ndarray, basis: np.ndarray) -> DataFrame:
+def _search(docs: DataFrame, items: list[Item], weights: np.ndarray, basis: np.ndarray, size: np.ndarray) -> DataFrame:
     hashed = [(np.array(i.words, dtype=np.uint64) >> np.uint64(64 - BITS)).astype(np.int64) for i in items]
     held = np.zeros((len(items), DIM + 1), dtype=np.float32)  # weight of the item's words; the last column is padding
     for k, ids in enumerate(hashed):
         held[k, ids] = weights[ids]
     mass = np.maximum(held.sum(axis=1), 1e-9)
     query = np.array([basis[ids].sum(axis=0) for ids in hashed], dtype=np.float32).reshape(-1, RANK)
-    query /= np.maximum(np.linalg.norm(query, axis=1, keepdims=True), 1e-9)
+    plain, query = _unit(query * size), _unit(query)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,10 +217,10 @@ def _search(docs: DataFrame, items: list[Item], weights: np.ndarray, basis: np.n
             for ids_, p in _slices(batch):
                 best: dict[tuple[int, int], tuple[float, bool]] = {}
                 latent = p.joined(p.sums(basis))
-                latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
                 padded = np.append(p.ids.astype(np.int64), DIM)
                 for at in range(0, len(latent), 4096):
-                    passage, item = np.nonzero(latent[at : at + 4096] @ query.T >= NEAR)
+                    some = latent[at : at + 4096]
+                    passage, item = np.nonzero((_unit(some) @ query.T >= NEAR) | (_unit(some * size) @ plain.T >= SAME))
                     passage += at
                     for cut in range(0, len(passage), 20_000):
                         ps, qs = passage[cut : cut + 20_000], item[cut : cut + 20_000]
@@ -258,12 +264,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, answer_col: str | None =
     ).dropna(subset=["item_id", "text"])
     passes = max(1, -(-wanted.count() // ITEMS))
     weights = _weights(plain)
-    basis = _basis(plain, weights)
+    basis, size = _basis(plain, weights)
     hits, known = None, FoldedHashes()
     for turn in range(passes):  # a pass holds a bounded block of items
         rows = wanted.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == turn).collect()
         items = [Item(r["item_id"], known.of(r["text"].encode()), known.of(r["answer"].encode()) if r["answer"] else None) for r in rows]
-        found = _search(plain, [i for i in items if i.words], weights, basis)
+        found = _search(plain, [i for i in items if i.words], weights, basis, size)
         hits = found if hits is None else hits.unionByName(found)
     return hits
 
