@@ -58,7 +58,9 @@ def _boundaries(rows: DataFrame, column: str, targets: list[int], tolerances: li
     while bracket:
         spans = set(bracket.values())
         count = max(PROBES, 1024 // len(spans))  # few brackets get more probes
-        probes = np.unique(np.array([lo - (lo - hi) * j // count for lo, hi in spans for j in range(1, count)], dtype=np.int64))
+        # a bracket's ends are probes too, so the next interval lies inside it
+        inside = [lo - (lo - hi) * j // count for lo, hi in spans for j in range(count)]
+        probes = np.unique(np.array(inside + [min(hi + 1, HIGH) for _, hi in spans], dtype=np.int64))
         got = _histogram(rows, column, probes)
         if got.empty:
             return [(HIGH, 0, 0, None) for _ in targets]
