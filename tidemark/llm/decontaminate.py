@@ -10,12 +10,12 @@ subsequence of item and surroundings and, for paraphrases, the item's answer.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +25,9 @@ from tidemark.workspace import materialize, ship_package
 
 BITS = 13  # hashed vocabulary of the passage matrix
 DIM = 1 << BITS
-RANK = 32
+RANK = 64
 BLOCK = 24  # words; a passage is two blocks
-NEAR = 0.35  # least cosine in the latent space with axes of unit variance,
+NEAR = 0.1  # least cosine in the latent space with axes of unit variance (low, as a short item is a small part of its passage),
 SAME = 0.9  # or least cosine before that scaling
 HELD = 0.35  # least share of an item's weight inside the passage
 SURE = 0.8  # common subsequence, as a share of the item, that settles it
@@ -40,15 +40,15 @@ PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) +
 
 
 class FoldedHashes(dict):
-    """Hash of a word without case and outer punctuation; 0 if nothing is left."""
+    """Hash of a lower-case word without outer punctuation; 0 if nothing is left."""
 
     def __missing__(self, word: bytes) -> int:
-        bare = word.decode("utf-8", "replace").lower().strip(PUNCTUATION).encode()
-        self[word] = out = int.from_bytes(hashlib.blake2b(bare, digest_size=8).digest(), "little") | 1 if bare else 0
+        bare = word.decode("utf-8", "replace").strip(PUNCTUATION).encode()
+        self[word] = out = xxhash.xxh64_intdigest(bare) | 1 if bare else 0
         return out
 
     def of(self, text: bytes) -> np.ndarray:
-        words = text.split()
+        words = text.decode("utf-8", "replace").lower().encode().split()
         found = np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
         return found[found != 0]
 
@@ -80,6 +80,14 @@ class Passages:
         """Sum of the table's rows over each block."""
         return np.add.reduceat(table[self.ids], self.starts, axis=0) if len(self.starts) else np.zeros((0, *table.shape[1:]), table.dtype)
 
+    def cells(self, starts: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
+        """The different word numbers of each stretch of at most ``width`` words, filled up with DIM."""
+        place = starts[:, None] + np.arange(width)
+        out = np.append(self.ids, np.uint16(DIM))[np.where(place < ends[:, None], place, len(self.words))]
+        out.sort(axis=1)
+        out[:, 1:][out[:, 1:] == out[:, :-1]] = DIM
+        return out
+
     def joined(self, blocks: np.ndarray) -> np.ndarray:
         """Block sums to passage sums."""
         out = blocks[self.first].copy()
@@ -103,9 +111,7 @@ def _weights(docs: DataFrame) -> np.ndarray:
         found = np.zeros(DIM + 1, dtype=np.int64)
         for batch in batches:
             for _, p in _slices(batch):
-                block = np.repeat(np.arange(len(p.starts), dtype=np.int64), p.lengths)
-                once = np.unique(block * DIM + p.ids)
-                found[:DIM] += np.bincount(once % DIM, minlength=DIM)
+                found[:DIM] += np.bincount(p.cells(p.starts, p.starts + p.lengths, BLOCK).ravel(), minlength=DIM + 1)[:DIM]
                 found[DIM] += len(p.starts)
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_pydict({"i": pa.array(at), "n": pa.array(found[at])})
@@ -217,27 +223,20 @@ def _search(docs: DataFrame, items: list[Item], weights: np.ndarray, basis: np.n
             for ids_, p in _slices(batch):
                 best: dict[tuple[int, int], tuple[float, bool]] = {}
                 latent = p.joined(p.sums(basis))
-                padded = np.append(p.ids.astype(np.int64), DIM)
                 for at in range(0, len(latent), 4096):
-                    some = latent[at : at + 4096]
-                    passage, item = np.nonzero((_unit(some) @ query.T >= NEAR) | (_unit(some * size) @ plain.T >= SAME))
-                    passage += at
-                    for cut in range(0, len(passage), 20_000):
-                        ps, qs = passage[cut : cut + 20_000], item[cut : cut + 20_000]
-                        start = p.starts[p.first[ps]]
-                        limit = np.minimum(start + 2 * BLOCK, (p.base + p.sizes)[p.text[p.first[ps]]])
-                        place = start[:, None] + np.arange(2 * BLOCK)
-                        cell = padded[np.where(place < limit[:, None], place, len(p.words))]
-                        cell.sort(axis=1)  # a repeated word counts once
-                        fresh = np.append(np.ones((len(cell), 1), dtype=bool), cell[:, 1:] != cell[:, :-1], axis=1)
-                        share = (held[qs[:, None], cell] * fresh).sum(axis=1) / mass[qs]
-                        for k in np.flatnonzero(share >= HELD):
-                            text, one = int(p.text[p.first[ps[k]]]), items[qs[k]]
-                            reach = len(one.words)
-                            low, high = max(p.base[text], start[k] - reach), min(p.base[text] + p.sizes[text], start[k] + 2 * BLOCK + reach)
+                    some, start = latent[at : at + 4096], p.starts[p.first[at : at + 4096]]
+                    text = p.text[p.first[at : at + 4096]]
+                    close = (_unit(some) @ query.T >= NEAR) | (_unit(some * size) @ plain.T >= SAME)
+                    cells = p.cells(start, np.minimum(start + 2 * BLOCK, p.base[text] + p.sizes[text]), 2 * BLOCK)
+                    for q in np.flatnonzero(close.any(axis=0)).tolist():
+                        rows = np.flatnonzero(close[:, q])
+                        one, reach = items[q], len(items[q].words)
+                        for k in rows[held[q][cells[rows]].sum(axis=1) >= HELD * mass[q]].tolist():
+                            t = int(text[k])
+                            low, high = max(p.base[t], start[k] - reach), min(p.base[t] + p.sizes[t], start[k] + 2 * BLOCK + reach)
                             found = one.verdict(p.words[low:high].tolist())
-                            if found and found > best.get((text, int(qs[k])), (0.0, False)):
-                                best[text, int(qs[k])] = found
+                            if found and found > best.get((t, q), (0.0, False)):
+                                best[t, q] = found
                 out += [(ids_[t], t, items[q].item_id, share, answer) for (t, q), (share, answer) in sorted(best.items())]
             columns = list(zip(*out)) or [()] * 5
             types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
