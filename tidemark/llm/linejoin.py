@@ -18,6 +18,7 @@ from tidemark.workspace import materialize
 
 RARITY_BITS = 18  # tokens are counted in so many hash buckets, which bounds the table of counts
 LAST = (1 << 63) - 1
+NOT_SPACE = r"[^\x20\x09-\x0D]"
 LEAST_SIZE = 4  # smaller sets have no other set within 0.8
 
 
@@ -43,10 +44,12 @@ def _lines(texts: DataFrame) -> DataFrame:
     """One row per line with tokens: its place, the key of its token set and its join prefix."""
     rarity = _rarity(texts)
     lines = texts.select("ord", "text_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    hashes = F.transform(tokens(F.col("line")), lambda w: F.xxhash64(w))
+    # the test on the raw line keeps the filter from computing the set a second time
+    lines = lines.filter(F.col("line").rlike(NOT_SPACE))
+    hashes = F.transform(F.split(F.btrim("line", F.lit(" \t\n\v\f\r")), SPACE), lambda w: F.xxhash64(w))
     # rarity first, the hash settles ties; the same token has the same rank everywhere
     rank = lambda h: F.shiftleft(F.get(rarity, h.bitwiseAND((1 << RARITY_BITS) - 1).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    ranked = lines.select("ord", "text_key", "line_no", F.sort_array(F.array_distinct(F.transform(hashes, rank))).alias("set")).filter(F.size("set") > 0)
+    ranked = lines.select("ord", "text_key", "line_no", F.sort_array(F.array_distinct(F.transform(hashes, rank))).alias("set"))
     n = F.size("set")
     prefix = F.when(n < LEAST_SIZE, F.lit(0)).otherwise(n - F.expr("(4 * size(set) + 4) div 5").cast("int") + 1)
     return ranked.select(
