@@ -223,6 +223,11 @@ def test_histogram_sort(spark, empty):
     assert shard.histogram_sort(df.limit(0), F.col("k"), F.col("i"), F.col("n"), shards=8).count() == 0
 
 
+@pytest.mark.parametrize("found", [[], [0], [254, 255, 256, 511, 32767], [32767], list(range(300))])
+def test_packed_indicators(found):
+    assert quality.unpack(quality.pack(np.array(found, dtype=np.uint16))).tolist() == found
+
+
 def test_quality(spark, docs, empty):
     r = random.Random(1)
     good = lambda: " ".join(r.choice(["the", "house", "of", "green", "river"]) for _ in range(40))

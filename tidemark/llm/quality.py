@@ -44,6 +44,21 @@ def indicators(text: bytes) -> np.ndarray:
     return np.flatnonzero(seen).astype(np.uint16)
 
 
+def pack(found: np.ndarray) -> bytes:
+    """Ascending numbers as gaps, one byte each; 255 stands for a gap of 255 that goes on."""
+    gaps = np.diff(found.astype(np.int64), prepend=-1) - 1
+    whole = gaps // 255
+    out = np.full(len(gaps) + int(whole.sum()), 255, dtype=np.uint8)
+    out[np.cumsum(whole + 1) - 1] = gaps % 255
+    return out.tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    gaps = np.frombuffer(raw, dtype=np.uint8)
+    last = gaps < 255
+    return (np.cumsum(gaps.astype(np.int64) + last)[last] - 1).astype(np.uint16)
+
+
 @dataclass
 class Model:
     """``ratio`` scales indicators, ``weights`` apply to rows scaled to unit length."""
@@ -115,7 +130,7 @@ def held_out(doc_id: Column) -> Column:
 def _featured(docs: DataFrame) -> DataFrame:
     def feature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [indicators(t).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            found = [pack(indicators(t)) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "found"])
 
     return docs.mapInArrow(feature, "doc_id long, found binary")
@@ -128,7 +143,7 @@ def _class_counts(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         sums = np.zeros((2, DIM + 1), dtype=np.int64)
         for batch in batches:
             for raw, label in zip(batch.column("found").to_pylist(), batch.column("label").to_pylist()):
-                sums[label, np.frombuffer(raw, dtype=np.uint16)] += 1
+                sums[label, unpack(raw)] += 1
                 sums[label, DIM] += 1
         at = np.flatnonzero(sums.any(axis=0))
         yield pa.RecordBatch.from_pydict({"i": pa.array(at), "c0": pa.array(sums[0, at]), "c1": pa.array(sums[1, at])})
@@ -164,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", fit_ro
     sample = sorted((r["doc_id"], r["found"], r["label"]) for r in chosen.select("doc_id", "found", "label").collect())  # about fit_rows rows
     if len({s[2] for s in sample}) < 2:
         sample = sorted((r["doc_id"], r["found"], r["label"]) for k in (0, 1) for r in labelled.filter(F.col("label") == k).limit(fit_rows // 2).collect())
-    found, label = [np.frombuffer(s[1], dtype=np.uint16) for s in sample], np.array([s[2] for s in sample])
+    found, label = [unpack(s[1]) for s in sample], np.array([s[2] for s in sample])
     order = np.random.default_rng(11).permutation(len(sample))
     test = np.zeros(len(sample), dtype=bool)
     for k in (0, 1):  # a fifth of each class calibrates
