@@ -1,5 +1,6 @@
 """Benchmark decontamination by latent semantic retrieval.
 
+The words of all texts are hashed once and written beside the texts, two bytes a word.
 Texts are cut into overlapping passages of two blocks.  A distributed randomised SVD of the
 TF-IDF passage matrix A (one pass that sums A'AQ for a random Q over all passages, then a
 Nystrom decomposition of the small result) gives a latent space whose axes are scaled to
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import documents
-from tidemark.llm.words import MAX_WORDS, in_slices
+from tidemark.llm.words import in_slices
 from tidemark.workspace import materialize, ship_package
 
 BITS = 13  # hashed vocabulary of the passage matrix
@@ -36,6 +37,7 @@ ANSWER_WORDS = 5
 SHORT = 8  # items with fewer words must occur word for word
 ITEMS = 4_000  # items searched in one pass over the texts
 SLICE_BYTES = 4 << 20
+KNOWN_WORDS = 600_000  # hashes a task keeps before it starts anew
 PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’„–—…¿¡"
 
 
@@ -58,19 +60,34 @@ def folded() -> FoldedHashes:
     return FoldedHashes()
 
 
+def group_sums(table: np.ndarray, index: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int) -> np.ndarray:
+    """Sum of ``table[index]`` over stretches of ``index`` of at most ``width`` entries.
+
+    Goes through the stretches side by side, entry by entry, as one long gather and a
+    segmented sum are several times slower for rows of 64 numbers.
+    """
+    table = np.concatenate([table, np.zeros((1, table.shape[1]), table.dtype)])
+    index = np.append(index, len(table) - 1)
+    out = np.zeros((len(starts), table.shape[1]), dtype=table.dtype)
+    for low in range(0, len(starts), 2048):
+        first, size, total = starts[low : low + 2048], lengths[low : low + 2048], out[low : low + 2048]
+        for j in range(min(width, int(size.max()))):
+            total += table[index[np.where(j < size, first + j, len(index) - 1)]]
+    return out
+
+
 class Passages:
-    """The blocks and passages of some texts laid end to end."""
+    """The blocks and passages of some texts, given by the word numbers, laid end to end."""
 
-    def __init__(self, hashes: list[np.ndarray]):
-        self.sizes = np.array([len(h) for h in hashes], dtype=np.int64)
-        self.words = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
-        self.ids = (self.words >> np.uint64(64 - BITS)).astype(np.uint16)
+    def __init__(self, numbers: list[np.ndarray]):
+        self.sizes = np.array([len(n) for n in numbers], dtype=np.int64)
+        self.ids = np.concatenate(numbers) if numbers else np.zeros(0, dtype=np.uint16)
+        self.base = np.cumsum(self.sizes) - self.sizes
         blocks = -(-self.sizes // BLOCK)
-        self.text = np.repeat(np.arange(len(hashes)), blocks)  # text of each block
+        self.text = np.repeat(np.arange(len(numbers)), blocks)  # text of each block
         inside = np.arange(len(self.text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        self.base = np.cumsum(self.sizes) - self.sizes
         self.starts = self.base[self.text] + BLOCK * inside
-        ends = np.append(self.starts[1:], len(self.words))
+        ends = np.append(self.starts[1:], len(self.ids))
         self.lengths = (ends - self.starts)[: len(self.starts)]
         follows = np.append(self.text[1:] == self.text[:-1], False)[: len(self.text)]
         self.first = np.flatnonzero(follows | (blocks[self.text] == 1))  # first block of each passage
@@ -78,12 +95,25 @@ class Passages:
 
     def sums(self, table: np.ndarray) -> np.ndarray:
         """Sum of the table's rows over each block."""
-        return np.add.reduceat(table[self.ids], self.starts, axis=0) if len(self.starts) else np.zeros((0, *table.shape[1:]), table.dtype)
+        return group_sums(table, self.ids, self.starts, self.lengths, BLOCK)
+
+    def scattered(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers that occur, and for each the sum of the rows of the blocks around its occurrences."""
+        order = np.argsort(self.ids, kind="stable")
+        ids = self.ids[order]
+        block = np.repeat(np.arange(len(self.starts)), self.lengths)[order]
+        cut = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        count = np.diff(np.append(cut, len(ids)))
+        runs = -(-count // BLOCK)  # occurrences of a word are summed in runs first
+        inside = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+        starts = np.repeat(cut, runs) + BLOCK * inside
+        part = group_sums(rows, block, starts, np.minimum(np.repeat(cut + count, runs) - starts, BLOCK), BLOCK)
+        return ids[cut], np.add.reduceat(part, np.cumsum(runs) - runs, axis=0)
 
     def cells(self, starts: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
         """The different word numbers of each stretch of at most ``width`` words, filled up with DIM."""
         place = starts[:, None] + np.arange(width)
-        out = np.append(self.ids, np.uint16(DIM))[np.where(place < ends[:, None], place, len(self.words))]
+        out = np.append(self.ids, np.uint16(DIM))[np.where(place < ends[:, None], place, len(self.ids))]
         out.sort(axis=1)
         out[:, 1:][out[:, 1:] == out[:, :-1]] = DIM
         return out
@@ -95,16 +125,32 @@ class Passages:
         return out
 
 
-def _slices(batch: pa.RecordBatch):
-    known = folded()
-    rows = list(zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()))
-    for part in in_slices(rows, lambda r: len(r[1]), SLICE_BYTES):
-        if len(known) > MAX_WORDS:
-            known.clear()
-        yield [r[0] for r in part], Passages([known.of(r[1]) for r in part])
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with the hashed word numbers of each text (little-endian 16-bit), written once for all passes."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = folded()
+        for batch in batches:
+            numbers = []
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                if len(known) > KNOWN_WORDS:
+                    known.clear()
+                numbers.append((known.of(text) >> np.uint64(64 - BITS)).astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(numbers, pa.binary())], names=["doc_id", "text", "ids"])
+
+    return materialize(docs.mapInArrow(number, "doc_id long, text string, ids binary"), "word-numbers")
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[range, Passages]]:
+    """Bounded stretches of the batch's rows with their passages."""
+    numbers = [np.frombuffer(x, dtype="<u2") for x in batch.column("ids").to_pylist()]
+    at = 0
+    for part in in_slices(numbers, len, SLICE_BYTES // 8):
+        yield range(at, at + len(part)), Passages(part)
+        at += len(part)
 
 
-def _weights(docs: DataFrame) -> np.ndarray:
+def _weights(numbered: DataFrame) -> np.ndarray:
     """Inverse document frequency of each hashed word over all blocks."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,12 +163,12 @@ def _weights(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"i": pa.array(at), "n": pa.array(found[at])})
 
     out = np.zeros(DIM + 1)
-    for row in docs.mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():  # at most DIM + 1 rows
+    for row in numbered.select("ids").mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():  # at most DIM + 1 rows
         out[row["i"]] = row["n"]
     return np.log((out[DIM] + 1) / (out[:DIM] + 1)).clip(min=0).astype(np.float32)
 
 
-def _basis(docs: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _basis(numbered: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Projection of a passage to the scaled latent space (DIM x RANK) and the axes' singular values."""
     probe = np.random.default_rng(3).standard_normal((DIM, RANK)).astype(np.float32)
 
@@ -130,24 +176,21 @@ def _basis(docs: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray
         total = np.zeros((DIM, RANK), dtype=np.float32)
         for batch in batches:
             for _, p in _slices(batch):
-                if not len(p.words):
+                if not len(p.ids):
                     continue
-                norm = p.joined(p.sums(weights**2)) + 1e-9
-                seen = p.joined(p.sums(weights[:, None] * probe)) / norm[:, None]  # rows of A Q over squared row norms
+                norm = p.joined(p.sums(weights[:, None] ** 2)) + 1e-9
+                seen = p.joined(p.sums(weights[:, None] * probe)) / norm  # rows of A Q over squared row norms
                 back = np.zeros((len(p.starts), RANK), dtype=np.float32)
                 back[p.first] += seen
                 back[p.first[p.two] + 1] += seen[p.two]
-                order = np.argsort(p.ids, kind="stable")
-                ids = p.ids[order]
-                cut = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-                block = np.repeat(np.arange(len(p.starts)), p.lengths)[order]
-                total[ids[cut]] += np.add.reduceat(back[block], cut, axis=0)
+                ids, rows = p.scattered(back)
+                total[ids] += rows
         at = np.flatnonzero(total.any(axis=1))
         values = {f"v{j}": pa.array(total[at, j].astype(np.float64)) for j in range(RANK)}
         yield pa.RecordBatch.from_pydict({"i": pa.array(at), **values})
 
     columns = [f"v{j}" for j in range(RANK)]
-    summed = docs.mapInArrow(sketch, "i long, " + ", ".join(f"{c} double" for c in columns)).groupBy("i").agg(*[F.sum(c).alias(c) for c in columns])
+    summed = numbered.select("ids").mapInArrow(sketch, "i long, " + ", ".join(f"{c} double" for c in columns)).groupBy("i").agg(*[F.sum(c).alias(c) for c in columns])
     y = np.zeros((DIM, RANK))
     for row in summed.collect():  # at most DIM rows
         y[row["i"]] = row[1:]
@@ -205,10 +248,10 @@ class Item:
         return (share, answer) if share >= SURE or answer else None
 
 
-HITS = "doc_id long, text_no long, item_id long, common double, answer boolean"
+HITS = "doc_id long, item_id long, common double, answer boolean"
 
 
-def _search(docs: DataFrame, items: list[Item], weights: np.ndarray, basis: np.ndarray, size: np.ndarray) -> DataFrame:
+def _search(numbered: DataFrame, items: list[Item], weights: np.ndarray, basis: np.ndarray, size: np.ndarray) -> DataFrame:
     hashed = [(np.array(i.words, dtype=np.uint64) >> np.uint64(64 - BITS)).astype(np.int64) for i in items]
     held = np.zeros((len(items), DIM + 1), dtype=np.float32)  # weight of the item's words; the last column is padding
     for k, ids in enumerate(hashed):
@@ -218,31 +261,37 @@ def _search(docs: DataFrame, items: list[Item], weights: np.ndarray, basis: np.n
     plain, query = _unit(query * size), _unit(query)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = folded()
         for batch in batches:
             out = []
-            for ids_, p in _slices(batch):
+            for rows_, p in _slices(batch):
+                if len(known) > KNOWN_WORDS:
+                    known.clear()
+                words: dict[int, np.ndarray] = {}  # full hashes, of texts with candidates only
                 best: dict[tuple[int, int], tuple[float, bool]] = {}
                 latent = p.joined(p.sums(basis))
                 for at in range(0, len(latent), 4096):
                     some, start = latent[at : at + 4096], p.starts[p.first[at : at + 4096]]
                     text = p.text[p.first[at : at + 4096]]
-                    close = (_unit(some) @ query.T >= NEAR) | (_unit(some * size) @ plain.T >= SAME)
+                    close = (query @ _unit(some).T >= NEAR) | (plain @ _unit(some * size).T >= SAME)
                     cells = p.cells(start, np.minimum(start + 2 * BLOCK, p.base[text] + p.sizes[text]), 2 * BLOCK)
-                    for q in np.flatnonzero(close.any(axis=0)).tolist():
-                        rows = np.flatnonzero(close[:, q])
+                    for q in np.flatnonzero(close.any(axis=1)).tolist():
+                        rows = np.flatnonzero(close[q])
                         one, reach = items[q], len(items[q].words)
                         for k in rows[held[q][cells[rows]].sum(axis=1) >= HELD * mass[q]].tolist():
                             t = int(text[k])
-                            low, high = max(p.base[t], start[k] - reach), min(p.base[t] + p.sizes[t], start[k] + 2 * BLOCK + reach)
-                            found = one.verdict(p.words[low:high].tolist())
+                            if t not in words:
+                                words[t] = known.of(batch.column("text")[rows_[t]].as_py().encode())
+                            inside = int(start[k] - p.base[t])
+                            found = one.verdict(words[t][max(0, inside - reach) : inside + 2 * BLOCK + reach].tolist())
                             if found and found > best.get((t, q), (0.0, False)):
                                 best[t, q] = found
-                out += [(ids_[t], t, items[q].item_id, share, answer) for (t, q), (share, answer) in sorted(best.items())]
-            columns = list(zip(*out)) or [()] * 5
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "text_no", "item_id", "common", "answer"])
+                out += [(batch.column("doc_id")[rows_[t]].as_py(), items[q].item_id, share, answer) for (t, q), (share, answer) in sorted(best.items())]
+            columns = list(zip(*out)) or [()] * 4
+            types = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "item_id", "common", "answer"])
 
-    return docs.mapInArrow(search, HITS).drop("text_no")
+    return numbered.mapInArrow(search, HITS)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, answer_col: str | None = None) -> DataFrame:
@@ -262,13 +311,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, answer_col: str | None =
         (F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")).alias("answer"),
     ).dropna(subset=["item_id", "text"])
     passes = max(1, -(-wanted.count() // ITEMS))
-    weights = _weights(plain)
-    basis, size = _basis(plain, weights)
+    numbered = _numbered(plain)
+    weights = _weights(numbered)
+    basis, size = _basis(numbered, weights)
     hits, known = None, FoldedHashes()
     for turn in range(passes):  # a pass holds a bounded block of items
         rows = wanted.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == turn).collect()
         items = [Item(r["item_id"], known.of(r["text"].encode()), known.of(r["answer"].encode()) if r["answer"] else None) for r in rows]
-        found = _search(plain, [i for i in items if i.words], weights, basis, size)
+        found = _search(numbered, [i for i in items if i.words], weights, basis, size)
         hits = found if hits is None else hits.unionByName(found)
     return hits
 
