@@ -8,6 +8,8 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.workspace import materialize
+
 #: The white space of all contracts: words are runs of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -32,5 +34,16 @@ def attempt_name(folder: str, label: str, part: int, suffix: str) -> str:
     return f"{folder.rstrip('/')}/{label}-{part:06d}-{uuid.uuid4().hex[:12]}.{suffix}"
 
 
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a written table; the shuffle files that led to it are given back once it is written."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        return materialize(df, label)
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
+
+
 def slots(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

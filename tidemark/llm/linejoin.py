@@ -2,9 +2,9 @@
 
 Lines with one token set are one class.  Tokens are ordered by rarity, counted over all
 texts.  Two sets of similarity 0.8 or more share a token among their rarest ones, so only
-prefixes are joined: a short index prefix of the smaller set and a longer probe prefix of
-the larger one.  The join itself applies the length filter, the positional filter (what can
-still follow a shared token) and a parity bitmap (its bits bound the number of tokens that
+prefixes are joined.  Both sides of the join are the same rows, so they are shuffled once.
+The join itself applies the length filter, the positional filter (what can still follow a
+shared token, which also cuts the smaller set to its shorter index prefix) and a parity bitmap (its bits bound the number of tokens that
 only one set has).  Survivors are verified on their real tokens.
 """
 
@@ -13,8 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, documents
-from tidemark.workspace import materialize
+from tidemark.llm.common import SPACE, documents, settle
 
 RARITY_BITS = 18  # tokens are counted in so many hash buckets, which bounds the table of counts
 LAST = (1 << 63) - 1
@@ -31,7 +30,7 @@ def _rarity(texts: DataFrame) -> Column:
 
     All tokens of all texts are counted; the table has a fixed number of entries.
     """
-    words = texts.select(F.explode(tokens(F.col("text"))).alias("w"))
+    words = texts.select(F.explode(F.split("text", SPACE)).alias("w")).filter("w <> ''")
     counted = words.groupBy(F.expr(f"cast(xxhash64(w) & {(1 << RARITY_BITS) - 1} as int)").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     every = texts.sparkSession.range(1 << RARITY_BITS).select(F.col("id").cast("int").alias("b"))
     level = F.least(F.round(4 * F.log2(F.coalesce("n", F.lit(0)) + 1)).cast("int"), F.lit(127))
@@ -48,7 +47,7 @@ def _lines(texts: DataFrame) -> DataFrame:
     lines = lines.filter(F.col("line").rlike(NOT_SPACE))
     hashes = F.transform(F.split(F.btrim("line", F.lit(" \t\n\v\f\r")), SPACE), lambda w: F.xxhash64(w))
     # rarity first, the hash settles ties; the same token has the same rank everywhere
-    rank = lambda h: F.shiftleft(F.get(rarity, h.bitwiseAND((1 << RARITY_BITS) - 1).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    rank = lambda h: F.shiftleft(F.coalesce(F.get(rarity, h.bitwiseAND((1 << RARITY_BITS) - 1).cast("int")), F.lit(0)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
     ranked = lines.select("ord", "text_key", "line_no", F.sort_array(F.array_distinct(F.transform(hashes, rank))).alias("set"))
     n = F.size("set")
     prefix = F.when(n < LEAST_SIZE, F.lit(0)).otherwise(n - F.expr("(4 * size(set) + 4) div 5").cast("int") + 1)
@@ -61,12 +60,8 @@ def _lines(texts: DataFrame) -> DataFrame:
 
 def _candidates(sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of sets that pass all filters; a is not larger than b."""
-    index_length = F.expr("n - cast((8 * n + 8) div 9 as int) + 1")
     large = sets.filter(F.col("n") >= LEAST_SIZE)
-    index = large.select(
-        F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("parity").alias("p_a"), F.posexplode(F.slice("prefix", 1, index_length)).alias("i_a", "token")
-    )
-    probe = large.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("p_b"), F.posexplode("prefix").alias("i_b", "token"))
+    side = lambda x: large.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"p_{x}"), F.posexplode("prefix").alias(f"i_{x}", "token"))
     both = F.col("n_a") + F.col("n_b")
     need = F.expr("(4 * (n_a + n_b) + 8) div 9")  # shared tokens that 0.8 asks for
     fits = (
@@ -75,22 +70,39 @@ def _candidates(sets: DataFrame) -> DataFrame:
         & (F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) >= need)
         & (F.bit_count(F.col("p_a").bitwiseXOR(F.col("p_b"))) <= both - 2 * need)
     )
-    return index.join(probe, "token").filter(fits).select("a", "b").distinct()
+    return side("a").join(side("b"), "token").filter(fits).select("a", "b").distinct()
+
+
+def _similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """``late`` of the pairs whose token sets really have a similarity of 0.8 or more."""
+    side = lambda x: lines.select(F.col("id").alias(x), F.col("set").alias(f"s_{x}"))
+    full = pairs.select("early", "late").join(side("early"), "early").join(side("late"), "late")
+    sized = full.select("late", F.size(F.array_intersect("s_early", "s_late")).alias("both"), (F.size("s_early") + F.size("s_late")).alias("sum"))
+    return sized.filter("both * 5 >= (sum - both) * 4").select("late").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs whose token sets really have a similarity of 0.8 or more."""
+def _later(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Ids of the sets that have an earlier set within 0.8.
+
+    Each set is verified against one of its earlier candidates first.  Where that one does
+    not hold, it is verified against all others, so that no match is lost.
+    """
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(sets.select("id", "first.*"), "id")
-    wanted = materialize(wanted.select("id", "ord", "text_key", "line_no"), "wanted-lines")
+    wanted = settle(wanted.select("id", "ord", "text_key", "line_no"), "wanted-lines")
     by_text = wanted.groupBy("ord", "text_key").agg(F.collect_set("line_no").alias("numbers"))
     numbered = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("line_no"), line.alias("line")))
     chosen = texts.join(by_text, ["ord", "text_key"]).select("ord", "text_key", F.explode(F.filter(numbered, lambda x: F.array_contains("numbers", x["line_no"]))).alias("l"))
     lines = chosen.select("ord", "text_key", "l.*").join(wanted, ["ord", "text_key", "line_no"])
-    lines = materialize(lines.select("id", F.array_distinct(tokens(F.col("line"))).alias("set")).dropDuplicates(["id"]), "token-sets")
-    full = pairs.join(lines.select(F.col("id").alias("a"), F.col("set").alias("s_a")), "a").join(lines.select(F.col("id").alias("b"), F.col("set").alias("s_b")), "b")
-    shared = F.size(F.array_intersect("s_a", "s_b"))
-    sized = full.select("a", "b", shared.alias("both"), (F.size("s_a") + F.size("s_b")).alias("sum"))
-    return sized.filter("both * 5 >= (sum - both) * 4").select("a", "b")
+    lines = settle(lines.select("id", F.array_distinct(tokens(F.col("line"))).alias("set")).dropDuplicates(["id"]), "token-sets")
+
+    for name in ("a", "b"):
+        pairs = pairs.join(wanted.select(F.col("id").alias(name), F.struct("ord", "text_key", "line_no").alias(f"f_{name}")), name)
+    a_first = F.col("f_a") < F.col("f_b")
+    pairs = settle(pairs.select(F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("late")), "ordered-pairs")
+    tried = pairs.groupBy("late").agg(F.min("early").alias("early"))
+    held = settle(_similar(tried, lines), "later-sets")
+    rest = pairs.join(held, "late", "left_anti").join(tried, ["late", "early"], "left_anti")
+    return held.unionByName(settle(_similar(rest, lines), "later-sets")).withColumnRenamed("late", "id")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -106,19 +118,17 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """
     plain = documents(docs)
     texts = plain.select(F.coalesce("doc_id", F.lit(LAST)).alias("ord"), F.xxhash64("text").alias("text_key"), "text")
-    lines = materialize(_lines(texts), "lines")
+    lines = settle(_lines(texts), "lines")
     first = F.min(F.struct("ord", "text_key", "line_no", "n", "parity", "prefix")).alias("m")
-    sets = lines.groupBy("k1", "k2").agg(first).select("k1", "k2", "m.n", "m.parity", "m.prefix", F.struct("m.ord", "m.text_key", "m.line_no").alias("first"))
-    sets = materialize(sets.withColumn("id", F.monotonically_increasing_id()), "line-sets")
-    pairs = materialize(_candidates(sets), "line-pairs")
-    links = _verified(pairs, sets, texts)
-
-    heads = sets.select("id", "first")
-    for name in ("a", "b"):
-        links = links.join(heads.select(F.col("id").alias(name), F.col("first").alias(f"f_{name}")), name)
-    later = links.select(F.when(F.col("f_a") < F.col("f_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
-    named = sets.select("id", "k1", "k2", "first").join(later.withColumn("near", F.lit(True)), "id", "left")
-    named = materialize(named.select("k1", "k2", "first", F.coalesce("near", F.lit(False)).alias("near")), "named-sets")
+    sets = lines.groupBy("k1", "k2").agg(first, F.count(F.lit(1)).alias("lines"))
+    sets = sets.select("k1", "k2", "lines", "m.n", "m.parity", "m.prefix", F.struct("m.ord", "m.text_key", "m.line_no").alias("first"))
+    sets = settle(sets.withColumn("id", F.monotonically_increasing_id()), "line-sets")
+    pairs = settle(_candidates(sets), "line-pairs")
+    later = _later(pairs, sets, texts)
+
+    named = sets.select("id", "k1", "k2", "lines", "first").join(later.withColumn("near", F.lit(True)), "id", "left")
+    named = named.select("k1", "k2", "lines", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    named = settle(named.filter("near or lines > 1").drop("lines"), "named-sets")  # no other set loses a line
 
     own = F.struct("ord", "text_key", "line_no")
     # one row per set against all lines: adaptive execution splits the very common lines
