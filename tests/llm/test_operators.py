@@ -182,6 +182,43 @@ def test_decontamination(spark, docs, empty):
     assert left.columns == docs.columns and left.count() == docs.count()
 
 
+def _longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row_, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(row_[j] + 1 if x == y else max(row_[j + 1], row[j]))
+    return row[-1]
+
+
+def test_decontamination_of_long_items_equals_brute_force(spark):
+    r = random.Random(8)
+    names = [f"w{i}" for i in range(3000)]
+    odds = [1 / (i + 5) for i in range(3000)]
+    text = lambda n: r.choices(names, odds, k=n)
+    swapped = lambda ws: [w if i % 4 or i > len(ws) - 8 else "other" for i, w in enumerate(ws)]  # noqa: E731  three in four words, and the answer
+    longer = lambda ws: [x for i, w in enumerate(ws) for x in ([w, "well"] if i % 3 == 0 else [w])]
+    items = {k: text(n) for k, n in enumerate([40, 59, 100] + [150, 180, 250, 400] * 3)}
+    planted = [(k, how(item)) for k, item in items.items() for how in (list, swapped, longer)]
+    texts = {i: text(r.randint(0, 90)) + part + text(r.randint(0, 90)) for i, (_, part) in enumerate(planted)}
+    texts |= {1000 + i: text(150) for i in range(300)}
+    texts |= {2000 + k: item[: len(item) // 3] + text(60) for k, item in items.items()}  # too little of an item
+    expected = {}
+    for d, ws in texts.items():
+        for k, item in items.items():
+            masks = decontaminate.Item._masks(item)
+            if decontaminate.common_subsequence(masks, len(item), ws) >= 0.55 * len(item):
+                share = _longest_common(item, ws) / len(item)
+                if share >= 0.8 or share >= 0.6 and _longest_common(item[-5:], ws) >= 4:
+                    expected[d, k] = share
+    assert {(i, k) for i, (k, _) in enumerate(planted)} <= set(expected)
+    corpus = spark.createDataFrame([(d, " ".join(ws)) for d, ws in texts.items()], "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(k, " ".join(ws)) for k, ws in items.items()], "item_id long, text string")
+    hits = {(h["doc_id"], h["item_id"]): h["common"] for h in decontaminate.contaminated(corpus, bench).collect()}
+    assert hits.keys() == expected.keys() and all(hits[p] <= expected[p] for p in hits)
+    assert all(hits[i, k] == 1.0 for i, (k, part) in enumerate(planted) if part == items[k])
+
+
 def test_exact_dedup(docs, empty, rows):
     got = exact.deduplicate(docs.filter("doc_id < 3"), docs.filter("doc_id >= 3 or doc_id is null")).collect()
     norm = lambda t: bytes(b for b in (t or "").encode() if b not in b" \t\n\v\f\r")

@@ -1,12 +1,13 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 The words of all texts are hashed once and written beside the texts, two bytes a word.
-Texts are cut into overlapping passages of two blocks.  A distributed randomised SVD of the
+Texts are cut into overlapping passages of two blocks, items into pieces that fit one.  A distributed randomised SVD of the
 TF-IDF passage matrix A (one pass that sums A'AQ for a random Q over all passages, then a
 Nystrom decomposition of the small result) gives a latent space whose axes are scaled to
-unit variance.  Passages near an item in that space are candidates.  They are checked on
-their words: the share of the item's weight that the passage holds, then the longest common
-subsequence of item and surroundings and, for paraphrases, the item's answer.
+unit variance.  Passages near a piece of an item in that space are candidates.  They are
+checked on their words: the share of the piece's weight that the passage holds, then the
+longest common subsequence of the whole item and the surroundings and, for paraphrases, the
+item's answer.  So an item may be longer than a passage.
 """
 
 from __future__ import annotations
@@ -28,14 +29,15 @@ BITS = 13  # hashed vocabulary of the passage matrix
 DIM = 1 << BITS
 RANK = 64
 BLOCK = 24  # words; a passage is two blocks
+PIECE = 2 * BLOCK  # most words of a piece of an item; a passage cannot hold more
 NEAR = 0.1  # least cosine in the latent space with axes of unit variance (low, as a short item is a small part of its passage),
 SAME = 0.9  # or least cosine before that scaling
-HELD = 0.35  # least share of an item's weight inside the passage
+HELD = 0.35  # least share of a piece's weight inside the passage
 SURE = 0.8  # common subsequence, as a share of the item, that settles it
 LIKE = 0.6  # share that is enough together with the answer
 ANSWER_WORDS = 5
 SHORT = 8  # items with fewer words must occur word for word
-ITEMS = 4_000  # items searched in one pass over the texts
+PIECES = 4_000  # pieces of items searched in one pass over the texts
 SLICE_BYTES = 4 << 20
 KNOWN_WORDS = 600_000  # hashes a task keeps before it starts anew
 PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’„–—…¿¡"
@@ -228,6 +230,12 @@ class Item:
         self.answer = (answer if answer is not None and len(answer) else words[-ANSWER_WORDS:]).tolist()
         self.masks, self.answer_masks = self._masks(self.words), self._masks(self.answer)
 
+    def pieces(self) -> list[list[int]]:
+        """The words in as few pieces of nearly equal length as PIECE allows."""
+        n = len(self.words)
+        count = -(-n // PIECE)
+        return [self.words[n * j // count : n * (j + 1) // count] for j in range(count)]
+
     @staticmethod
     def _masks(words: list[int]) -> dict[int, int]:
         masks: dict[int, int] = {}
@@ -252,8 +260,10 @@ HITS = "doc_id long, item_id long, common double, answer boolean"
 
 
 def _search(numbered: DataFrame, items: list[Item], weights: np.ndarray, basis: np.ndarray, size: np.ndarray) -> DataFrame:
-    hashed = [(np.array(i.words, dtype=np.uint64) >> np.uint64(64 - BITS)).astype(np.int64) for i in items]
-    held = np.zeros((len(items), DIM + 1), dtype=np.float32)  # weight of the item's words; the last column is padding
+    cut = [(i, piece) for i, item in enumerate(items) for piece in item.pieces()]
+    owner = [i for i, _ in cut]  # item of each piece
+    hashed = [(np.array(piece, dtype=np.uint64) >> np.uint64(64 - BITS)).astype(np.int64) for _, piece in cut]
+    held = np.zeros((len(cut), DIM + 1), dtype=np.float32)  # weight of the piece's words; the last column is padding
     for k, ids in enumerate(hashed):
         held[k, ids] = weights[ids]
     mass = np.maximum(held.sum(axis=1), 1e-9)
@@ -275,18 +285,23 @@ def _search(numbered: DataFrame, items: list[Item], weights: np.ndarray, basis:
                     text = p.text[p.first[at : at + 4096]]
                     close = (query @ _unit(some).T >= NEAR) | (plain @ _unit(some * size).T >= SAME)
                     cells = p.cells(start, np.minimum(start + 2 * BLOCK, p.base[text] + p.sizes[text]), 2 * BLOCK)
+                    judged: set[tuple[int, int]] = set()  # a passage may be near several pieces of an item
                     for q in np.flatnonzero(close.any(axis=1)).tolist():
                         rows = np.flatnonzero(close[q])
-                        one, reach = items[q], len(items[q].words)
+                        i = owner[q]
+                        one, reach = items[i], len(items[i].words)
                         for k in rows[held[q][cells[rows]].sum(axis=1) >= HELD * mass[q]].tolist():
+                            if (i, k) in judged:
+                                continue
+                            judged.add((i, k))
                             t = int(text[k])
                             if t not in words:
                                 words[t] = known.of(batch.column("text")[rows_[t]].as_py().encode())
                             inside = int(start[k] - p.base[t])
                             found = one.verdict(words[t][max(0, inside - reach) : inside + 2 * BLOCK + reach].tolist())
-                            if found and found > best.get((t, q), (0.0, False)):
-                                best[t, q] = found
-                out += [(batch.column("doc_id")[rows_[t]].as_py(), items[q].item_id, share, answer) for (t, q), (share, answer) in sorted(best.items())]
+                            if found and found > best.get((t, i), (0.0, False)):
+                                best[t, i] = found
+                out += [(batch.column("doc_id")[rows_[t]].as_py(), items[i].item_id, share, answer) for (t, i), (share, answer) in sorted(best.items())]
             columns = list(zip(*out)) or [()] * 4
             types = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "item_id", "common", "answer"])
@@ -301,7 +316,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, answer_col: str | None =
     largest of the text; case and outer punctuation do not count.  A share of 0.8 is a hit,
     a share of 0.6 if the answer is found too (``answer_col``, or the item's last words).
     Items of fewer than eight words must occur word for word; items without words or id
-    match nothing.  Null texts have no words.  Repeated rows and items are each reported;
+    match nothing.  Items may be of any length.  Null texts have no words.  Repeated rows and items are each reported;
     an empty table on either side gives no rows.  Other columns are ignored.
     """
     ship_package(docs.sparkSession)
@@ -310,12 +325,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, answer_col: str | None =
         F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"),
         (F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")).alias("answer"),
     ).dropna(subset=["item_id", "text"])
-    passes = max(1, -(-wanted.count() // ITEMS))
+    pieces = F.ceil(F.size(F.split(F.trim("text"), "\\s+")) / PIECE)
+    passes = max(1, -(-(wanted.agg(F.sum(pieces)).first()[0] or 0) // PIECES))
     numbered = _numbered(plain)
     weights = _weights(numbered)
     basis, size = _basis(numbered, weights)
     hits, known = None, FoldedHashes()
-    for turn in range(passes):  # a pass holds a bounded block of items
+    for turn in range(passes):  # a pass holds a bounded block of pieces
         rows = wanted.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == turn).collect()
         items = [Item(r["item_id"], known.of(r["text"].encode()), known.of(r["answer"].encode()) if r["answer"] else None) for r in rows]
         found = _search(numbered, [i for i in items if i.words], weights, basis, size)
