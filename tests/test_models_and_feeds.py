@@ -5,10 +5,14 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import detect as dt
 from tidemark.operators import models as ml
+from tidemark.plans import load_all
+from tidemark.plans.registry import QUERIES
 from tidemark.sources import logs as lg
 from tidemark.streaming import live
 from tidemark.workspace import new_path
 
+load_all()
+
 
 def learnable(spark, n=600, turn=None):
     rng = np.random.default_rng(0)
@@ -94,3 +98,23 @@ def test_sessions_close_after_the_gap(spark):
     live.run_now(live.session_flows(feed, ["user"], "ts", "n"), lambda w: w.format("parquet").start(f"{root}/out"), "append", f"{root}/checkpoint")
     got = spark.read.parquet(f"{root}/out").orderBy("start_time").collect()
     assert [r["n_packets"] for r in got] == [3, 1]  # the last flow is still open
+
+
+MODEL_QUERIES = (
+    "gbt_score rf_score temporal_degradation feature_importances importance_shift model_roundtrip cross_dataset_eval model_registry "
+    "prequential_run prequential_comparison"
+).split()
+
+
+@pytest.mark.parametrize("name", MODEL_QUERIES)
+def test_model_queries_ask_for_the_documented_trees(spark, monkeypatch, name):
+    fit, asked = ml.train, []
+
+    def small(df, features, label, algorithm="gbt", **params):
+        asked.append((algorithm, params))
+        return fit(df, features, label, algorithm, **({"maxIter": 1, "maxDepth": 2} if algorithm == "gbt" else {"numTrees": 1, "maxDepth": 2}))
+
+    monkeypatch.setattr(ml, "train", small)
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    assert asked and all(not params for _, params in asked)
+    assert ml.GBT_DEFAULTS["maxIter"] == ml.FOREST_DEFAULTS["numTrees"] == 200 and ml.GBT_DEFAULTS["maxDepth"] == 8 and ml.FOREST_DEFAULTS["maxDepth"] == 20

@@ -13,8 +13,6 @@ from tidemark.plans.views import scored, table
 from tidemark.workspace import new_path
 
 FEATURES = ["value", "k", "hour"]
-SMALL = {"maxIter": 3, "maxDepth": 3}  # enough trees for a rule of two features
-FOREST = {"numTrees": 10, "maxDepth": 6}
 
 
 def labelled(spark, sf_dir):
@@ -42,22 +40,22 @@ def _metrics(df):
 @query("gbt_score")
 def gbt_score(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    return _metrics(ml.train(train, FEATURES, "Label", "gbt", **SMALL).predict(test))
+    return _metrics(ml.train(train, FEATURES, "Label", "gbt").predict(test))
 
 
 @query("rf_score")
 def rf_score(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    return _metrics(ml.train(train, FEATURES, "Label", "rf", **FOREST).predict(test))
+    return _metrics(ml.train(train, FEATURES, "Label", "rf").predict(test))
 
 
 @query("temporal_degradation")
 def temporal_degradation(spark, sf_dir):
     """The same model on a random and on a chronological split."""
     train, test = _split(spark, sf_dir)
-    by_chance = _metrics(ml.train(train, FEATURES, "Label", "gbt", **SMALL).predict(test)).withColumn("strategy", F.lit("random"))
+    by_chance = _metrics(ml.train(train, FEATURES, "Label", "gbt").predict(test)).withColumn("strategy", F.lit("random"))
     timed = temporal_split(labelled(spark, sf_dir).drop("pos"), "ts", ["event_id"], train=0.6)
-    model = ml.train(timed.filter("split = 'train'"), FEATURES, "Label", "gbt", **SMALL)
+    model = ml.train(timed.filter("split = 'train'"), FEATURES, "Label", "gbt")
     later = _metrics(model.predict(timed.filter("split = 'test'"))).withColumn("strategy", F.lit("temporal"))
     return by_chance.unionByName(later)
 
@@ -65,15 +63,15 @@ def temporal_degradation(spark, sf_dir):
 @query("feature_importances")
 def feature_importances(spark, sf_dir):
     train, _ = _split(spark, sf_dir)
-    return ml.importance_table(spark, ml.train(train, FEATURES, "Label", "gbt", **SMALL))
+    return ml.importance_table(spark, ml.train(train, FEATURES, "Label", "gbt"))
 
 
 @query("importance_shift")
 def importance_shift(spark, sf_dir):
     rows = labelled(spark, sf_dir)
     late = F.col("pos") >= F.floor(F.col("n") * F.lit(0.6))
-    first = ml.train(rows.filter(~late), FEATURES, "Label", "rf", **FOREST)
-    second = ml.train(rows.filter(late), FEATURES, "Label", "rf", **FOREST)
+    first = ml.train(rows.filter(~late), FEATURES, "Label", "rf")
+    second = ml.train(rows.filter(late), FEATURES, "Label", "rf")
     return ml.importance_shift(spark, first, second)
 
 
@@ -81,7 +79,7 @@ def importance_shift(spark, sf_dir):
 def model_roundtrip(spark, sf_dir):
     """Predictions before and after saving, on all rows."""
     rows = labelled(spark, sf_dir)
-    model = ml.train(rows, FEATURES, "Label", "gbt", **SMALL)
+    model = ml.train(rows, FEATURES, "Label", "gbt")
     path = new_path(spark, "model")
     model.save(path)
     again = ml.Classifier.load(path)
@@ -100,9 +98,9 @@ def cross_dataset_eval(spark, sf_dir):
     b = table(spark, sf_dir, "orders").select(
         F.col("o_totalprice").alias("price"), "o_custkey", F.when(F.col("o_totalprice") > 60000, "ATTACK").otherwise("BENIGN").alias("Label")
     )
-    alone = _metrics(ml.cross_dataset(a, b, **SMALL)).withColumn("trained_on", F.lit("a"))
+    alone = _metrics(ml.cross_dataset(a, b)).withColumn("trained_on", F.lit("a"))
     train_b = random_split(b, ["o_custkey", "price"]).filter("split = 'train'").drop("split")
-    both = _metrics(ml.cross_dataset(a, b, combined=train_b, **SMALL)).withColumn("trained_on", F.lit("a and b"))
+    both = _metrics(ml.cross_dataset(a, b, combined=train_b)).withColumn("trained_on", F.lit("a and b"))
     return alone.unionByName(both)
 
 
@@ -111,8 +109,8 @@ def model_registry(spark, sf_dir):
     """Fit two model families, register both with their quality, read the registry back."""
     train, test = _split(spark, sf_dir)
     root = new_path(spark, "registry")
-    for algorithm, params in (("gbt", SMALL), ("rf", FOREST)):
-        model = ml.train(train, FEATURES, "Label", algorithm, **params)
+    for algorithm in ("gbt", "rf"):
+        model = ml.train(train, FEATURES, "Label", algorithm)
         f1 = _metrics(model.predict(test)).first()["f1"]
         ml.register_model(spark, root, model, f"{algorithm}-1", algorithm, {"f1": f1})
     records = ml.registry(spark, root).withColumn("f1", F.col("metrics")["f1"])
@@ -124,7 +122,7 @@ def _prequential(spark, sf_dir, policy, **more):
     n = rows.count()
     step = max(n // 10, 1)
     return ml.prequential(
-        rows, FEATURES, "Label", batch_rows=step, warm_rows=3 * step, policy=policy, window_rows=2 * step, minimum=100, **more, **SMALL
+        rows, FEATURES, "Label", batch_rows=step, warm_rows=3 * step, policy=policy, window_rows=2 * step, minimum=100, **more
     ), step
 
 
