@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import arrow_ids, bagminhash, decontaminate, exact, linejoin, packing, quality, shard, suffix, warc
+from tidemark.llm import arrow_ids, audit, bagminhash, decontaminate, exact, linejoin, packing, parsing, quality, shard, suffix, vafile, warc
 from tidemark.llm.common import documents
 from tidemark.plans.registry import Query
 
@@ -164,3 +164,107 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = arrow_ids.write_ids(table(spark, sf_dir, "documents"), VOCABULARY)
     return arrow_ids.read_documents(spark, manifest)
+
+
+BYTES_SQL = """
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), h AS (
+  SELECT doc_id, i, md5(b[i:i + 99]) AS h FROM (SELECT doc_id, b, unnest(range(1, n - 98)) AS i FROM d WHERE n >= 100)
+), e AS (
+  SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS r FROM h) WHERE r > 1
+), g AS (
+  SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g
+  FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM e)
+), s AS (
+  SELECT doc_id, min(i) AS a, max(i) + 99 AS z FROM g GROUP BY doc_id, g
+), k AS (
+  SELECT doc_id, coalesce(lag(z) OVER w + 1, 1) AS a, a - 1 AS z FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+  UNION ALL SELECT doc_id, max(z) + 1, n FROM s JOIN d USING (doc_id) GROUP BY doc_id, n
+), t AS (
+  SELECT doc_id, unhex(coalesce(string_agg(hex(b[a:z]), '' ORDER BY a) FILTER (z >= a), '')) AS kept FROM k JOIN d USING (doc_id) GROUP BY doc_id
+), c AS (
+  SELECT doc_id, CAST(sum(z - a + 1) AS BIGINT) AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(kept, b)) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
+@query("op11_prefix_free_parsing", BYTES_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.remove_repeated_bytes(table(spark, sf_dir, "documents")).drop("removed")
+
+
+def _kmeans_sql(rounds: int) -> str:
+    """Rounds written out, as SQL cannot repeat a grouped step."""
+    parts = ["""
+WITH e AS (
+  SELECT vec_id, embedding AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NOT NULL AND isfinite(y))) = 64
+), v AS (
+  SELECT vec_id, list_transform(x, lambda y: CAST(floor(256 * CAST(y AS DOUBLE)) AS BIGINT)) AS x FROM e
+), c0 AS (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS INTEGER) AS c, x FROM v ORDER BY sha256('2:' || vec_id) LIMIT 40
+)"""]
+    for r in range(rounds + 1):
+        parts.append(f""", a{r} AS (
+  SELECT vec_id, x, z.c AS c, z.d AS d FROM (
+    SELECT v.vec_id, v.x, min({{'d': list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 'c': c.c}}) AS z
+    FROM v CROSS JOIN c{r} c GROUP BY v.vec_id, v.x)
+)""")
+        if r < rounds:
+            parts.append(f""", m{r} AS (
+  SELECT c, list(m ORDER BY j) AS x FROM (
+    SELECT c, j, (sum(y) - (sum(y) % count(*) + count(*)) % count(*)) // count(*) AS m
+    FROM (SELECT c, unnest(x) AS y, generate_subscripts(x, 1) AS j FROM a{r}) GROUP BY c, j) GROUP BY c
+), c{r + 1} AS (
+  SELECT c, coalesce(m.x, o.x) AS x FROM c{r} o LEFT JOIN m{r} m USING (c)
+)""")
+    parts.append(f"""
+SELECT vec_id, c AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(f.x, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} f USING (c)
+""")
+    return "".join(parts)
+
+
+@query("op12_va_file", _kmeans_sql(vafile.ROUNDS))
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.cluster(table(spark, sf_dir, "embeddings"))
+
+
+AUDIT_SQL = r"""
+WITH RECURSIVE o(filter_order) AS (
+  SELECT '' UNION ALL SELECT filter_order || f FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) WHERE NOT contains(filter_order, f)
+), w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '') AS w FROM documents
+), m AS (
+  SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+  FROM w
+), c AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic FROM m LEFT JOIN labels USING (doc_id) GROUP BY part, fails
+), s AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, step, 1) AS f, substr(filter_order, 1, step - 1) AS before
+  FROM o, (SELECT unnest(range(1, 6)) AS step) WHERE length(filter_order) = 5
+), x AS (
+  SELECT part, filter_order, step, f, n, good, toxic, fails, contains(fails, f) AS hit,
+    length(before) > 0 AND length(translate(fails, before, '')) < length(fails) AS gone FROM s, c
+), r AS (
+  SELECT part, filter_order, step, f, CAST(coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(n) FILTER (hit AND NOT gone), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (hit AND gone), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (fails = f), 0) AS BIGINT) AS unique_fails, CAST(coalesce(sum(good) FILTER (hit AND NOT gone), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(toxic) FILTER (hit AND NOT gone), 0) AS BIGINT) AS toxic_lost
+  FROM x GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r
+"""
+
+
+@query("op13_filter_audit", AUDIT_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
