@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import detect as dt
 from tidemark.operators import models as ml
+from tidemark.operators import trees
 from tidemark.plans import load_all
 from tidemark.plans.registry import QUERIES
 from tidemark.sources import logs as lg
@@ -31,31 +34,21 @@ def test_train_save_load_register(spark):
         out = model.predict(df).select("pos", "y_pred", "confidence", "Label").orderBy("pos").collect()
         assert np.mean([r["y_pred"] == r["Label"] for r in out]) > 0.95 and all(0.5 <= r["confidence"] <= 1 for r in out)
         path = ml.register_model(spark, root, model, f"{algorithm}-1", algorithm, {"f1": 1.0})
-        again = ml.Classifier.load(path)
+        again = ml.Classifier.load(spark, path)
         assert again.features == ["a", "b"]
         assert again.predict(df).select("pos", "y_pred", "confidence", "Label").orderBy("pos").collect() == out
         assert dict(model.importances())["a"] > dict(model.importances())["b"]
         # a column the model knows and the table lacks counts as 0
         assert {r["y_pred"] for r in model.predict(df.drop("a", "Label")).select("y_pred").distinct().collect()} == {"BENIGN"}
     records = ml.registry(spark, root)
+    kept = ml.model_by_id(records, "gbt-1").first()
+    assert (kept["training_samples"], kept["n_features"], kept["classes"]) == (600, 2, ["ATTACK", "BENIGN"]) and kept["training_time_s"] > 0
     assert ml.model_by_id(records, "rf-1").count() == 1
     assert {r["model_id"] for r in ml.latest_models(records, "seq", ["algorithm"], ["model_id"]).collect()} == {"gbt-1", "rf-1"}
     with pytest.raises(ValueError):
         ml.train(df, ["a"], "Label", "nothing")
 
 
-def test_prequential_recovers_after_a_turn(spark):
-    df = learnable(spark, 1200, turn=600)
-    run = ml.prequential(df, ["a", "b"], "Label", batch_rows=200, warm_rows=400, cooldown=1, window_rows=200, minimum=50, maxIter=2, maxDepth=2)
-    rate = {r["b"]: r["e"] for r in run.predictions.groupBy(F.floor(F.col("pos") / 200).alias("b")).agg(F.avg("err").alias("e")).collect()}
-    assert rate[2] < 0.1 and rate[3] > 0.8 and rate[5] < 0.2
-    assert run.predictions.count() == 800
-    first = next(e for e in run.log if e["triggered"])
-    assert first["batch_start"] == 600 and first["retrained"] and first["window_rows"] == 200
-    still = ml.prequential(df, ["a", "b"], "Label", 400, 400, policy="static", maxIter=1, maxDepth=2)
-    assert not any(e["triggered"] for e in still.log)
-
-
 def error_stream(spark):
     rng = np.random.default_rng(4)
     rows = [(k, i, float(rng.random() < (0.05 if i < 600 else 0.6))) for i in range(1200) for k in ("a", "b")]
@@ -101,20 +94,20 @@ def test_sessions_close_after_the_gap(spark):
 
 
 MODEL_QUERIES = (
-    "gbt_score rf_score temporal_degradation feature_importances importance_shift model_roundtrip cross_dataset_eval model_registry "
-    "prequential_run prequential_comparison"
+    "gbt_score rf_score gbt_multiclass temporal_degradation feature_importances importance_shift model_roundtrip cross_dataset_eval model_registry "
+    "prequential_run prequential_comparison policy_comparison"
 ).split()
 
 
 @pytest.mark.parametrize("name", MODEL_QUERIES)
 def test_model_queries_ask_for_the_documented_trees(spark, monkeypatch, name):
-    fit, asked = ml.train, []
+    fit, asked = trees.fit_many, []
 
-    def small(df, features, label, algorithm="gbt", **params):
-        asked.append((algorithm, params))
-        return fit(df, features, label, algorithm, **({"maxIter": 1, "maxDepth": 2} if algorithm == "gbt" else {"numTrees": 1, "maxDepth": 2}))
+    def small(df, model, features, label, how):
+        asked.extend(how.values() if isinstance(how, dict) else [how])
+        cut = lambda s: replace(s, trees=1, depth=2)
+        return fit(df, model, features, label, {m: cut(s) for m, s in how.items()} if isinstance(how, dict) else cut(how))
 
-    monkeypatch.setattr(ml, "train", small)
+    monkeypatch.setattr(trees, "fit_many", small)
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count()
-    assert asked and all(not params for _, params in asked)
-    assert ml.GBT_DEFAULTS["maxIter"] == ml.FOREST_DEFAULTS["numTrees"] == 200 and ml.GBT_DEFAULTS["maxDepth"] == 8 and ml.FOREST_DEFAULTS["maxDepth"] == 20
+    assert asked and all(s.trees == 200 and s.depth == (8 if s.algorithm == "gbt" else 20) for s in asked)

@@ -18,6 +18,14 @@ class RetrainPolicy:
     """Extension point: a policy picks the trigger positions of a dense stream."""
 
     name = "policy"
+    #: whether triggers depend on the drifts of the run itself; if not, ``planned`` knows them in advance
+    needs_drifts = False
+    #: position the first trigger is counted from
+    first_trigger_base = 0
+
+    def planned(self, last: int, at: int, end: int, most: int) -> list[int]:
+        """The next triggers after ``last`` in positions at .. end - 1, at most ``most``."""
+        return []
 
     def triggers(self, stream: DataFrame, drifts: DataFrame) -> DataFrame:
         """``stream`` has pos; ``drifts`` has the pos of every drift; the result has pos."""
@@ -36,15 +44,20 @@ class Periodic(RetrainPolicy):
         self.period = period
         self.name = f"periodic_{period}"
 
+    def planned(self, last, at, end, most):
+        return list(range(last + self.period, end, self.period))[:most]
+
     def triggers(self, stream, drifts):
         return retrain_periodic(stream, self.period).select("pos")
 
 
 class DriftTriggered(RetrainPolicy):
     name = "drift_triggered"
+    needs_drifts = True
 
     def __init__(self, cooldown: int = 2_000):
         self.cooldown = cooldown
+        self.first_trigger_base = -cooldown
 
     def triggers(self, stream, drifts):
         return retrain_cooldown(drifts, [], "pos", self.cooldown).filter("kept").select("pos")

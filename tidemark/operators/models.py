@@ -1,85 +1,105 @@
-"""Distributed models, scoring, the model registry and batch-wise adaptation."""
+"""Classifiers, scoring, the model registry and evaluation across datasets."""
 
 from __future__ import annotations
 
-import pickle
+import json
 import time
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import IndexToString, StringIndexerModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import col
+from tidemark.operators import trees
 from tidemark.operators.active import confidence
-from tidemark.operators.adapt import MINIMUM_ROWS
-from tidemark.operators.clean import class_weights
-from tidemark.operators.detectors import Detector, create
 from tidemark.operators.profile import common_features
-from tidemark.workspace import materialize, ship_package
+from tidemark.workspace import ship_package
 
 # The settings of the two model families.
-GBT_DEFAULTS = {"maxIter": 200, "maxDepth": 8, "stepSize": 0.1}
-FOREST_DEFAULTS = {"numTrees": 200, "maxDepth": 20, "minInstancesPerNode": 2}
+GBT_DEFAULTS = {"maxIter": 200, "maxDepth": 8, "stepSize": 0.1, "maxLeaves": 63, "minInstancesPerNode": 20}
+FOREST_DEFAULTS = {"numTrees": 200, "maxDepth": 20, "minInstancesPerNode": 2, "minInstancesToSplit": 5, "maxBins": 32}
+_NAMES = {
+    "maxIter": "trees", "numTrees": "trees", "maxDepth": "depth", "stepSize": "rate", "maxLeaves": "leaves", "maxBins": "bins",
+    "minInstancesPerNode": "min_rows", "minInstancesToSplit": "min_split",
+}
+
+
+def settings(algorithm: str = "gbt", balanced: bool = True, seed: int = 42, **params) -> trees.Settings:
+    """The settings of a model family with some of its parameters replaced."""
+    if algorithm not in ("gbt", "rf"):
+        raise ValueError(f"unknown algorithm {algorithm!r}; known: gbt, rf")
+    chosen = {**(GBT_DEFAULTS if algorithm == "gbt" else {**FOREST_DEFAULTS, "maxLeaves": 0}), **params}
+    return trees.Settings(algorithm=algorithm, balanced=balanced, seed=seed, **{_NAMES[k]: v for k, v in chosen.items()})
 
 
 @dataclass
 class Classifier:
     """A fitted model with the feature list it was fitted on."""
 
-    model: PipelineModel
-    features: list[str]
+    model: trees.Trees
+
+    @property
+    def features(self) -> list[str]:
+        return self.model.features
+
+    @property
+    def labels(self) -> list[str]:
+        return self.model.labels
+
+    @property
+    def metadata(self) -> dict:
+        return self.model.metadata
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """Adds ``y_pred``, ``probabilities`` (array) and ``confidence``."""
-        ready = df.withColumns({f: F.lit(0.0) for f in self.features if f not in df.columns})
-        out = self.model.transform(ready).withColumn("probabilities", vector_to_array("probability"))
-        return out.withColumn("confidence", confidence("probabilities")).drop("_x", "_y", "rawPrediction", "probability", "prediction")
+        """Adds ``y_pred``, ``probabilities`` (array, in label order) and ``confidence``.
 
-    def importances(self) -> list[tuple[str, float]]:
-        tree = next(s for s in self.model.stages if hasattr(s, "featureImportances"))
-        return list(zip(self.features, [float(v) for v in tree.featureImportances.toArray()]))
+        A missing column, and a missing, NaN or infinite value, counts as 0.
+        """
+        out = df.withColumn("probabilities", scores(df, self.model))
+        best = F.array_position("probabilities", F.array_max("probabilities"))
+        names = F.array(*[F.lit(x) for x in self.labels])
+        return out.withColumn("y_pred", F.get(names, best.cast("int") - 1)).withColumn("confidence", confidence("probabilities"))
 
-    def save(self, path: str) -> None:
-        self.model.write().save(path)
+    def importances(self, kind: str = "gain") -> list[tuple[str, float]]:
+        return list(zip(self.features, self.model.importances(kind).tolist()))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        spark.createDataFrame([(self.model.to_bytes(),)], "model binary").write.parquet(path)
 
     @staticmethod
-    def load(path: str) -> Classifier:
-        model = PipelineModel.load(path)
-        assembler = next(s for s in model.stages if isinstance(s, VectorAssembler))
-        return Classifier(model, assembler.getInputCols())
+    def load(spark: SparkSession, path: str) -> Classifier:
+        return Classifier(trees.Trees.from_bytes(bytes(spark.read.parquet(path).first()["model"])))
+
+
+def scores(df: DataFrame, model: trees.Trees) -> Column:
+    """Probabilities of the rows of ``df`` as a column; batches of Arrow columns meet all trees at once."""
+    spark = df.sparkSession
+    ship_package(spark)
+    held = spark.sparkContext.broadcast(model)  # its size is set by the settings, not by the rows
+    zeros = {f: F.lit(0.0) for f in model.features}
+    inputs = [col(f).cast("double") if f in df.columns else zeros[f] for f in model.features]
+
+    @F.pandas_udf("array<double>")
+    def probabilities(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for columns in batches:
+            columns = columns if isinstance(columns, tuple) else (columns,)  # one feature comes bare
+            yield pd.Series(list(held.value.probabilities([c.to_numpy(dtype=float, na_value=np.nan) for c in columns])))
+
+    return probabilities(*inputs)
 
 
 def train(df: DataFrame, features: list[str], label: str, algorithm: str = "gbt", balanced: bool = True, seed: int = 42, **params) -> Classifier:
-    """Fit gradient-boosted trees (two labels) or a random forest on the given columns."""
-    rows = df.select(*[col(f).cast("double").alias(f) for f in features], col(label)).filter(col(label).isNotNull())
-    # one row per label: the weights, and the label index without another pass
-    weights = {r["label"]: r["weight"] if balanced else 1.0 for r in class_weights(rows, label).orderBy("label").collect()}
-    labels = list(weights)
-    index = StringIndexerModel.from_labels(labels, inputCol=label, outputCol="_y")
-    by_label = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
-    rows = index.transform(rows).withColumn("weight", by_label[col(label)])
-    vector = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep")
-    common = {"featuresCol": "_x", "labelCol": "_y", "weightCol": "weight", "seed": seed}
-    if algorithm == "gbt":
-        tree = GBTClassifier(**common, **{**GBT_DEFAULTS, **params})
-    elif algorithm == "rf":
-        tree = RandomForestClassifier(**common, **{**FOREST_DEFAULTS, **params})
-    else:
-        raise ValueError(f"unknown algorithm {algorithm!r}; known: gbt, rf")
-    back = IndexToString(inputCol="prediction", outputCol="y_pred", labels=labels)
-    # the trees pass over the rows many times; lost blocks are recomputed from the input
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        fitted = Pipeline(stages=[vector, tree]).fit(rows)
-    finally:
-        rows.unpersist()
-    return Classifier(PipelineModel([*fitted.stages, back]), features)
+    """Fit gradient-boosted trees or a random forest, for any number of labels, on the given columns."""
+    one = df.withColumn("_one", F.lit("model"))
+    return train_many(one, "_one", features, label, settings(algorithm, balanced, seed, **params))["model"]
+
+
+def train_many(df: DataFrame, model: str, features: list[str], label: str, how: trees.Settings | dict[str, trees.Settings]) -> dict[str, Classifier]:
+    """One model per value of the column ``model``, grown side by side."""
+    return {name: Classifier(fitted) for name, fitted in trees.fit_many(df, model, features, label, how).items()}
 
 
 def importance_table(spark: SparkSession, model: Classifier) -> DataFrame:
@@ -107,11 +127,21 @@ def scoring_summary(scored: DataFrame, prediction: str, conf: str) -> DataFrame:
 
 
 def register_model(spark: SparkSession, root: str, model: Classifier, model_id: str, algorithm: str, metrics: dict[str, float]) -> str:
-    """Save the model and append its record; the record is written last."""
+    """Save the model and append its record, which is written last.
+
+    The record keeps what the model was fitted on: rows, features, labels, parameters, seconds.
+    """
     path = f"{root}/models/{model_id}"
-    model.save(path)
-    record = [(model_id, algorithm, path, time.time_ns(), metrics)]
-    schema = "model_id string, algorithm string, path string, seq long, metrics map<string,double>"
+    model.save(spark, path)
+    m = model.metadata
+    record = [(
+        model_id, algorithm, path, time.time_ns(), metrics, m["training_samples"], m["n_features"], model.features, m["classes"],
+        m["random_seed"], json.dumps(m["params"], sort_keys=True), m["training_time_s"],
+    )]
+    schema = (
+        "model_id string, algorithm string, path string, seq long, metrics map<string,double>, training_samples long, n_features int, "
+        "features array<string>, classes array<string>, random_seed long, params string, training_time_s double"
+    )
     spark.createDataFrame(record, schema).write.mode("append").parquet(f"{root}/registry")
     return path
 
@@ -140,97 +170,3 @@ def cross_dataset(a: DataFrame, b: DataFrame, label: str = "Label", algorithm: s
     side = lambda df: df.select(*[col(f).cast("double").alias(f) for f in features], col(label))
     rows = side(a) if combined is None else side(a).unionByName(side(combined))
     return train(rows, features, label, algorithm, **params).predict(side(b))
-
-
-# --- prequential evaluation ---------------------------------------------------------------
-
-
-@dataclass
-class Prequential:
-    """Predictions of the whole stream and one log row per batch."""
-
-    predictions: DataFrame
-    log: list[dict] = field(default_factory=list)
-
-
-def prequential(
-    stream: DataFrame,
-    features: list[str],
-    label: str,
-    batch_rows: int,
-    warm_rows: int,
-    policy: str = "drift_triggered",
-    period: int = 10_000,
-    cooldown: int = 2_000,
-    window_rows: int = 20_000,
-    method: str = "adwin",
-    detector_params: dict | None = None,
-    algorithm: str = "gbt",
-    minimum: int = MINIMUM_ROWS,
-    **params,
-) -> Prequential:
-    """Predict, then learn: batches of positions are scored with the model of their time.
-
-    ``stream`` has ``pos``.  The first ``warm_rows`` train the first model.  Rows between
-    two possible retrains share one model and are scored in parallel; a retrain takes
-    effect with the next batch.  A task folds the detector over the errors of the batch,
-    which ``batch_rows`` bounds; the driver holds the model handle, the detector's small
-    state and the drift positions.
-    """
-    end = stream.agg(F.max("pos")).first()[0] + 1
-    stream = materialize(stream, "stream")
-    model = train(stream.filter(F.col("pos") < warm_rows), features, label, algorithm, **params)
-    detector: Detector = create(method, **(detector_params or {}))
-    last_retrain = warm_rows if policy == "periodic" else warm_rows - cooldown
-    parts, log = None, []
-    for start in range(warm_rows, end, batch_rows):
-        stop = min(start + batch_rows, end)
-        batch = stream.filter((F.col("pos") >= start) & (F.col("pos") < stop))
-        scored = model.predict(batch).select("pos", col(label).alias("y_true"), "y_pred", "confidence")
-        scored = materialize(scored.withColumn("err", (F.col("y_true") != F.col("y_pred")).cast("int")), "scored")
-        parts = scored if parts is None else parts.unionByName(scored)
-
-        detector, drifts = _fold_batch(scored, detector)
-        due = _due(policy, start, stop, last_retrain, period, cooldown, drifts)
-        entry = {"batch_start": start, "batch_end": stop, "n_drifts": len(drifts),
-                 "triggered": due is not None, "retrained": False, "window_rows": 0, "n_classes": 0, "train_seconds": 0.0}
-        if due is not None:
-            last_retrain = due
-            recent = stream.filter((F.col("pos") > stop - 1 - window_rows) & (F.col("pos") < stop))
-            guard = recent.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(label).alias("k")).first()
-            entry |= {"window_rows": guard["n"], "n_classes": guard["k"]}
-            if guard["n"] >= minimum and guard["k"] >= 2:
-                began = time.perf_counter()
-                model = train(recent, features, label, algorithm, **params)
-                entry |= {"retrained": True, "train_seconds": time.perf_counter() - began}
-        log.append(entry)
-    return Prequential(parts, log)
-
-
-def _fold_batch(scored: DataFrame, detector: Detector) -> tuple[Detector, list[int]]:
-    """The detector after one batch and the drift positions inside it."""
-    ship_package(scored.sparkSession)
-    before = pickle.dumps(detector)
-
-    def run(chunks):
-        d = pickle.loads(before)
-        for rows in chunks:
-            hits = [i for i, state in d.scan(rows["err"].to_numpy(dtype=float)) if state == "drift"]
-            yield pd.DataFrame({"pos": rows["pos"].iloc[hits], "state": None})
-        yield pd.DataFrame({"pos": [-1], "state": [pickle.dumps(d)]})
-
-    in_order = scored.select("pos", "err").repartition(1).sortWithinPartitions("pos")
-    found = in_order.mapInPandas(run, "pos long, state binary").collect()
-    after = next(r["state"] for r in found if r["pos"] == -1)
-    return pickle.loads(after), sorted(r["pos"] for r in found if r["pos"] >= 0)
-
-
-def _due(policy, start, stop, last, period, cooldown, drifts) -> int | None:
-    """Position of the retrain a batch asks for, if any."""
-    if policy == "periodic":
-        return stop if stop - last >= period else None
-    if policy == "drift_triggered":
-        return next((d for d in drifts if d - last >= cooldown), None)
-    if policy == "static":
-        return None
-    raise ValueError(f"unknown policy {policy!r}; known: static, periodic, drift_triggered")

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import active as al
 from tidemark.operators import adapt as ad
+from tidemark.operators import detect as dt
 from tidemark.operators import inject as inj
 from tidemark.operators.ordering import global_position
+from tidemark.plans.drift import adwin_sql
 from tidemark.plans.registry import query
 from tidemark.plans.views import SAMPLES_SQL, SCORED_SQL, samples, scored, table
 
@@ -117,27 +119,23 @@ def retrain_periodic(spark, sf_dir):
     return ad.retrain_periodic(scored(spark, sf_dir).select("pos"), 500)
 
 
-# Stand-in for drift positions: rows with an unusually large value.
-_DRIFTS_SQL = f"{SCORED_SQL}, drifts AS (SELECT pos, event_type FROM scored WHERE value > 150)"
-
-
-def _drifts(spark, sf_dir):
-    return scored(spark, sf_dir).filter("value > 150").select("event_type", "pos")
-
-
 @query(
     "retrain_cooldown",
-    f"""WITH RECURSIVE {_DRIFTS_SQL}, kept(event_type, pos, n_retrains) AS (
-  SELECT event_type, min(pos), CAST(1 AS BIGINT) FROM drifts GROUP BY 1
+    f"""{adwin_sql(SCORED_SQL, "event_type", "err", "scored", (0.5,))},
+d AS (SELECT g AS event_type, pos FROM drifts),
+kept(event_type, pos, n_retrains) AS (
+  SELECT event_type, min(pos), CAST(1 AS BIGINT) FROM d GROUP BY 1
   UNION ALL
-  SELECT k.event_type, (SELECT min(d.pos) FROM drifts d WHERE d.event_type = k.event_type AND d.pos >= k.pos + 300), k.n_retrains + 1
-  FROM kept k WHERE EXISTS (SELECT 1 FROM drifts d WHERE d.event_type = k.event_type AND d.pos >= k.pos + 300))
+  SELECT k.event_type, (SELECT min(d.pos) FROM d WHERE d.event_type = k.event_type AND d.pos >= k.pos + 300), k.n_retrains + 1
+  FROM kept k WHERE EXISTS (SELECT 1 FROM d WHERE d.event_type = k.event_type AND d.pos >= k.pos + 300))
 SELECT d.event_type, d.pos, k.pos IS NOT NULL AS kept,
   (SELECT max(n_retrains) FROM kept x WHERE x.event_type = d.event_type AND x.pos <= d.pos) AS n_retrains
-FROM drifts d LEFT JOIN kept k ON k.event_type = d.event_type AND k.pos = d.pos""",
+FROM d LEFT JOIN kept k ON k.event_type = d.event_type AND k.pos = d.pos""",
 )
 def retrain_cooldown(spark, sf_dir):
-    return ad.retrain_cooldown(_drifts(spark, sf_dir), ["event_type"], "pos", 300)
+    """Drifts that a lenient ADWIN finds per event type, and which of them may retrain."""
+    found = dt.detect(scored(spark, sf_dir).select("event_type", "pos", "err"), ["event_type"], ["pos"], "err", params={"delta": 0.5})
+    return ad.retrain_cooldown(found.select("event_type", "pos"), ["event_type"], "pos", 300)
 
 
 _GUARDS_SQL = """SELECT t.pos, count(s.pos) AS window_rows, count(DISTINCT s.event_type) AS n_classes, true AS triggered,
@@ -151,26 +149,6 @@ def retrain_guards(spark, sf_dir):
     return ad.retrain_guards(rows, ad.retrain_periodic(rows, 400).select("pos"), "event_type", window_rows=700)
 
 
-@query(
-    "policy_comparison",
-    f"""WITH RECURSIVE {_DRIFTS_SQL}, kept(pos) AS (
-  SELECT min(pos) FROM drifts UNION ALL
-  SELECT (SELECT min(d.pos) FROM drifts d WHERE d.pos >= k.pos + 200) FROM kept k WHERE EXISTS (SELECT 1 FROM drifts d WHERE d.pos >= k.pos + 200)),
-trig AS (SELECT 'periodic_500' AS strategy, pos FROM scored WHERE pos > 0 AND pos % 500 = 0
-  UNION ALL SELECT 'periodic_1000', pos FROM scored WHERE pos > 0 AND pos % 1000 = 0
-  UNION ALL SELECT 'drift_triggered', pos FROM kept),
-t AS (SELECT DISTINCT pos FROM trig), g AS ({_GUARDS_SQL.replace('event_type', 'y_true')}),
-c AS (SELECT strategy, count(*) AS n_triggered, count(*) FILTER (WHERE retrained) AS n_retrains FROM trig JOIN g USING (pos) GROUP BY 1)
-SELECT strategy, (SELECT count(*) FROM scored) AS n_rows, COALESCE(n_triggered, 0) AS n_triggered, COALESCE(n_retrains, 0) AS n_retrains
-FROM (VALUES ('static'), ('periodic_500'), ('periodic_1000'), ('drift_triggered')) s(strategy) LEFT JOIN c USING (strategy)""",
-)
-def policy_comparison(spark, sf_dir):
-    rows = scored(spark, sf_dir).select("pos", "y_true", "value")
-    drifts = rows.filter("value > 150").select("pos")
-    policies = [ad.Static(), ad.Periodic(500), ad.Periodic(1000), ad.DriftTriggered(200)]
-    return ad.compare_policies(rows, drifts, policies, "y_true", window_rows=700)
-
-
 # --- active learning --------------------------------------------------------------------
 
 _SCORES = {

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import r6
+from tidemark.operators import detect as dt
 from tidemark.operators import evaluate as ev
 from tidemark.operators import experiments as ex
+from tidemark.operators.prequential import policy_table
+from tidemark.plans.drift import adwin_sql
 from tidemark.plans.registry import query
-from tidemark.plans.views import FLOWS_SQL, SCORED_SQL, STRATEGY_SQL, by_strategy, flows, scored, table
+from tidemark.plans.views import FLOWS_SQL, SCORED_SQL, SEEDS, flows, rule_runs, runs_sql, scored, table
 
 _METRICS = ["accuracy", "precision", "recall", "f1", "mcc", "fpr", "fnr"]
 
@@ -160,60 +163,44 @@ def cumulative_error(spark, sf_dir):
     return _rounded(out, ["cumulative_error"])
 
 
-_RETRAINS_SQL = """
-n AS (SELECT count(*) AS n FROM events),
-retrains AS (
-  SELECT 'periodic_5000' AS strategy, CAST(floor((n - 1) / 500) AS BIGINT) AS n_retrains FROM n
-  UNION ALL SELECT 'periodic_10000', CAST(floor((n - 1) / 1000) AS BIGINT) FROM n
-  UNION ALL SELECT 'drift_triggered', CAST(floor((n - 1) / 2500) AS BIGINT) FROM n)"""
-
-
-def _retrains(spark, sf_dir):
-    """Retrains of each policy over the stream, by its period in positions."""
-    last = table(spark, sf_dir, "events").agg(F.count(F.lit(1)).alias("n"))
-    periods = F.array(*[
-        F.struct(F.lit(s).alias("strategy"), F.lit(p).alias("period"))
-        for s, p in (("periodic_5000", 500), ("periodic_10000", 1000), ("drift_triggered", 2500))
-    ])
-    return last.select("n", F.explode(periods).alias("p")).select(
-        "p.strategy", F.floor((F.col("n") - 1) / F.col("p.period")).alias("n_retrains")
-    )
-
-
 @query(
     "strategy_comparison",
-    f"""WITH {STRATEGY_SQL}, {_RETRAINS_SQL},
-c AS (SELECT strategy, {COUNTS} FROM by_strategy GROUP BY 1),
+    f"""WITH {runs_sql((42,))},
+c AS (SELECT strategy, {COUNTS} FROM by_run GROUP BY 1),
 m AS ({metrics_sql('c', 'strategy, CASE WHEN 2 * tp + fp + fn = 0 THEN 0e0 ELSE 2e0 * tp / (2 * tp + fp + fn) END AS raw,')}),
 j AS (SELECT m.*, COALESCE(n_retrains, 0) AS n_retrains FROM m LEFT JOIN retrains USING (strategy)),
 r AS (SELECT max(CASE WHEN strategy = 'static' THEN raw END) AS base, max(raw) AS best,
-             max(CASE WHEN strategy = 'periodic_5000' THEN n_retrains END) AS per FROM j)
+             max(CASE WHEN strategy = 'periodic_1000' THEN n_retrains END) AS per FROM j)
 SELECT j.* EXCLUDE (raw), round(raw - base, 6) AS recovery, round(100 * (raw - base) / base, 6) AS improvement_pct,
   round(100 * (best - raw) / best, 6) AS degradation_pct,
   round(CASE WHEN per > 0 THEN 100 * (1 - CAST(n_retrains AS DOUBLE) / per) ELSE 0e0 END, 6) AS retrain_saving_pct
 FROM j, r""",
 )
 def strategy_comparison(spark, sf_dir):
-    out = ex.strategy_comparison(by_strategy(spark, sf_dir), _retrains(spark, sf_dir))
+    """A cell table under three policies, next to the one that never retrains."""
+    grid = rule_runs(spark, sf_dir, (42,))
+    retrains = policy_table(grid).select("strategy", "n_retrains")
+    out = ex.strategy_comparison(grid.predictions, retrains, periodic="periodic_1000")
     return _rounded(out, [*_METRICS, "recovery", "improvement_pct", "degradation_pct", "retrain_saving_pct"])
 
 
 @query(
     "drift_in_window",
-    f"""WITH {SCORED_SQL}, w AS (SELECT DISTINCT CAST(floor(pos / 1000) AS BIGINT) AS window_id FROM scored),
-d AS (SELECT pos FROM scored WHERE value > 250)
+    adwin_sql(SCORED_SQL, "event_type", "err", "scored") + """, w AS (SELECT DISTINCT CAST(floor(pos / 1000) AS BIGINT) AS window_id FROM scored)
 SELECT window_id, count(d.pos) AS n_drifts, min(d.pos) AS first_drift
-FROM w LEFT JOIN d ON d.pos >= window_id * 1000 AND d.pos < (window_id + 1) * 1000 GROUP BY 1""",
+FROM w LEFT JOIN drifts d ON d.pos >= window_id * 1000 AND d.pos < (window_id + 1) * 1000 GROUP BY 1""",
 )
 def drift_in_window(spark, sf_dir):
+    """Drifts that ADWIN finds per event type, counted in windows of 1,000 positions."""
     rows = scored(spark, sf_dir)
     windows = rows.select(F.floor(F.col("pos") / 1000).alias("window_id")).distinct()
-    return ev.drift_in_window(windows, rows.filter("value > 250").select("pos"), window_rows=1000)
+    drifts = dt.detect(rows.select("event_type", "pos", "err"), ["event_type"], ["pos"], "err").select("pos")
+    return ev.drift_in_window(windows, drifts, window_rows=1000)
 
 
-# A run is one tenth of the users (a "seed"); every run meets every strategy.
-_RUNS_SQL = f"""{STRATEGY_SQL},
-rc AS (SELECT strategy, user_id % 10 AS seed, {COUNTS} FROM by_strategy GROUP BY 1, 2),
+# A run is a cell table under one policy, fitted on the rows its seed draws.
+_RUNS_SQL = f"""{runs_sql(SEEDS)},
+rc AS (SELECT strategy, seed, {COUNTS} FROM by_run GROUP BY 1, 2),
 runs AS (SELECT strategy, seed,
   CASE WHEN 2 * tp + fp + fn = 0 THEN 0e0 ELSE 2e0 * tp / (2 * tp + fp + fn) END AS f1,
   CASE WHEN tp + fn = 0 THEN 0e0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END AS recall,
@@ -221,8 +208,7 @@ runs AS (SELECT strategy, seed,
 
 
 def _runs(spark, sf_dir):
-    rows = by_strategy(spark, sf_dir).withColumn("seed", F.col("user_id") % 10)
-    return ev.binary_metrics(rows, by=["strategy", "seed"])
+    return ev.binary_metrics(rule_runs(spark, sf_dir, SEEDS).predictions, by=["strategy", "seed"])
 
 
 @query(

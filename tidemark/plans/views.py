@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import INF
+from tidemark.operators.adapt import Periodic, Static
 from tidemark.operators.ordering import global_position
+from tidemark.operators.prequential import CellLearner, Grid, run_grid
 
 ATTACK_TYPES = ("error", "signup")
 DRIFT_AT = 0.6
@@ -200,30 +202,68 @@ samples AS (SELECT event_id, pos, batch, y_true,
                    c / CAST(a + b + c AS DOUBLE) AS pc FROM weights)"""
 
 
-# --- strategies: the scored stream as seen under four retraining policies ----------------
+# --- labelled: the stream with a learnable label whose rule turns round at 60 % ----------
 
-# (policy, hit rate late, false alarm rate late) in hundredths; early rows keep 80 / 10.
-POLICY_RATES = (("static", 40, 30), ("periodic_5000", 74, 12), ("periodic_10000", 70, 14), ("drift_triggered", 78, 11))
 
-
-def by_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = scored(spark, sf_dir).select("pos", "n", "user_id", "k", "y_true")
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scored(spark, sf_dir)
     late = F.col("pos") >= F.floor(F.col("n") * F.lit(DRIFT_AT))
-    attack = F.col("y_true") == "ATTACK"
-    options = F.array(*[F.struct(F.lit(s).alias("strategy"), F.lit(h).alias("h"), F.lit(f).alias("f")) for s, h, f in POLICY_RATES])
-    rows = base.withColumn("_s", F.explode(options))
-    bound = F.when(attack, F.when(late, F.col("_s.h")).otherwise(80)).otherwise(F.when(late, F.col("_s.f")).otherwise(10))
+    k = F.col("k").cast("double")
+    level = F.col("value") / 5 + F.when(late, 99 - k).otherwise(k)
     return rows.select(
-        F.col("_s.strategy").alias("strategy"), "pos", "user_id", "y_true",
-        F.when(F.col("k") < bound, "ATTACK").otherwise("BENIGN").alias("y_pred"),
+        "event_id", "pos", "n", "ts", "user_id", "value", k.alias("k"), F.hour("ts").cast("double").alias("hour"),
+        (F.floor(F.col("k") / 10) * 10 + F.least(F.floor(F.col("value") / 25), F.lit(9))).cast("long").alias("cell"),
+        F.when(level > 60, "ATTACK").otherwise("BENIGN").alias("Label"),
+        F.when(level > 75, "DDoS").when(level > 45, "PortScan").otherwise("BENIGN").alias("Kind"),
     )
 
 
-STRATEGY_SQL = SCORED_SQL + """,
-rates(strategy, h, f) AS (VALUES ('static', 40, 30), ('periodic_5000', 74, 12), ('periodic_10000', 70, 14), ('drift_triggered', 78, 11)),
-by_strategy AS (
-  SELECT strategy, pos, user_id, y_true,
-         CASE WHEN k < CASE WHEN y_true = 'ATTACK' THEN CASE WHEN late THEN h ELSE 80 END
-                            ELSE CASE WHEN late THEN f ELSE 10 END END
-              THEN 'ATTACK' ELSE 'BENIGN' END AS y_pred
-  FROM scored, rates)"""
+LABELLED_SQL = SCORED_SQL + """,
+labelled AS (
+  SELECT event_id, pos, n, user_id, value, k, CAST(floor(k / 10e0) * 10 + least(floor(value / 25), 9) AS BIGINT) AS cell,
+         CASE WHEN value / 5 + CASE WHEN late THEN 99 - k ELSE k END > 60 THEN 'ATTACK' ELSE 'BENIGN' END AS "Label"
+  FROM scored)"""
+
+
+# --- adaptive runs of a cell table (the majority label per cell), which SQL can follow ----
+
+WARM = 0.3
+SEEDS = (42, 123, 256, 512, 1024)
+RULE_PERIODS = (1000, 2000)
+RULE_WINDOW = 2000
+RULE_SHARE = 0.8
+
+
+def runs_sql(seeds: tuple[int, ...]) -> str:
+    """``by_run(strategy, seed, pos, y_true, y_pred)`` and ``retrains(strategy, seed, n_retrains)``."""
+    periods = ", ".join(f"('periodic_{p}', {p})" for p in RULE_PERIODS)
+    return LABELLED_SQL + f""",
+size AS (SELECT count(*) AS n, CAST(floor(count(*) * 3e-1) AS BIGINT) AS warm FROM labelled),
+t AS (SELECT pos - warm AS pos, event_id, "Label" AS y, cell FROM labelled, size),
+policy(strategy, period) AS (VALUES ('static', 1000000000), {periods}),
+seeds(seed) AS (VALUES {', '.join(f'({s})' for s in seeds)}),
+trig AS (
+  SELECT strategy, period, unnest(range(0, CAST(floor((n - warm - 1) / period) AS BIGINT) + 1)) AS j FROM policy, size),
+span AS (SELECT strategy, j, CASE WHEN j = 0 THEN -warm ELSE greatest(0, j * period - {RULE_WINDOW} + 1) END AS a, CASE WHEN j = 0 THEN -1 ELSE j * period END AS z FROM trig, size),
+guard AS (SELECT strategy, j FROM span JOIN t ON t.pos BETWEEN a AND z GROUP BY strategy, j HAVING j = 0 OR (count(*) >= 500 AND count(DISTINCT y) >= 2)),
+seen AS (
+  SELECT s.strategy, s.j, seed, cell, y, count(*) AS c FROM span s JOIN guard USING (strategy, j) JOIN t ON t.pos BETWEEN a AND z, seeds
+  WHERE CAST('0x' || substr(md5(seed || '|' || event_id), 1, 8) AS BIGINT) / 4294967296e0 < {RULE_SHARE!r} GROUP BY 1, 2, 3, 4, 5),
+per_cell AS (SELECT strategy, j, seed, cell, y FROM seen QUALIFY row_number() OVER (PARTITION BY strategy, j, seed, cell ORDER BY c DESC, y) = 1),
+overall AS (
+  SELECT strategy, j, seed, y FROM (SELECT strategy, j, seed, y, sum(c) AS c FROM seen GROUP BY 1, 2, 3, 4)
+  QUALIFY row_number() OVER (PARTITION BY strategy, j, seed ORDER BY c DESC, y) = 1),
+asked AS (
+  SELECT p.strategy, seed, t.pos, t.cell, t.y, (SELECT max(g.j) FROM guard g WHERE g.strategy = p.strategy AND g.j <= greatest(0, floor((t.pos - 1) / p.period))) AS j
+  FROM t, policy p, seeds WHERE t.pos >= 0),
+by_run AS (
+  SELECT a.strategy, a.seed, a.pos, a.y AS y_true, coalesce(c.y, o.y) AS y_pred
+  FROM asked a JOIN overall o USING (strategy, seed, j) LEFT JOIN per_cell c ON c.strategy = a.strategy AND c.seed = a.seed AND c.j = a.j AND c.cell = a.cell),
+retrains AS (SELECT strategy, count(*) FILTER (j > 0) AS n_retrains FROM guard GROUP BY strategy)"""
+
+
+def rule_runs(spark: SparkSession, sf_dir: str, seeds: tuple[int, ...]) -> Grid:
+    stream = labelled(spark, sf_dir)
+    policies = [Static(), *[Periodic(p) for p in RULE_PERIODS]]
+    warm = int(stream.agg(F.floor(F.count(F.lit(1)) * F.lit(WARM))).first()[0])
+    return run_grid(stream, CellLearner("cell"), "Label", policies, warm, seeds, window_rows=RULE_WINDOW, key=["event_id"], share=RULE_SHARE)
