@@ -8,7 +8,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.workspace import materialize
+from tidemark.workspace import new_path
 
 #: The white space of all contracts: words are runs of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -36,13 +36,26 @@ def attempt_name(folder: str, label: str, part: int, suffix: str) -> str:
 
 def settle(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a written table; the shuffle files that led to it are given back once it is written."""
-    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    spark = df.sparkSession
+    conf, name = spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(name, None)
     conf.set(name, "true")
+    path = new_path(spark, label)
     try:
-        return materialize(df, label)
+        df.write.parquet(path)
     finally:
         conf.unset(name) if before is None else conf.set(name, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by ``settle`` that nothing reads any more: all that depends on them is written."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.settled_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def slots(spark: SparkSession) -> int:

@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, settle
+from tidemark.llm.common import documents, release, settle
 from tidemark.llm.words import mix
 from tidemark.workspace import ship_package
 
@@ -162,6 +162,15 @@ def _batch(rows: list[tuple], names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
+def _lists(column: pa.ListArray, fields: tuple[str, ...] = ()) -> Iterator:
+    """The lists of a column as numpy arrays; of structs, a tuple of arrays."""
+    cuts = column.offsets.to_numpy()
+    flat = [column.values.field(f).to_numpy() for f in fields] if fields else [column.values.to_numpy()]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        parts = tuple(v[a:b] for v in flat)
+        yield parts if fields else parts[0]
+
+
 def _cut_phrases(window: int):
     """Texts with their shared anchors to phrases; a task sends the bytes of a phrase once."""
 
@@ -170,7 +179,7 @@ def _cut_phrases(window: int):
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             parsed = phrases_of(texts, window) if texts else []
-            for order, tid, data, shared, (key, place, first, count) in zip(*(batch.column(c).to_pylist() for c in ("ord", "tid")), texts, batch.column("runs").to_pylist(), parsed):
+            for order, tid, data, shared, (key, place, first, count) in zip(*(batch.column(c).to_pylist() for c in ("ord", "tid")), texts, _lists(batch.column("runs")), parsed):
                 chosen, rows = np.isin(first, shared), []
                 key, place, first, count = (v[chosen].tolist() for v in (key.view(np.int64), place, first, count))
                 for k, p, a, n in zip(key, place, first, count):
@@ -316,26 +325,29 @@ def _later(phrases: DataFrame, dictionary: DataFrame) -> DataFrame:
     ).select("tid", "first", "count")
 
 
-def repeated_windows(chosen: DataFrame, window: int, group: int = GROUP) -> DataFrame:
-    """Runs of windows that also start earlier: (tid, first, count) over texts with shared anchors."""
+def repeated_windows(chosen: DataFrame, window: int, group: int = GROUP) -> list[DataFrame]:
+    """Runs of windows that also start earlier: written tables of (tid, first, count), over texts with shared anchors."""
     phrases = settle(chosen.mapInArrow(_cut_phrases(window), PHRASES), "parse")
-    out = None
+    found = []
     for _ in range(window):  # a group is one window after about six halvings
         dictionary = settle(_dictionary(phrases), "dictionary")
-        found = settle(_later(phrases, dictionary), "later")
-        out = found if out is None else out.unionByName(found)
+        found.append(settle(_later(phrases, dictionary), "later"))
+        release(phrases)
         sizes = dictionary.groupBy("key", "lo").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         shared = settle(dictionary.join(sizes, ["key", "lo"]), "shared-anchors")
+        release(dictionary)
         small = (F.col("n") <= group) | (F.col("hi") - F.col("lo") <= 1)
         cold = shared.filter(small).select("key", "ord", "tid", "first", "bytes")
         # distances of one key are apart in the key itself from the first halving on
-        found = settle(cold.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_groups(window), RANGES), "suffixes")
-        out = out.unionByName(found)
+        found.append(settle(cold.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_groups(window), RANGES), "suffixes"))
         hot = shared.filter(~small)
-        if hot.isEmpty():
+        more = not hot.isEmpty()
+        if more:
+            phrases = settle(hot.select("key", "lo", "hi", "back", "ord", "tid", "first", "count", "bytes").mapInArrow(_halves(window), PHRASES), "longer")
+        release(shared)
+        if not more:
             break
-        phrases = settle(hot.select("key", "lo", "hi", "back", "ord", "tid", "first", "count", "bytes").mapInArrow(_halves(window), PHRASES), "longer")
-    return out
+    return found
 
 
 def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
@@ -353,7 +365,8 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, group: int = GR
     ship_package(spark)
     texts = documents(docs).withColumn("ord", F.coalesce("doc_id", F.lit(LAST))).withColumn("tid", F.xxhash64("ord", "text"))
     scanned = settle(_scan(texts, window), "scanned")
-    heads = scanned.groupBy("sha").agg(F.min(F.struct("ord", "tid")).alias("h")).select("sha", F.col("h.ord").alias("head_ord"), F.col("h.tid").alias("head"))
+    rows = settle(scanned.select("doc_id", "ord", "tid", "n_bytes", "sha"), "rows")
+    heads = rows.groupBy("sha").agg(F.min(F.struct("ord", "tid")).alias("h")).select("sha", F.col("h.ord").alias("head_ord"), F.col("h.tid").alias("head"))
     heads = settle(heads, "heads")
 
     # anchors of one place alone cannot repeat; copies of one text count once
@@ -365,40 +378,44 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, group: int = GR
     mine = places.join(shared, "grams").groupBy("tid").agg(F.collect_set("first").alias("runs"))
     mine = mine.join(heads.select(F.col("head").alias("tid")).distinct(), "tid", "left_semi")
     mine = settle(mine, "places")
+    release(scanned, shared)
     chosen = texts.select("tid", "ord", "text").join(mine, "tid").dropDuplicates(["tid"])
     chosen = settle(chosen, "chosen")
+    release(mine)
 
     found = repeated_windows(chosen, window, group)
-    cover = found.groupBy("tid").agg(F.collect_list(F.struct("first", "count")).alias("cover"))
+    cover = reduce(DataFrame.unionByName, found).groupBy("tid").agg(F.collect_list(F.struct("first", "count")).alias("cover"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for tid, text, cover in zip(*(batch.column(c).to_pylist() for c in ("tid", "text", "cover"))):
-                data, spans = text.encode(), []
-                for first, end in sorted((c["first"], c["first"] + c["count"] + window - 1) for c in cover):
-                    if spans and first <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], end)
-                    else:
-                        spans.append([first, end])
+            out = []
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            for tid, data, (first, count) in zip(batch.column("tid").to_pylist(), texts, _lists(batch.column("cover"), ("first", "count"))):
+                order = np.argsort(first, kind="stable")
+                first, end = first[order].astype(np.int64), (first + count)[order].astype(np.int64) + window - 1
+                reach = np.maximum.accumulate(end)
+                new = np.append(True, first[1:] > reach[:-1])
+                at = np.flatnonzero(new)
+                spans = list(zip(first[at].tolist(), reach[np.append(at[1:], len(first)) - 1].tolist()))
                 digest, at = hashlib.sha256(), 0
                 for a, b in spans:
                     digest.update(data[at:a])
                     at = b
                 digest.update(data[at:])
-                rows.append((tid, sum(b - a for a, b in spans), digest.digest(), [{"first": a, "last": b} for a, b in spans]))
+                out.append((tid, sum(b - a for a, b in spans), digest.digest(), [{"first": a, "last": b} for a, b in spans]))
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))
-            columns = zip(*rows) if rows else [[]] * 4
+            columns = zip(*out) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["tid", "n_removed", "kept", "removed"])
 
     schema = "tid long, n_removed long, kept binary, removed array<struct<first:int,last:int>>"
     changed = settle(chosen.select("tid", "text").join(cover, "tid").mapInArrow(cut, schema), "changed")
+    release(chosen, *found)
     by_text = settle(heads.join(changed.withColumnRenamed("tid", "head"), "head", "left"), "results")
 
     copy = (F.col("ord") > F.col("head_ord")) & (F.col("n_bytes") >= window)
     own = F.col("tid") == F.col("head")
     whole = F.array(F.struct(F.lit(0).alias("first"), F.col("n_bytes").cast("int").alias("last")))
-    out = scanned.select("doc_id", "ord", "tid", "n_bytes", "sha").join(by_text, "sha").select(
+    out = rows.join(by_text, "sha").select(
         "doc_id", "n_bytes",
         F.when(copy, F.col("n_bytes")).when(own, F.coalesce("n_removed", F.lit(0))).otherwise(0).cast("long").alias("n_removed"),
         F.lower(F.hex(F.when(copy, F.lit(NOTHING)).when(own, F.coalesce("kept", "sha")).otherwise(F.col("sha")))).alias("kept_sha256"),
