@@ -101,7 +101,7 @@ class IdReader:
 def write_ids(docs: DataFrame, vocabulary: str, end_id: int = 1, seq_len: int = 2048, batch_rows: int = 64, folder: str | None = None) -> DataFrame:
     """Encode all documents, write the shards and return their manifest.
 
-    Rows are ordered by (doc_id, text); rows without an id come last, null texts count as
+    Rows are ordered by doc_id, those of one id by a hash of the text; rows without an id come last, null texts count as
     empty and give the end id alone, repeated rows are all written.  An empty table gives
     an empty manifest.  Other columns are ignored.  A repeated task writes files of its
     own; only those named in the committed manifest count.
@@ -141,8 +141,9 @@ def write_ids(docs: DataFrame, vocabulary: str, end_id: int = 1, seq_len: int =
                 sink.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "ids_path": [paths[0]], "index_path": [paths[1]], "n_docs": [n_docs], "n_ids": [n_ids]})
 
-    order = [*id_key(), F.col("text")]
-    sorted_docs = documents(docs).repartitionByRange(*order).sortWithinPartitions(*order)
+    # the range sampler brings its keys to the driver: a hash stands for the text
+    order = [*id_key(), F.xxhash64("text")]
+    sorted_docs = documents(docs).repartitionByRange(*order).sortWithinPartitions(*order, "text")
     return materialize(sorted_docs.mapInArrow(write, MANIFEST), "arrow-manifest")
 
 
