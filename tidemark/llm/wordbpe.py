@@ -17,7 +17,7 @@ from struct import pack
 
 import numpy as np
 
-MAX_WORDS = 250_000  # entries kept by a task, about 50 MB
+MAX_WORDS = 600_000  # entries kept by a task, about 150 MB
 SLICE_CHARS = 2_000_000
 
 # The splitting rule of the public word-level BPE file, and that rule for Latin-1.
@@ -32,26 +32,6 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class Known(dict):
-    """Ids of words in two generations: what is still in use survives when the younger one is full."""
-
-    def __init__(self, make, most: int):
-        super().__init__()
-        self.make, self.most, self.old = make, most, {}
-
-    def __missing__(self, word: str) -> bytes:
-        out = self.old.get(word)
-        if out is None:
-            out = self.make(word)
-        self[word] = out
-        return out
-
-    def trim(self) -> None:
-        if len(self) > self.most // 2:
-            self.old = dict(self)
-            self.clear()
-
-
 class Encoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers."""
 
@@ -65,8 +45,8 @@ class Encoder:
         self.plain = _SPLIT_RULE in rule.replace("\\\\", "\\") and "ByteLevel(add_prefix_space=False" in rule and "Lowercase()" in form
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
-        self.words = Known(self._word, MAX_WORDS)
-        self.pieces = Known(self._piece, MAX_WORDS)
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -74,11 +54,12 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         shown = piece if piece.isascii() else piece.encode().decode("latin-1")
         ids = [t.id for t in self.model.tokenize(shown.translate(self.letters))]
-        return pack(f"<{len(ids)}I", *ids)
+        self.pieces[piece] = out = pack(f"<{len(ids)}I", *ids)
+        return out
 
     def _word(self, word: str) -> bytes:
-        found = _LATIN.findall(word.lower())
-        return self.pieces[found[0]] if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))
+        known = self.pieces
+        return b"".join([known.get(p) or self._piece(p) for p in _LATIN.findall(word.lower())])
 
     def _is_plain(self, text: str) -> bool:
         if not self.plain or any(s in text for s in self.special):
@@ -91,8 +72,12 @@ class Encoder:
 
     def _slice(self, texts: list[str]) -> list[bytes]:
         cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if self._is_plain(t) else None for t in texts]
-        self.words.trim()
-        self.pieces.trim()
+        if len(self.words) > MAX_WORDS:
+            self.words.clear()
+        if len(self.pieces) > MAX_WORDS:
+            self.pieces.clear()
+        for word in set().union(*[c for c in cut if c is not None]).difference(self.words):
+            self.words[word] = self._word(word)
         look = self.words.__getitem__
         return [self._whole(t) if c is None else b"".join(map(look, c)) for t, c in zip(texts, cut)]
 
