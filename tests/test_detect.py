@@ -1,4 +1,5 @@
 import math
+import pickle
 
 import numpy as np
 import pandas as pd
@@ -179,3 +180,52 @@ def test_cooldown_period_and_policies(spark):
     assert (g[500]["window_rows"], g[500]["n_classes"], g[500]["retrained"]) == (150, 1, False)
     c = {r["strategy"]: r for r in ad.compare_policies(stream, drifts.select("pos"), [ad.Static(), ad.Periodic(100), ad.DriftTriggered(50)], "y", 150).collect()}
     assert c["static"]["n_triggered"] == 0 and c["periodic_100"]["n_triggered"] == 5 and c["drift_triggered"]["n_triggered"] == 3
+
+
+@pytest.mark.parametrize("method,params", [
+    ("adwin", {}), ("adwin", {"delta": 0.3, "clock": 7}), ("ddm", {}), ("eddm", {}), ("page_hinkley", {"threshold": 8.0}), ("confidence", {"delta": 0.1}),
+])
+def test_long_streams_in_rounds_equal_one_task(spark, method, params):
+    rng = np.random.default_rng(9)
+    n = 1600
+    rate = np.where(np.arange(n) % 800 < 450, 0.05, 0.45)
+    fraction = method == "confidence"
+    rows = []
+    for key in ("a", None, "short"):
+        for i in range(n if key != "short" else 90):
+            rows.append((key, i, float(np.round(rng.random(), 3)) * (1 if rate[i] > 0.1 else 0.3) if fraction else float(rng.random() < rate[i])))
+    df = spark.createDataFrame(rows, "key string, pos long, err double").repartition(5)
+    columns = ["key", "pos", "state", "n_seen", "n_drifts", "window_size", F.round("estimation", 6)]
+    grid = {"one": params, "two": params | ({"delta": 0.02} if method == "adwin" else {})}
+    # the plain way: one value after the other
+    expected = {}
+    for key in ("a", None, "short"):
+        for label, p in grid.items():
+            d = create(method, **p)
+            for i, (_, pos, err) in enumerate(r for r in rows if r[0] == key):
+                for _, state in d.scan(np.array([err])):
+                    expected[label, key, pos, state, d.n_seen, d.n_drifts, d.width] = d.estimate
+    assert sum(e[3] == "drift" for e in expected) >= 4
+    for chunk in (10_000, 430):
+        got = dt.detect(df, ["key"], ["pos"], "err", method, grid=grid, states=("drift", "warning"), chunk_rows=chunk).select("config", *columns).collect()
+        assert {tuple(r)[:-1] for r in got} == set(expected) and len(got) == len(expected)
+        assert all(r[-1] == pytest.approx(expected[tuple(r)[:-1]], abs=1e-5) for r in got)
+
+
+def test_a_detector_carried_over_a_chunk_is_where_a_scan_leaves_it():
+    rng = np.random.default_rng(2)
+    for method in ("adwin", "ddm", "eddm", "page_hinkley"):
+        for first in (0, 5, 77, 400):
+            values = rng.random(900) if method == "page_hinkley" else (np.arange(900) % 5 == 0).astype(float)
+            scanned, carried = create(method), create(method)
+            for d in (scanned, carried):
+                assert not any(s == "drift" for _, s in d.scan(values[:first]))
+            assert not any(s == "drift" for _, s in scanned.scan(values[first:]))
+            start = pickle.loads(pickle.dumps(carried))
+            for phase in range(len(start.carried)):
+                carried.absorb(start.measure(values[first:], phase), phase)
+            mine, theirs = vars(carried), vars(scanned)
+            if method == "adwin":
+                assert [len(x) for x in carried.levels] == [len(x) for x in scanned.levels] and carried.levels == scanned.levels
+            for name in {f for fields in carried.carried for f in fields} - {"levels"}:
+                assert mine[name] == pytest.approx(theirs[name]), (method, name)

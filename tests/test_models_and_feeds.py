@@ -1,3 +1,4 @@
+import pickle
 from dataclasses import replace
 
 import numpy as np
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import detect as dt
 from tidemark.operators import models as ml
+from tidemark.operators.detectors import create
 from tidemark.operators import trees
 from tidemark.plans import load_all
 from tidemark.plans.registry import QUERIES
@@ -93,6 +95,81 @@ def test_sessions_close_after_the_gap(spark):
     assert [r["n_packets"] for r in got] == [3, 1]  # the last flow is still open
 
 
+def test_paced_replay_goes_on_from_its_checkpoint(spark):
+    root, sizes = new_path(spark, "test-paced"), []
+    df = spark.range(230).select(F.col("id").alias("pos"), (F.col("id") * 2).alias("x"))
+
+    def keep(batch, number):
+        rows = sorted((r["pos"], r["x"]) for r in batch.collect())
+        sizes.append((number, [r[0] for r in rows]))
+        assert all(x == 2 * p for p, x in rows)
+        if len(sizes) == 2 and not failed:
+            failed.append(True)
+            raise RuntimeError("stop here once")
+
+    failed = []
+    feed = lambda: live.replay_positions(df, 50, f"{root}/feed")
+    with pytest.raises(Exception):
+        live.run_through(feed(), lambda w: w.foreachBatch(keep).start(), "append", f"{root}/checkpoint")
+    live.run_through(feed(), lambda w: w.foreachBatch(keep).start(), "append", f"{root}/checkpoint")
+    # the second batch failed once and came again
+    assert [n for n, _ in sizes] == [0, 1, 1, 2, 3, 4] and sizes[1][1] == sizes[2][1] == list(range(50, 100))
+    assert [len(p) for _, p in sizes] == [50, 50, 50, 50, 50, 30]
+
+
+def test_all_sessions_come_out(spark):
+    at = [0, 10, 39, 100, 5000]
+    df = spark.createDataFrame([("u", float(t), 1) for t in at] + [("v", 4990.0, 1)], "user string, sec double, n int").withColumn("ts", F.timestamp_seconds("sec"))
+    root = new_path(spark, "test-closing")
+    df.coalesce(1).write.parquet(f"{root}/in")
+    last = df.agg(F.max("ts") + F.expr("INTERVAL 1 HOUR")).first()[0]
+    got = live.all_sessions(lambda: live.replay(spark, f"{root}/in", df.schema), ["user"], "ts", "n", f"{root}/out", last=last)
+    assert sorted((r["user"], r["n_packets"]) for r in got.collect()) == [("u", 1), ("u", 1), ("u", 3), ("v", 1)]
+
+
+def test_drifts_of_live_confidences_are_logged(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, k, float(np.clip(rng.normal(0.9 if i < 500 else 0.6, 0.05), 0, 1))) for i in range(1000) for k in ("a", "b")]
+    df = spark.createDataFrame(rows, "pos long, sensor string, confidence double").withColumn("ts", F.timestamp_seconds(F.col("pos") + 1_700_000_000))
+    df = df.withColumn("row", F.col("pos") * 2 + (F.col("sensor") == "b").cast("long")).withColumn("y_pred", F.lit("BENIGN"))
+    root, seen = new_path(spark, "test-live"), []
+
+    def score(batch):
+        seen.append(1)
+        return batch
+
+    monitor = live.ConfidenceMonitor("sensor", "pos")
+    for run in ("one", "two"):  # another checkpoint is another run and replaces nothing
+        feed = live.replay_positions(df, 300, f"{root}/feed-{run}", pos="row")
+        live.score_and_log(feed, score, root, f"{root}/checkpoint-{run}", monitor=monitor, run=live.run_through, row="row")
+    assert len(seen) == 14
+    log = lg.read(spark, root, "drift_events")
+    expected = dt.detect(df, ["sensor"], ["pos"], "confidence", "confidence").select("sensor", "pos", "n_drifts").collect()
+    for run in log.select("run").distinct().collect():
+        mine = log.filter(F.col("run") == run["run"])
+        assert sorted((r["sensor"], r["stream_position"], int(r["detector_state"]["n_drifts"])) for r in mine.collect()) == sorted(tuple(r) for r in expected)
+    assert log.select("run").distinct().count() == 2 and len(expected) >= 2
+    assert lg.read(spark, root, "predictions").count() == 4000
+
+
+def test_monitor_starts_from_given_detectors(spark):
+    df = error_stream(spark)
+    first, rest = df.filter("pos < 500"), df.filter("pos >= 500")
+    states = []
+    for key in ("a", "b"):
+        d = create("adwin")
+        list(d.scan(np.array([r["err"] for r in first.filter(F.col("key") == key).orderBy("pos").collect()])))
+        states.append((key, pickle.dumps(d)))
+    initial = spark.createDataFrame(states, "key string, state binary")
+    root = new_path(spark, "test-initial")
+    rest.write.parquet(f"{root}/in")
+    found = live.monitor_drift(live.replay(spark, f"{root}/in", df.schema), "key", "pos", "err", initial=initial)
+    live.run_now(found, lambda w: w.format("parquet").start(f"{root}/out"), "append", f"{root}/checkpoint")
+    got = spark.read.parquet(f"{root}/out").select("key", "pos", "n_drifts").collect()
+    want = dt.detect(df, ["key"], ["pos"], "err").filter("pos >= 500").select("key", "pos", "n_drifts").collect()
+    assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in want) and want
+
+
 MODEL_QUERIES = (
     "gbt_score rf_score gbt_multiclass temporal_degradation feature_importances importance_shift model_roundtrip cross_dataset_eval model_registry "
     "prequential_run prequential_comparison policy_comparison"

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from tidemark.functions.expressions import col, join_on
 from tidemark.operators.detectors import DetectorFold, create
 from tidemark.operators.ordering import join_small, look_back, position_in_group, running
-from tidemark.operators.streams import CHUNK_ROWS, fold_streams
+from tidemark.operators.rounds import detect_rounds
+from tidemark.operators.streams import fold_streams
+from tidemark.workspace import materialize
 
+CHUNK_ROWS = 200_000
 DRIFT_FIELDS = "config string, state string, n_seen long, n_drifts long, window_size long, estimation double"
 SENSITIVITY_GRID = (0.0001, 0.001, 0.002, 0.01, 0.05, 0.1, 0.5)
 
@@ -29,12 +32,26 @@ def detect(
     """One row per drift (and warning, if asked for) of every stream.
 
     ``grid`` maps a label to parameters: all of them read the stream in the same pass, so
-    a sensitivity sweep does not copy the data.
+    a sensitivity sweep does not copy the data.  A stream of up to ``chunk_rows`` rows is one
+    task's work; a longer one, be it the only one, is spread over as many tasks as it has
+    chunks (see ``rounds``), with the same alarms.  Values with fractions are summed chunk by
+    chunk there.
     """
     grid = grid or {"default": params or {}}
     for p in grid.values():
         create(method, **p)  # an unknown name or parameter fails here, not in a task
-    return fold_streams(df, key, order, value, lambda: DetectorFold(method, grid, states), DRIFT_FIELDS, chunk_rows, rank)
+    keys = key or ["_stream"]
+    rows = df.select(*[col(c) for c in [*key, *order]], col(value).alias("_value"), *([col(rank).cast("long").alias("_seq")] if rank else []))
+    rows = rows if key else rows.withColumn("_stream", F.lit(0))
+    ranked = materialize(rows if rank else position_in_group(rows, keys, order, "_seq"), "streams")
+    sizes = ranked.groupBy(*keys).agg((F.max("_seq") + 1).alias("_n")).filter(F.col("_n") > chunk_rows)
+    some_long = not sizes.isEmpty()
+    long_keys = sizes.select(*keys)
+    short = join_on(ranked, long_keys, keys, "left_anti") if some_long else ranked
+    out = fold_streams(short, keys, order, "_value", lambda: DetectorFold(method, grid, states), DRIFT_FIELDS, chunk_rows, "_seq", all_short=True)
+    if some_long:
+        out = out.unionByName(detect_rounds(join_on(ranked, long_keys, keys, "left_semi"), keys, order, method, grid, states, chunk_rows))
+    return out if key else out.drop("_stream")
 
 
 def sensitivity(

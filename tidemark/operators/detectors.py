@@ -11,16 +11,37 @@ import math
 
 import numpy as np
 
+SCAN_ROWS = 4_096  # values a scan looks at before it knows whether it restarts
+
 
 class Detector:
     """Extension point: ``scan`` reads values in order and yields ``(index, state)``.
 
     ``state`` is "drift" or "warning".  ``width`` and ``estimate`` describe the stretch the
     detector currently regards as one distribution.
+
+    As long as no drift occurs, a detector can also be carried over a chunk without a scan:
+    in phase after phase, ``measure`` sums a chunk up, given what the phases before say of the
+    state at its start, and ``absorb`` moves the state past it.  So all chunks of one stream
+    are summed up at once, and then scanned at once for the first drift (see ``rounds``).
     """
 
     n_seen = 0
     n_drifts = 0
+    #: per phase, the fields of the state that ``absorb`` moves
+    carried: tuple[tuple[str, ...], ...] = ((),)
+
+    def skip(self, n: int) -> None:
+        """What is known of the state ``n`` values ahead without seeing them, for the first phase."""
+
+    def settle(self) -> None:
+        """Do now what a drift leaves for the next value."""
+
+    def measure(self, values: np.ndarray, phase: int) -> tuple:
+        raise NotImplementedError
+
+    def absorb(self, summary: tuple, phase: int) -> None:
+        raise NotImplementedError
 
     def scan(self, values: np.ndarray):
         for i, value in enumerate(values.tolist()):
@@ -96,6 +117,57 @@ class Adwin(Detector):
             del level[: 2 * pairs]
             depth += 1
 
+    def _layout(self, more: int) -> list[int]:
+        """Buckets per level after some more values: it depends on their number only."""
+        out, entering, depth = [], more, 0
+        while depth < len(self.levels) or entering:
+            here = (len(self.levels[depth]) if depth < len(self.levels) else 0) + entering
+            entering = max(0, math.ceil((here - self.max_buckets) / 2))
+            out.append(here - 2 * entering)
+            depth += 1
+        return out
+
+    def _sizes(self, layout: list[int]) -> np.ndarray:
+        """Bucket sizes, oldest first."""
+        return np.repeat(1 << np.arange(len(layout) - 1, -1, -1, dtype=np.int64), layout[::-1])
+
+    carried = (("n_seen", "levels", "count", "total", "squares"),)
+
+    def skip(self, n):
+        self.levels = [[(0.0, 0.0)] * k for k in self._layout(n)]
+        self.count += n
+
+    def measure(self, values, phase):
+        """Sums and squares of the chunk per bucket at its end; the first may begin before the chunk."""
+        layout, values = self._layout(len(values)), np.asarray(values, dtype=float)
+        ends = np.cumsum(self._sizes(layout)) - self.count  # relative to the chunk
+        starts = np.append(0, ends[ends > 0][:-1]).astype(np.int64)
+        return len(values), np.add.reduceat(values, starts), np.add.reduceat(values * values, starts)
+
+    def absorb(self, summary, phase):
+        n, sums, squares = summary
+        layout = self._layout(n)
+        old = [b for level in reversed(self.levels) for b in level]
+        old_ends = np.cumsum([1 << d for d in range(len(self.levels) - 1, -1, -1) for _ in self.levels[d]]).astype(np.int64)
+        ends = np.cumsum(self._sizes(layout))
+        at, new = 0, 0
+        buckets = []
+        for end in ends:
+            total = square = 0.0
+            while at < len(old) and old_ends[at] <= end:
+                total, square, at = total + old[at][0], square + old[at][1], at + 1
+            if end > self.count:
+                total, square, new = total + float(sums[new]), square + float(squares[new]), new + 1
+            buckets.append((total, square))
+        self.levels, at = [], len(buckets)
+        for k in layout:
+            self.levels.append(buckets[at - k : at])
+            at -= k
+        self.count += n
+        self.n_seen += n
+        self.total += float(sums.sum())
+        self.squares += float(squares.sum())
+
     def _shrink(self) -> bool:
         changed = False
         while self._has_cut():
@@ -145,21 +217,64 @@ class Ddm(Detector):
         self.best, self.best_rate, self.best_dev = math.inf, math.inf, math.inf
         self.fired = False
 
-    def step(self, value):
+    carried = (("n_seen", "count", "errors"), ("best", "best_rate", "best_dev"))
+
+    def settle(self):
         if self.fired:
             self._restart()
-        self.count += 1
-        self.errors += value
-        rate = self.errors / self.count
-        dev = math.sqrt(rate * (1 - rate) / self.count)
-        if self.count <= self.warm_start:
-            return None
-        if rate + dev <= self.best:
-            self.best, self.best_rate, self.best_dev = rate + dev, rate, dev
-        if rate + dev > self.best_rate + self.alarm * self.best_dev:
-            self.fired = True
-            return "drift"
-        return "warning" if rate + dev > self.best_rate + self.warn * self.best_dev else None
+
+    def _levels(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rate, deviation, their sum and whether the warm-up is over, after each value."""
+        n = self.count + np.arange(1, len(values) + 1)
+        rate = np.cumsum(np.append(self.errors, values))[1:] / n
+        dev = np.sqrt(rate * (1 - rate) / n)
+        return rate, dev, rate + dev, n > self.warm_start
+
+    def scan(self, values):
+        values, at = np.asarray(values, dtype=float), 0
+        while at < len(values):
+            self.settle()
+            part = values[at : at + SCAN_ROWS]
+            rate, dev, level, warm = self._levels(part)
+            held = np.where(warm, level, math.inf)
+            least = np.minimum(np.minimum.accumulate(held), self.best)
+            # the latest place of the smallest level so far; -1: before this part
+            place = np.maximum.accumulate(np.where(warm & (held <= least), np.arange(len(part)), -1))
+            best_rate, best_dev = np.where(place < 0, self.best_rate, rate[place]), np.where(place < 0, self.best_dev, dev[place])
+            with np.errstate(invalid="ignore"):
+                drift = warm & (level > best_rate + self.alarm * best_dev)
+                warning = warm & (level > best_rate + self.warn * best_dev)
+            stop = int(np.argmax(drift)) if drift.any() else len(part)
+            seen, n, errors = self.n_seen, self.count, self.errors
+            for i in [*np.flatnonzero(warning[:stop]).tolist(), *([stop] if stop < len(part) else [])]:
+                self._move(seen, n, errors, part, i + 1, least, best_rate, best_dev)
+                if i == stop:
+                    self.n_drifts, self.fired = self.n_drifts + 1, True
+                yield at + i, "drift" if i == stop else "warning"
+            used = min(stop + 1, len(part))
+            self._move(seen, n, errors, part, used, least, best_rate, best_dev)
+            at += used
+
+    def _move(self, seen, n, errors, part, used, least, best_rate, best_dev):
+        """The state after the first ``used`` values of a part."""
+        self.n_seen, self.count, self.errors = seen + used, n + used, errors + float(part[:used].sum())
+        self.best, self.best_rate, self.best_dev = float(least[used - 1]), float(best_rate[used - 1]), float(best_dev[used - 1])
+
+    def measure(self, values, phase):
+        values = np.asarray(values, dtype=float)
+        if phase == 0:
+            return len(values), float(values.sum())
+        rate, dev, level, warm = self._levels(values)
+        if not warm.any():
+            return ()
+        at = len(level) - 1 - int(np.argmin(np.where(warm, level, math.inf)[::-1]))
+        return float(level[at]), float(rate[at]), float(dev[at])
+
+    def absorb(self, summary, phase):
+        if phase == 0:
+            self.n_seen, self.count, self.errors = self.n_seen + summary[0], self.count + summary[0], self.errors + summary[1]
+        elif summary and summary[0] <= self.best:
+            self.best, self.best_rate, self.best_dev = summary
 
     @property
     def width(self):
@@ -205,6 +320,42 @@ class Eddm(Detector):
             self.zone = "warning"
         return self.zone
 
+    carried = (("n_seen", "count", "errors", "last", "distance_sum", "distance_squares"), ("top", "zone"))
+
+    def settle(self):
+        if self.fired:
+            self._restart()
+
+    def measure(self, values, phase):
+        at = np.flatnonzero(values) + 1
+        if phase == 0:
+            gaps = np.diff(at).astype(float)
+            return len(values), len(at), int(at[0]) if len(at) else 0, int(at[-1]) if len(at) else 0, float(gaps.sum()), float((gaps * gaps).sum())
+        if not len(at):
+            return ()
+        gaps = np.diff(np.append(self.last - self.count, at)).astype(float)
+        errors = self.errors + np.arange(1, len(at) + 1)
+        mean = (self.distance_sum + np.cumsum(gaps)) / errors
+        level = mean + 2 * np.sqrt(np.maximum(0.0, (self.distance_squares + np.cumsum(gaps * gaps)) / errors - mean * mean))
+        ready = errors >= self.warm_start
+        return (float(level[ready].max()), float(level[-1])) if ready.any() else (0.0, None)
+
+    def absorb(self, summary, phase):
+        if phase == 0:
+            n, errors, first, last, total, squares = summary
+            if errors:
+                gap = self.count + first - self.last
+                self.errors += errors
+                self.distance_sum += gap + total
+                self.distance_squares += gap * gap + squares
+                self.last = self.count + last
+            self.count += n
+            self.n_seen += n
+        elif summary:
+            top, level = summary
+            self.top = max(self.top, top)
+            self.zone = "warning" if level is not None and level / self.top < self.alpha else None
+
     @property
     def width(self):
         return self.count
@@ -243,6 +394,47 @@ class PageHinkley(Detector):
             return "drift"
         return None
 
+    carried = (("n_seen", "count", "total"), ("up", "down"), ("up_min", "down_max"))
+
+    def settle(self):
+        if self.fired:
+            self._restart()
+
+    def _paths(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both accumulated deviations after each value, piece by piece so that no power overflows."""
+        n = self.count + np.arange(1, len(values) + 1)
+        gap = values - np.cumsum(np.append(self.total, values))[1:] / n
+        paths = []
+        for start, step in ((self.up, gap - self.delta), (self.down, gap + self.delta)):
+            parts = []
+            for a in range(0, len(step), 1_000):
+                piece = step[a : a + 1_000]
+                power = self.alpha ** np.arange(1, len(piece) + 1)
+                parts.append(power * (start + np.cumsum(piece / power)))
+                start = parts[-1][-1]
+            paths.append(np.concatenate(parts))
+        return paths[0], paths[1]
+
+    def measure(self, values, phase):
+        values = np.asarray(values, dtype=float)
+        if phase == 0:
+            return len(values), float(values.sum())
+        if phase == 1:  # the end of both paths is linear in their start
+            here = PageHinkley(self.min_instances, self.delta, self.threshold, self.alpha)
+            here.count, here.total = self.count, self.total
+            up, down = here._paths(values)
+            return self.alpha ** len(values), float(up[-1]), float(down[-1])
+        up, down = self._paths(values)
+        return float(up.min()), float(down.max())
+
+    def absorb(self, summary, phase):
+        if phase == 0:
+            self.n_seen, self.count, self.total = self.n_seen + summary[0], self.count + summary[0], self.total + summary[1]
+        elif phase == 1:
+            self.up, self.down = summary[0] * self.up + summary[1], summary[0] * self.down + summary[2]
+        else:
+            self.up_min, self.down_max = min(self.up_min, summary[0]), max(self.down_max, summary[1])
+
     @property
     def width(self):
         return self.count

@@ -33,6 +33,7 @@ def fold_streams(
     fields: str,
     chunk_rows: int = CHUNK_ROWS,
     rank: str | None = None,
+    all_short: bool = False,
 ) -> DataFrame:
     """Fold ``value`` of every stream in order.
 
@@ -40,7 +41,8 @@ def fold_streams(
     pandas frame with ``_value`` and returns tuples whose first item is the row's index in
     the chunk; the other items are the ``fields`` (a DDL string).  The result has the key,
     the order columns of that row and the fields.  ``rank`` names a column that already
-    holds the 0-based rank in the stream, which saves sorting it again.
+    holds the 0-based rank in the stream, which saves sorting it again; ``all_short`` says that
+    no stream has more than ``chunk_rows`` rows.
     """
     ship_package(df.sparkSession)
     keys = key or ["_stream"]
@@ -67,7 +69,7 @@ def fold_streams(
             out = pd.concat([out.astype(object), pd.DataFrame([tail], dtype=object)], ignore_index=True)
         return out[names]
 
-    longest = ranked.agg(F.max("_seq")).first()[0]
+    longest = 0 if all_short else ranked.agg(F.max("_seq")).first()[0]
     turns = 1 if longest is None else longest // chunk_rows + 1
     if turns == 1:
         done = ranked.groupBy(*keys).applyInPandas(lambda pdf: run(factory(), pdf, False), out_schema)

@@ -1,7 +1,8 @@
 """Append-only logs of predictions, attacks, drifts and retrains, and result sinks.
 
-A log is a Parquet table partitioned by day and batch.  Writing a batch again replaces it,
-so a repeated task or a restarted stream leaves no doubles.
+A log is a Parquet table partitioned by day, run and batch.  Writing a batch of a run again
+replaces it, so a repeated task or a restarted stream leaves no doubles; runs do not touch
+each other's records.
 """
 
 from __future__ import annotations
@@ -35,10 +36,11 @@ def attack_records(df: DataFrame, time: str, prediction: str, confidence: str, *
     )
 
 
-def drift_records(events: DataFrame, time: str, detector: str, position: str, state: str) -> DataFrame:
+def drift_records(events: DataFrame, time: str, detector: str, position: str, state: str, **fields: str) -> DataFrame:
     """What the drift log keeps; ``state`` names a map column."""
     return events.select(
-        col(time).alias("timestamp"), col(detector).alias("detector"), col(position).alias("stream_position"), col(state).alias("detector_state")
+        col(time).alias("timestamp"), col(detector).alias("detector"), col(position).alias("stream_position"), col(state).alias("detector_state"),
+        *[col(c).alias(n) for n, c in fields.items()],
     )
 
 
@@ -49,17 +51,18 @@ def retrain_records(df: DataFrame, time: str, model_version: str, trigger: str,
     )
 
 
-def append(df: DataFrame, root: str, collection: str, batch: int, time: str = "timestamp") -> None:
-    """Add one batch to a log; the same batch number again replaces what it wrote before."""
-    dated = df.withColumn("day", F.to_date(col(time))).withColumn("batch", F.lit(batch))
+def append(df: DataFrame, root: str, collection: str, batch: int, time: str = "timestamp", run: str = "once") -> None:
+    """Add one batch of a run to a log; the same run and batch again replace what they wrote before."""
+    dated = df.withColumn("day", F.to_date(col(time))).withColumn("run", F.lit(run)).withColumn("batch", F.lit(batch))
     (
         dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("day", "batch").parquet(f"{root}/{collection}")
+        .partitionBy("day", "run", "batch").parquet(f"{root}/{collection}")
     )
 
 
-def read(spark: SparkSession, root: str, collection: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{collection}")
+def read(spark: SparkSession, root: str, collection: str, schema: str | T.StructType | None = None) -> DataFrame:
+    """A log; one that may hold no record yet needs its ``schema``."""
+    return (spark.read.schema(schema) if schema else spark.read).parquet(f"{root}/{collection}")
 
 
 def recent(log: DataFrame, limit: int, tie_break: list[str], time: str = "timestamp") -> DataFrame:

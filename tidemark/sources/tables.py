@@ -121,9 +121,9 @@ def sample_n(df: DataFrame, n: int, key: list[str], seed: int = 42) -> DataFrame
 
 
 def normalize_labels(df: DataFrame, label: str, benign: tuple[str, ...]) -> DataFrame:
-    """``Label`` is BENIGN for the listed spellings and ATTACK for the rest; the original stays."""
+    """``Label`` is BENIGN for the listed spellings and ATTACK for the rest; the original stays, a missing label stays missing."""
     text: Column = F.trim(col(label).cast("string"))
-    mapped = F.when(text.isin(*benign), "BENIGN").otherwise("ATTACK")
+    mapped = F.when(text.isin(*benign), "BENIGN").when(text.isNotNull(), "ATTACK")
     if label == "Label":
         return df.withColumn("Label", mapped)
     # two names that differ by case only need a select, not withColumn
