@@ -11,6 +11,8 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 _FALLBACK: dict[str, str] = {}
 _REGISTERED: set[str] = set()
 _SHIPPED: set[str] = set()
+_SCOPES: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -39,8 +42,26 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A path that no other table uses."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    """A path that no other table uses, inside the innermost open scope."""
+    base = _SCOPES[-1] if _SCOPES else scratch_root(spark)
+    return f"{base}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession, label: str) -> Iterator[str]:
+    """Intermediate tables made inside go below one folder, which ``free`` deletes once nothing reads them."""
+    path = new_path(spark, label)
+    _SCOPES.append(path)
+    try:
+        yield path
+    finally:
+        _SCOPES.remove(path)
+
+
+def free(spark: SparkSession, path: str) -> None:
+    """Delete a written table or scope."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialize(df: DataFrame, label: str = "table", partition_by: list[str] | None = None) -> DataFrame:
