@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents
+from tidemark.llm.common import LAST, documents, unpacked, whole_rows
 from tidemark.llm.components import components
 from tidemark.llm.words import in_slices, mix, rolling, word_hashes
 from tidemark.workspace import materialize, ship_package
@@ -33,7 +33,6 @@ REGISTERS = BANDS * ROWS
 LIKELY = 0.65  # registers that must agree before texts are compared, over four deviations below 0.8
 SLICE_BYTES = 6 << 20
 CELL = 2_000  # members of a bucket compared with each other in one piece
-LAST = (1 << 63) - 1
 SIGNED = "doc_id long, text_key long, sha binary, n_shingles long, bands array<long>, registers binary"
 
 
@@ -273,8 +272,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of rows that repeat that id and text one stays; a class without any id keeps the row
     with the smallest text key.
     """
-    heads = near_duplicates(docs).filter("is_head").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    heads = materialize(heads, "heads")
-    keyed = docs.withColumn("_ord", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = keyed.join(heads.select(F.coalesce("_id", F.lit(LAST)).alias("_ord"), "_key"), ["_ord", "_key"], "left_semi")
-    return kept.dropDuplicates(["_ord", "_key"]).select(*docs.columns)
+    heads = near_duplicates(docs).filter("is_head").select(F.coalesce("doc_id", F.lit(LAST)).alias("ord"), "text_key").distinct()
+    kept = whole_rows(docs).join(materialize(heads, "heads"), ["ord", "text_key"], "left_semi")
+    return unpacked(kept.dropDuplicates(["ord", "text_key"]), docs.columns)

@@ -8,10 +8,11 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.workspace import new_path
+from tidemark.workspace import free, new_path
 
 #: The white space of all contracts: words are runs of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
+LAST = (1 << 63) - 1  # order of rows without an id
 
 
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -53,9 +54,18 @@ def settle(df: DataFrame, label: str) -> DataFrame:
 def release(*tables: DataFrame) -> None:
     """Delete tables made by ``settle`` that nothing reads any more: all that depends on them is written."""
     for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table.settled_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        free(table.sparkSession, table.settled_at)
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """Every row as one struct ``row``, so that no name of its columns meets an inner one; with its ``ord`` and ``text_key``."""
+    order = F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("ord")
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), order, F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("text_key"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of ``whole_rows`` again, some of them replaced."""
+    return rows.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in columns])
 
 
 def slots(spark: SparkSession) -> int:

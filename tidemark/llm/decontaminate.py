@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents
+from tidemark.llm.common import documents, unpacked, whole_rows
 from tidemark.llm.words import in_slices
 from tidemark.workspace import materialize, ship_package
 
@@ -341,8 +341,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, answer_col: str | None =
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs`` that give no item away, with all their columns; rows without an id are judged by their text too."""
-    keyed = docs.withColumn("_row_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = whole_rows(docs)
     # the search sees the text's key in place of the id, so that ids may be null or repeat
-    judged = contaminated(keyed.select(F.col("_row_key").alias("doc_id"), "text"), benchmark)
-    gone = materialize(judged.select(F.col("doc_id").alias("_row_key")).distinct(), "leaks")  # its size decides how it is joined
-    return keyed.join(gone, "_row_key", "left_anti").select(*docs.columns)
+    judged = contaminated(keyed.select(F.col("text_key").alias("doc_id"), F.col("row").getField("text").alias("text")), benchmark)
+    gone = materialize(judged.select(F.col("doc_id").alias("text_key")).distinct(), "leaks")  # its size decides how it is joined
+    return unpacked(keyed.join(gone, "text_key", "left_anti"), docs.columns)

@@ -19,6 +19,7 @@ from tidemark.llm.common import SPACE, documents
 from tidemark.workspace import materialize, ship_package
 
 BUCKET_KEYS = 20_000
+SCREEN_BYTES = 64 << 20  # of the filter that screens texts for the byte check
 FILTERS = "bucket long, seed long, segment long, segments long, prints binary"
 _M = (1 << 64) - 1
 
@@ -121,18 +122,19 @@ def _key() -> Column:
     return F.xxhash64("digest")
 
 
+def _build_bucket(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+    seed, segment, segments, prints = build_filter(part["key"].to_numpy().astype(np.uint64))
+    return pd.DataFrame({"bucket": [key[0]], "seed": [seed], "segment": [segment], "segments": [segments], "prints": [prints]})
+
+
 def snapshot(rows: DataFrame) -> Snapshot:
     """Describe an immutable set of rows (see ``_rows``): groups and filters are written once."""
     ship_package(rows.sparkSession)
     groups = materialize(_grouped(rows), "snapshot")
     buckets = max(1, -(-groups.count() // BUCKET_KEYS))
 
-    def build(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        seed, segment, segments, prints = build_filter(part["key"].to_numpy().astype(np.uint64))
-        return pd.DataFrame({"bucket": [key[0]], "seed": [seed], "segment": [segment], "segments": [segments], "prints": [prints]})
-
     keyed = groups.select(_key().alias("key")).withColumn("bucket", F.pmod("key", F.lit(buckets)))
-    return Snapshot(groups, materialize(keyed.groupBy("bucket").applyInPandas(build, FILTERS), "filters"), buckets)
+    return Snapshot(groups, materialize(keyed.groupBy("bucket").applyInPandas(_build_bucket, FILTERS), "filters"), buckets)
 
 
 def screen(incoming: DataFrame, known: Snapshot) -> DataFrame:
@@ -178,14 +180,43 @@ def deduplicate(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def _byte_check(met: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
-    """Digests of which a snapshot text and a batch text agree in every byte."""
+    """Digests of which a snapshot text and a batch text agree in every byte.
+
+    Only texts that stand for a group in ``met`` pass a filter and are shuffled; the filter is
+    handed to all tasks if it has at most ``SCREEN_BYTES``, else all texts are shuffled.
+    """
     texts = []
     for docs, name in ((old, "old_id"), (new, "new_id")):
-        wanted = met.select("digest", F.col(name).alias("_id"))
-        found = documents(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")))
         norm = normalised(F.col("text"))
         # an id may repeat with other texts: only the text of this digest counts
-        found = found.filter(F.unhex(F.sha2(norm, 256)) == F.col("digest"))
-        texts.append(found.select("digest", norm.alias("norm")).dropDuplicates())
+        found = documents(docs).select("doc_id", norm.alias("norm")).withColumn("digest", F.unhex(F.sha2("norm", 256)))
+        wanted = met.select(F.col("digest").alias("_digest"), F.col(name).alias("_id"))
+        maybe = _screen_of(wanted.select(F.xxhash64("_digest", "_id").alias("key")))
+        if maybe is not None:
+            found = found.filter(maybe(F.xxhash64("digest", "doc_id")))
+        same = (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+        texts.append(found.join(wanted, same).select("digest", "norm").dropDuplicates())
     a, b = texts
     return a.withColumnRenamed("norm", "a").join(b.withColumnRenamed("norm", "b"), "digest").filter("a = b").select("digest").distinct()
+
+
+def _screen_of(keys: DataFrame):
+    """A column function that passes every ``key`` and about one in 256 others, or None where it would be too large."""
+    n = keys.count()
+    if n * 2 > SCREEN_BYTES:  # a fuse filter takes a little over a byte a key
+        return None
+    spark, buckets = keys.sparkSession, max(1, -(-n // BUCKET_KEYS))
+    built = keys.withColumn("bucket", F.pmod("key", F.lit(buckets))).groupBy("bucket").applyInPandas(_build_bucket, FILTERS)
+    filters = spark.sparkContext.broadcast({r["bucket"]: (r["seed"], r["segment"], r["segments"], bytes(r["prints"])) for r in built.collect()})
+
+    @F.pandas_udf("boolean")
+    def maybe(key: pd.Series) -> pd.Series:
+        values = key.to_numpy()
+        bucket, out = values % buckets, np.zeros(len(values), dtype=bool)
+        for b in np.unique(bucket):
+            if int(b) in filters.value:
+                at = np.flatnonzero(bucket == b)
+                out[at] = passes(values[at].astype(np.uint64), *filters.value[int(b)])
+        return pd.Series(out)
+
+    return maybe

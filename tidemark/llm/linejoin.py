@@ -13,10 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, documents, settle
+from tidemark.llm.common import LAST, SPACE, documents, settle, unpacked, whole_rows
 
 RARITY_BITS = 18  # tokens are counted in so many hash buckets, which bounds the table of counts
-LAST = (1 << 63) - 1
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 LEAST_SIZE = 4  # smaller sets have no other set within 0.8
 
@@ -153,12 +152,12 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     Every row stays, also one that has lost all its lines (its text is empty then); a null
     text stays null.  All columns keep their names and order.
     """
-    found = repeated_lines(docs).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("removed_lines").alias("_gone")).dropDuplicates(["_id", "_key"])
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = keyed.join(found, keyed["doc_id"].cast("long").eqNullSafe(found["_id"]) & (keyed["_text_key"] == found["_key"]), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_gone", i)), "\n")
-    joined = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
+    found = repeated_lines(docs).filter("n_removed > 0").select(F.coalesce("doc_id", F.lit(LAST)).alias("ord"), "text_key", F.col("removed_lines").alias("gone"))
+    joined = whole_rows(docs).join(found.dropDuplicates(["ord", "text_key"]), ["ord", "text_key"], "left")
+    text, hit = F.col("row").getField("text"), F.col("gone").isNotNull()
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("gone", i)), "\n")
+    changed = {"text": F.when(hit, kept).otherwise(text)}
     if "n_chars" in docs.columns:
-        length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        joined = joined.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(length))
-    return joined.select(*docs.columns)
+        length = F.length(kept).cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(hit, length).otherwise(F.col("row").getField("n_chars"))
+    return unpacked(joined, docs.columns, **changed)

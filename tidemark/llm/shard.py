@@ -116,13 +116,14 @@ def histogram_sort(df: DataFrame, key: Column, tie: Column, size: Column, shards
     nearest key boundary is more than ``hold`` of a shard away from its ideal place; such a
     key is split along ``tie``.  Rows that agree in both cannot be split; their order among
     each other is arbitrary.  Null ties order first, null keys count as the smallest key,
-    null sizes as 0.  An empty table gives no rows.  Each shard is sorted in ``parts``
+    null sizes as 0.  An empty table gives no rows.  Columns of ``df`` that are called
+    ``shard`` or ``slot`` give way to the new ones, all others keep their values.  Each shard is sorted in ``parts``
     independent ranges (default: as many as give every shuffle partition one).
     """
     spark = df.sparkSession
     ship_package(spark)
     parts = parts or max(1, -(-slots(spark) // shards))
-    keyed = df.select("*", F.coalesce(key, F.lit(LOW)).alias("_key"), F.coalesce(tie, F.lit(LOW)).alias("_tie"), F.coalesce(size, F.lit(0)).cast("long").alias("_size"))
+    keyed = df.select(F.struct("*").alias("_row"), F.coalesce(key, F.lit(LOW)).alias("_key"), F.coalesce(tie, F.lit(LOW)).alias("_tie"), F.coalesce(size, F.lit(0)).cast("long").alias("_size"))
     rows = materialize(keyed, "keyed")
     cuts, _, _ = splitters(rows, shards, parts, close, hold)
     keys, ties = np.array([c.key for c in cuts], dtype=np.int64), np.array([c.tie for c in cuts], dtype=np.int64)
@@ -144,4 +145,5 @@ def histogram_sort(df: DataFrame, key: Column, tie: Column, size: Column, shards
     order = Window.partitionBy("_part").orderBy("_key", "_tie", "_size")
     placed = dealt.withColumn("_at", F.row_number().over(order) - 1)
     out = placed.join(F.broadcast(table), "_part").withColumn("slot", F.col("_first") + F.col("_at"))
-    return out.drop("_part", "_key", "_tie", "_size", "_first", "_at")
+    kept = [c for c in df.columns if c not in ("shard", "slot")]
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in kept], "shard", "slot")
