@@ -6,11 +6,14 @@ documents with the same columns.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bagminhash, decontaminate, linejoin, packing, quality
 from tidemark.llm.queries import VOCABULARY, table
-from tidemark.workspace import materialize
+from tidemark.workspace import free, materialize, scratch_scope
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +41,31 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack(docs, VOCABULARY)
 
 
+_LEFT: dict[str, list[str]] = {}  # scratch folders of the stages run so far, by application
+
+
+def _tidy(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage in a scratch folder of its own; those of earlier stages go, as their results are written and reread by now."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        left = _LEFT.setdefault(spark.sparkContext.applicationId, [])
+        while left:
+            free(spark, left.pop())
+        with scratch_scope(spark, stage.__name__) as folder:
+            out = stage(spark, docs, sf_dir)
+        left.append(folder)
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("quality classifier", quality_classifier),
-    ("line dedup", line_dedup),
-    ("minhash near-dedup", minhash_near_dedup),
-    ("benchmark decontamination", benchmark_decontamination),
-    ("best-fit packing", best_fit_packing),
+    ("quality classifier", _tidy(quality_classifier)),
+    ("line dedup", _tidy(line_dedup)),
+    ("minhash near-dedup", _tidy(minhash_near_dedup)),
+    ("benchmark decontamination", _tidy(benchmark_decontamination)),
+    ("best-fit packing", _tidy(best_fit_packing)),
 ]
 
 #: Fitted models and a tokenizer decide, which SQL cannot state; tests compare with brute force.
