@@ -21,7 +21,7 @@ HEADLINE = (
     "feature_stats", "ks_two_sample", "windowed_feature_stats", "feature_histogram",
     "windowed_metrics", "multiclass_metrics", "rolling_error", "cumulative_error", "strategy_comparison",
     "adwin_stream", "adwin_by_key", "adwin_sensitivity", "ddm_first_alarm", "drift_events",
-    "drift_scenarios", "retrain_guards", "al_uncertainty", "log_attacks", "gbt_score", "stream_adwin",
+    "drift_scenarios", "retrain_guards", "al_uncertainty", "log_attacks", "gbt_score", "gbt_multiclass", "rf_score", "policy_comparison", "stream_adwin",
 )
 
 

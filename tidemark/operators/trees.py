@@ -20,7 +20,7 @@ import json
 import math
 import time
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -33,6 +33,7 @@ from tidemark.workspace import materialize, ship_package
 
 LOCAL_CELLS = 1 << 26
 BLOCK_ROWS = 1 << 16
+FOREST_SHARES = 16  # tasks that the trees of one forest are dealt to
 WRITE_ROUNDS = 10  # rounds between two written tables of margins
 MAX_LABELS = 1_000
 SCALE = float(1 << 20)
@@ -238,6 +239,11 @@ class Rounds:
         n = self.k + 1 if self.s.forest else 3
         self.growers = [Grower(self.s, self.features, n, salt=self.round) for _ in range(self.per_round)] if self.round < self.s.trees and self.k > 1 else []
 
+    def go_to(self, number: int) -> None:
+        """Begin with a later round, which a forest may."""
+        self.round = number
+        self._next()
+
     @property
     def done(self) -> bool:
         return not self.growers
@@ -488,22 +494,37 @@ def _trees(rounds: Rounds, plan: _Plan, features: list[str], settings: Settings)
 
 
 def _fit_small(rows: DataFrame, plans: dict[str, _Plan], features: list[str], names: list[str], settings) -> dict[str, Trees]:
+    """One task per model; the trees of a forest do not depend on each other and are dealt to several."""
+
     def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         began = time.perf_counter()
-        m = key[0]
+        m, share = key[0], int(key[1])
         plan, s = plans[m], _of(settings, m)
         lookup = {x: i for i, x in enumerate(plan.labels)}
         y = part["_label"].map(lookup).to_numpy(dtype=np.int64)
         columns = [part[n].to_numpy(dtype=float) for n in names]
-        rounds = plan.rounds(s, len(features))
+        first, last = (s.trees * (share + i) // FOREST_SHARES for i in (0, 1)) if s.forest else (0, s.trees)
+        rounds = plan.rounds(replace(s, trees=last), len(features))
+        rounds.go_to(first)
         _local(rounds, binned(columns, plan.edges), y, _row_hash(columns, y))
         trees = _trees(rounds, plan, features, s)
         trees.metadata["training_time_s"] = round(time.perf_counter() - began, 3)
-        return pd.DataFrame({"model": [m], "trees": [trees.to_bytes()]})
-
-    # one task per model
-    found = rows.repartition(8 * max(1, len(plans)), "_model").groupBy("_model").applyInPandas(fit, "model string, trees binary").collect()
-    return {r["model"]: Trees.from_bytes(r["trees"]) for r in found}
+        return pd.DataFrame({"model": [m], "share": [share], "trees": [trees.to_bytes()]})
+
+    forests = [m for m in plans if _of(settings, m).forest]
+    shares = F.when(F.col("_model").isin(forests), F.sequence(F.lit(0), F.lit(FOREST_SHARES - 1))).otherwise(F.array(F.lit(0)))
+    dealt = rows.withColumn("_share", F.explode(shares)).repartition(8 * max(1, len(plans)), "_model", "_share")
+    found: dict[str, Trees] = {}
+    for r in sorted(dealt.groupBy("_model", "_share").applyInPandas(fit, "model string, share int, trees binary").collect(), key=lambda r: r["share"]):
+        part = Trees.from_bytes(r["trees"])
+        if r["model"] in found:
+            whole = found[r["model"]]
+            whole.trees += part.trees
+            whole.values += part.values
+            whole.metadata["training_time_s"] = max(whole.metadata["training_time_s"], part.metadata["training_time_s"])
+        else:
+            found[r["model"]] = part
+    return found
 
 
 _BLOCK = "model string, rows int, bins binary, y binary, row_hash binary, margin binary"
