@@ -2,8 +2,9 @@
 
 Lines with one token set are one class.  Tokens are ordered by rarity, counted over all
 texts.  Two sets of similarity 0.8 or more share a token among their rarest ones, so only
-prefixes are joined.  Both sides of the join are the same rows, so they are shuffled once.
-The join itself applies the length filter, the positional filter (what can still follow a
+prefixes are joined.  A set first meets the earliest set of each of its buckets, which takes
+no more rows than there are prefix tokens; what that leaves open meets all earlier sets.
+The joins apply the length filter, the positional filter (what can still follow a
 shared token, which also cuts the smaller set to its shorter index prefix) and a parity bitmap (its bits bound the number of tokens that
 only one set has).  Survivors are verified on their real tokens.
 """
@@ -13,11 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LAST, SPACE, documents, settle, unpacked, whole_rows
+from tidemark.llm.common import LAST, SPACE, documents, release, settle, unpacked, whole_rows
 
 RARITY_BITS = 18  # tokens are counted in so many hash buckets, which bounds the table of counts
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 LEAST_SIZE = 4  # smaller sets have no other set within 0.8
+PARITY = ("parity_0", "parity_1")  # a bitmap of 128 bits, in which every token turns one over
+PASSES = 4  # parts of the prefix join that run one after another
+TRIED_TOKENS = 3  # rarest tokens by which a set is filed for its first try; what this misses meets all sets later
 
 
 def tokens(line: Column) -> Column:
@@ -52,56 +56,100 @@ def _lines(texts: DataFrame) -> DataFrame:
     prefix = F.when(n < LEAST_SIZE, F.lit(0)).otherwise(n - F.expr("(4 * size(set) + 4) div 5").cast("int") + 1)
     return ranked.select(
         "ord", "text_key", "line_no", n.alias("n"), F.xxhash64("set").alias("k1"), F.xxhash64(F.lit(1), "set").alias("k2"),
-        F.expr("aggregate(set, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))").alias("parity"),
+        *[F.expr(f"aggregate(set, 0L, (a, x) -> if((x & 64) = {64 * w}, a ^ shiftleft(1L, cast(x & 63 as int)), a))").alias(p) for w, p in enumerate(PARITY)],
         F.transform(F.slice("set", 1, prefix), lambda x: (x % 2147483647).cast("int")).alias("prefix"),
     )
 
 
-def _candidates(sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets that pass all filters; a is not larger than b."""
-    large = sets.filter(F.col("n") >= LEAST_SIZE)
-    side = lambda x: large.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"p_{x}"), F.posexplode("prefix").alias(f"i_{x}", "token"))
-    both = F.col("n_a") + F.col("n_b")
-    need = F.expr("(4 * (n_a + n_b) + 8) div 9")  # shared tokens that 0.8 asks for
-    fits = (
-        ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b"))))
-        & (F.col("n_a") * 5 >= F.col("n_b") * 4)
-        & (F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) >= need)
-        & (F.bit_count(F.col("p_a").bitwiseXOR(F.col("p_b"))) <= both - 2 * need)
+def _prefixes(sets: DataFrame, most: int | None = None) -> DataFrame:
+    """One row per token in the join prefix of a set, or per each of its ``most`` rarest tokens."""
+    prefix = F.slice("prefix", 1, most) if most else F.col("prefix")
+    kept = [c for c in sets.columns if c in ("id", "n", *PARITY, "open")]
+    return sets.filter(F.col("n") >= LEAST_SIZE).select(*kept, F.posexplode(prefix).alias("i", "token"))
+
+
+def _need() -> Column:
+    """Shared tokens that 0.8 asks for, of sets of n and n_e tokens."""
+    return F.expr("(4 * (n + n_e) + 8) div 9")
+
+
+def _apart() -> Column:
+    """At least so many tokens are in one of two sets only."""
+    low, high = (F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}_e"))) for p in PARITY)
+    return low + high
+
+
+def _fits() -> Column:
+    """Whether a later set (n, i, parity) and an earlier one (the same with _e) that share a token can still be similar."""
+    lengths = (F.col("n") * 5 >= F.col("n_e") * 4) & (F.col("n_e") * 5 >= F.col("n") * 4)
+    follow = F.least(F.col("n") - F.col("i"), F.col("n_e") - F.col("i_e"))
+    return lengths & (follow >= _need()) & (_apart() <= F.col("n") + F.col("n_e") - 2 * _need())
+
+
+def _first_tries(sets: DataFrame) -> DataFrame:
+    """For each set at most one pair (late, early): of the earliest sets of its buckets the one that looks closest.
+
+    A bucket holds the sets that share one of their rarest tokens and are about as long.
+    Only its earliest set meets the others, so the rows are few, however many similar sets
+    meet in a bucket.
+    """
+    members = _prefixes(sets, TRIED_TOKENS).withColumn("length", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
+    heads = members.groupBy("token", "length").agg(
+        F.min("id").alias("early"), *[F.min_by(c, "id").alias(f"{c}_e") for c in ("n", "i", *PARITY)], F.count(F.lit(1)).alias("sets")
     )
-    return side("a").join(side("b"), "token").filter(fits).select("a", "b").distinct()
+    met = members.join(heads.filter("sets > 1"), ["token", "length"]).filter((F.col("early") < F.col("id")) & _fits())
+    return met.groupBy(F.col("id").alias("late")).agg(F.min_by("early", _apart()).alias("early"))
+
 
+def _other_tries(sets: DataFrame) -> DataFrame:
+    """All pairs (late, early) that pass the filters, for the sets that are ``open``.
 
-def _similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    Tokens are dealt to ``PASSES`` passes by their hash and the shuffle files of a pass are
+    given back before the next one, as the prefixes together are larger than the texts.
+    Both sides of a join are the same rows, so they are shuffled once.
+    """
+    found = []
+    for turn in range(PASSES):
+        rows = _prefixes(sets).filter(F.pmod("token", F.lit(PASSES)) == turn)
+        early = rows.select("token", F.col("id").alias("early"), *[F.col(c).alias(f"{c}_e") for c in ("n", "i", *PARITY)])
+        met = rows.join(early, "token").filter(F.col("open") & (F.col("early") < F.col("id")) & _fits())
+        found.append(settle(met.select(F.col("id").alias("late"), "early").distinct(), "line-pairs"))
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.distinct()
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     """``late`` of the pairs whose token sets really have a similarity of 0.8 or more."""
+    wanted = pairs.select(F.col("late").alias("id")).union(pairs.select("early")).distinct()
+    wanted = settle(wanted.join(sets.select("id", "first.*"), "id"), "wanted-lines")
+    by_text = wanted.groupBy("ord", "text_key").agg(F.collect_list(F.struct("line_no", "id")).alias("places"))
+    chosen = texts.join(by_text, ["ord", "text_key"]).select(F.split("text", "\n").alias("lines"), F.explode("places").alias("p"))
+    lines = chosen.select("p.id", F.array_distinct(tokens(F.get("lines", F.col("p.line_no")))).alias("set"))
+    lines = settle(lines.dropDuplicates(["id"]), "token-sets")  # rows that repeat id and text give the same line
     side = lambda x: lines.select(F.col("id").alias(x), F.col("set").alias(f"s_{x}"))
-    full = pairs.select("early", "late").join(side("early"), "early").join(side("late"), "late")
+    full = pairs.join(side("early"), "early").join(side("late"), "late")
     sized = full.select("late", F.size(F.array_intersect("s_early", "s_late")).alias("both"), (F.size("s_early") + F.size("s_late")).alias("sum"))
-    return sized.filter("both * 5 >= (sum - both) * 4").select("late").distinct()
+    held = settle(sized.filter("both * 5 >= (sum - both) * 4").select("late").distinct(), "later-sets")
+    release(wanted, lines)
+    return held
 
 
-def _later(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """Ids of the sets that have an earlier set within 0.8.
+def _later(sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Ids of the sets that have an earlier set within 0.8; ids ascend with the first place of a set.
 
-    Each set is verified against one of its earlier candidates first.  Where that one does
-    not hold, it is verified against all others, so that no match is lost.
+    Most copies of a group are near its first set, so each set is tried with one earlier set.
+    Only those that this does not settle meet all earlier sets of their buckets.
     """
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(sets.select("id", "first.*"), "id")
-    wanted = settle(wanted.select("id", "ord", "text_key", "line_no"), "wanted-lines")
-    by_text = wanted.groupBy("ord", "text_key").agg(F.collect_set("line_no").alias("numbers"))
-    numbered = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("line_no"), line.alias("line")))
-    chosen = texts.join(by_text, ["ord", "text_key"]).select("ord", "text_key", F.explode(F.filter(numbered, lambda x: F.array_contains("numbers", x["line_no"]))).alias("l"))
-    lines = chosen.select("ord", "text_key", "l.*").join(wanted, ["ord", "text_key", "line_no"])
-    lines = settle(lines.select("id", F.array_distinct(tokens(F.col("line"))).alias("set")).dropDuplicates(["id"]), "token-sets")
-
-    for name in ("a", "b"):
-        pairs = pairs.join(wanted.select(F.col("id").alias(name), F.struct("ord", "text_key", "line_no").alias(f"f_{name}")), name)
-    a_first = F.col("f_a") < F.col("f_b")
-    pairs = settle(pairs.select(F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("late")), "ordered-pairs")
-    tried = pairs.groupBy("late").agg(F.min("early").alias("early"))
-    held = settle(_similar(tried, lines), "later-sets")
-    rest = pairs.join(held, "late", "left_anti").join(tried, ["late", "early"], "left_anti")
-    return held.unionByName(settle(_similar(rest, lines), "later-sets")).withColumnRenamed("late", "id")
+    tried = settle(_first_tries(sets), "first-tries")
+    held = _similar(tried, sets, texts)
+    settled = sets.select("id", "n", *PARITY, "prefix").join(held.select(F.col("late").alias("id"), F.lit(False).alias("open")), "id", "left")
+    pairs = _other_tries(settled.withColumn("open", F.coalesce("open", F.lit(True)))).join(tried, ["late", "early"], "left_anti")
+    pairs = settle(pairs, "line-pairs")
+    more = _similar(pairs, sets, texts)
+    release(tried, pairs)
+    return held.unionByName(more).withColumnRenamed("late", "id")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -118,12 +166,14 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     plain = documents(docs)
     texts = plain.select(F.coalesce("doc_id", F.lit(LAST)).alias("ord"), F.xxhash64("text").alias("text_key"), "text")
     lines = settle(_lines(texts), "lines")
-    first = F.min(F.struct("ord", "text_key", "line_no", "n", "parity", "prefix")).alias("m")
+    first = F.min(F.struct("ord", "text_key", "line_no", "n", *PARITY, "prefix")).alias("m")
     sets = lines.groupBy("k1", "k2").agg(first, F.count(F.lit(1)).alias("lines"))
-    sets = sets.select("k1", "k2", "lines", "m.n", "m.parity", "m.prefix", F.struct("m.ord", "m.text_key", "m.line_no").alias("first"))
-    sets = settle(sets.withColumn("id", F.monotonically_increasing_id()), "line-sets")
-    pairs = settle(_candidates(sets), "line-pairs")
-    later = _later(pairs, sets, texts)
+    sets = sets.select("k1", "k2", "lines", "m.n", *[f"m.{p}" for p in PARITY], "m.prefix", F.struct("m.ord", "m.text_key", "m.line_no").alias("first"))
+    placed = sets.repartitionByRange("first.ord", "first.text_key", "first.line_no").sortWithinPartitions("first")
+    sets = settle(placed.withColumn("id", F.monotonically_increasing_id()), "line-sets")
+    slim = settle(lines.select("ord", "text_key", "line_no", "k1", "k2"), "lines")
+    release(lines)
+    later = _later(sets, texts)
 
     named = sets.select("id", "k1", "k2", "lines", "first").join(later.withColumn("near", F.lit(True)), "id", "left")
     named = named.select("k1", "k2", "lines", "first", F.coalesce("near", F.lit(False)).alias("near"))
@@ -131,7 +181,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
     own = F.struct("ord", "text_key", "line_no")
     # one row per set against all lines: adaptive execution splits the very common lines
-    judged = lines.select("ord", "text_key", "line_no", "k1", "k2").join(named, ["k1", "k2"])
+    judged = slim.join(named, ["k1", "k2"])
     gone = judged.filter(F.col("near") | (own != F.col("first"))).select("ord", "text_key", "line_no", "near")
     gone = gone.groupBy("ord", "text_key").agg(
         F.sort_array(F.collect_set("line_no")).alias("removed_lines"), F.size(F.collect_set(F.when(F.col("near"), F.col("line_no")))).alias("n_near")
