@@ -96,3 +96,17 @@ def test_nothing_to_stream(spark):
     df = spark.createDataFrame(stream(100, turns=()))
     grid = pq.run_grid(df, pq.CellLearner("cell"), "Label", [ad.Static(), ad.DriftTriggered()], 100)
     assert grid.predictions.count() == 0 and grid.log.count() == 0
+
+
+def test_planned_runs_of_a_cell_table_need_no_turns(spark, monkeypatch):
+    """Thousands of periodic models are one table: none is fitted or scored in a turn."""
+    monkeypatch.setattr(pq, "_score", None)
+    monkeypatch.setattr(pq.CellLearner, "fit", None)
+    pdf = stream(2000)
+    pdf.loc[700, "Label"], pdf["cell"] = None, pdf["cell"].astype(float)
+    pdf.loc[800, "cell"] = None
+    policies = [ad.Static(), ad.Periodic(10)]
+    grid = pq.run_grid(spark.createDataFrame(pdf).withColumn("cell", F.col("cell").cast("long")), pq.CellLearner("cell"), "Label", policies, 500, window_rows=260, minimum=100)
+    rows, log = grid.predictions.collect(), grid.log.collect()
+    assert len(rows) == 2 * 1500 and sum(e["retrained"] for e in log) == sum(e["pos"] >= 99 for e in log) == 140
+    assert {(r["err"], r["y_true"]) for r in rows if r["pos"] == 200} == {(0, None)} and all(r["y_pred"] for r in rows)

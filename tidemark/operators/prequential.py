@@ -5,7 +5,8 @@ including the row that triggers a retrain, fits a new model on the rows before i
 behind it.  All runs of a grid advance together in turns; a turn is a few jobs for all of them:
 
 * policies that know their triggers in advance (none, periodic) are planned many segments at
-  a time; a drift-triggered run is scored a stretch ahead with its current model,
+  a time (with a learner whose models are tables all at once, as joins, see ``CellLearner.run``);
+  a drift-triggered run is scored a stretch ahead with its current model,
 * one job scores all stretches of all runs and writes them,
 * per drift-triggered run, one task folds the detector over its stretch and stops at the first
   drift that is due; the stretch counts up to there and the detector's state is kept,
@@ -24,6 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions.expressions import col, hash_uniform
 from tidemark.operators.adapt import MINIMUM_ROWS, WINDOW_ROWS, RetrainPolicy
@@ -39,10 +41,16 @@ class Learner:
     """Extension point: fits one model per name; a model has ``features``, ``labels`` and ``probabilities(columns)``."""
 
     features: list[str]
+    #: whether ``run`` does all runs whose triggers are known in advance
+    in_tables = False
 
     def fit(self, rows: DataFrame, name: str, label: str, seeds: dict[str, int]) -> dict[str, object]:
         raise NotImplementedError
 
+    def run(self, stored: DataFrame, label: str, runs: dict[int, Run], end: int, warm_rows: int, window_rows: int, minimum: int, key: list[str], share: float) -> tuple[DataFrame, DataFrame]:
+        """Predictions (``SCORED``) and log (``LOG``) of runs, by number."""
+        raise NotImplementedError
+
 
 class TreeLearner(Learner):
     """Boosted trees or forests; the seed of the run is that of the model."""
@@ -75,9 +83,60 @@ class CellTable:
 class CellLearner(Learner):
     """Majority label per value of one whole-number column with few values; ties go to the smaller label."""
 
+    in_tables = True
+
     def __init__(self, cell: str):
         self.features = [cell]
 
+    def run(self, stored, label, runs, end, warm_rows, window_rows, minimum, key, share):
+        """All models as one table, counted in one job, and all rows scored in another.
+
+        Rows meet the spans that models are fitted on, and the stretches that they score, by
+        blocks of positions, so no task gets more than a few blocks.
+        """
+        spark, cell = stored.sparkSession, self.features[0]
+        policies = {r.strategy: r.policy for r in runs.values()}
+        numbered = spark.createDataFrame([(i, r.strategy, r.seed) for i, r in runs.items()], "run int, strategy string, seed long")
+        seeds = sorted({r.seed for r in runs.values()})
+        spans = [("", -1, -warm_rows, -1)]  # the first models, which all policies share
+        for name, policy in policies.items():
+            spans += [(name, t, max(0, t - window_rows + 1), t) for t in policy.planned(policy.first_trigger_base, 0, end, max(end, 0))]
+        spans = materialize(spark.createDataFrame(spans, "strategy string, trigger long, a long, z long"), "spans")
+        block = lambda c: F.floor(c / F.lit(window_rows))
+        blocks = lambda df: df.select("*", F.explode(F.sequence(block(F.col("a")), block(F.col("z")))).alias("_block"))
+        drawn = F.array(*[F.lit(s) for s in seeds]) if share >= 1 else F.array_compact(F.array(*[F.when(hash_uniform(s, *key) < share, F.lit(s)) for s in seeds]))
+        rows = stored.select(
+            (F.col("pos") - warm_rows).alias("pos"), col(label).cast("string").alias("y"), col(cell).alias("cell"), drawn.cast("array<long>").alias("seeds")
+        ).withColumn("_block", block(F.col("pos")))
+        seen = rows.join(blocks(spans.filter("a <= z")), "_block").filter("pos BETWEEN a AND z")
+        guards = seen.groupBy("strategy", "trigger").agg(F.count(F.lit(1)).alias("window_rows"), F.count_distinct("y").cast("int").alias("n_classes"))
+        guards = materialize(guards, "guards")
+        passed = guards.filter((F.col("strategy") == "") | ((F.col("window_rows") >= minimum) & (F.col("n_classes") >= 2))).select("strategy", "trigger")
+        model = ["strategy", "trigger", "seed"]
+        counts = seen.filter("y IS NOT NULL").join(passed, ["strategy", "trigger"]).select("strategy", "trigger", F.explode("seeds").alias("seed"), "cell", "y")
+        counts = counts.groupBy(*model, "cell", "y").agg(F.count(F.lit(1)).alias("n"))
+        counts = materialize(counts, "counts")
+        most = F.min(F.struct((-F.col("n")).alias("n"), "y"))["y"]
+        per_cell = counts.filter("cell IS NOT NULL").groupBy(*model, "cell").agg(most.alias("y"))
+        tables = per_cell.groupBy(*model).agg(F.map_from_entries(F.collect_list(F.struct("cell", "y"))).alias("cells"))
+        overall = counts.groupBy(*model, "y").agg(F.sum("n").alias("n")).groupBy(*model).agg(most.alias("otherwise"))
+        models = materialize(overall.join(tables, model, "left"), "models")
+        first = models.filter("strategy = ''").drop("strategy").join(numbered, "seed")
+        later = models.filter("strategy <> ''").join(numbered, ["strategy", "seed"])
+        kept = ["run", "trigger", "cells", "otherwise"]
+        # a model scores from the row after its trigger up to the next one's; one row per model
+        stretches = first.select(*kept).unionByName(later.select(*kept)).withColumns({
+            "a": F.col("trigger") + 1, "z": F.coalesce(F.lead("trigger").over(Window.partitionBy("run").orderBy("trigger")), F.lit(end - 1).cast("long")),
+        })
+        asked = rows.filter("pos >= 0").select("pos", "y", "cell", "_block").join(blocks(stretches.filter("a <= z")), "_block").filter("pos BETWEEN a AND z")
+        guess = F.coalesce(F.try_element_at("cells", F.col("cell")), F.col("otherwise"))
+        wrong = F.coalesce((F.col("y") != guess).cast("int"), F.lit(0))
+        scored = asked.select("run", "pos", F.col("y").alias("y_true"), guess.alias("y_pred"), wrong.alias("err"), F.lit(1.0).alias("confidence"))
+        fitted = models.select(*model, F.lit(True).alias("retrained"))
+        log = spans.filter("strategy <> ''").join(numbered.drop("run"), "strategy").join(guards, ["strategy", "trigger"], "left").join(fitted, model, "left")
+        log = log.fillna(0, ["window_rows", "n_classes"]).fillna(False, ["retrained"]).withColumn("train_seconds", F.lit(0.0))
+        return materialize(scored, "scored"), materialize(log.select("strategy", "seed", F.col("trigger").alias("pos"), "window_rows", "n_classes", "retrained", "train_seconds"), "log")
+
     def fit(self, rows, name, label, seeds):
         cell = self.features[0]
         counts = rows.filter(col(label).isNotNull()).groupBy(name, cell, label).agg(F.count(F.lit(1)).alias("n"))
@@ -160,6 +219,15 @@ def run_grid(
             run = Run(f"{policy.name}|{seed}", policy.name, seed, policy, last=policy.first_trigger_base, model=f"first|{seed}")
             run.detector = pickle.dumps(create(method, **(detector_params or {}))) if policy.needs_drifts else b""
             runs.append(run)
+    every, done = list(runs), None
+    if learner.in_tables:
+        known = {i: r for i, r in enumerate(every) if not r.policy.needs_drifts}
+        done = learner.run(stored, label, known, end, warm_rows, window_rows, minimum, key, share) if known and end > 0 else None
+    if done:
+        for i in known:
+            every[i].at = end
+        if len(known) == len(every):
+            seeds = ()
     models: dict[str, object] = {}
     fits = {f"first|{seed}": (seed, -warm_rows, -1) for seed in seeds}
     guards: dict[str, tuple[int, int]] = {}
@@ -206,13 +274,16 @@ def run_grid(
         turn += 1
     names = spark.createDataFrame([(i, r.strategy, r.seed) for i, r in enumerate(runs)], "run int, strategy string, seed long")
     log = spark.createDataFrame([(r.strategy, r.seed, *[e[k] for k in ("pos", "window_rows", "n_classes", "retrained", "train_seconds")]) for r in runs for e in r.log], LOG)
+    if done:
+        log = log.unionByName(done[1])
     if not turn:
-        empty = spark.createDataFrame([], SCORED).join(names, "run").drop("run")
-        return Grid(empty, log)
+        rows = done[0] if done else spark.createDataFrame([], SCORED)
+        return Grid(rows.join(F.broadcast(names), "run").drop("run"), log)
     # one row per run and turn, so the cuts are small
     kept = spark.createDataFrame(cuts, "turn int, run int, start long, stop long").groupBy("turn", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
     scored = spark.read.option("basePath", folder).parquet(folder)
     rows = scored.join(F.broadcast(kept), ["turn", "run"]).filter("pos BETWEEN start AND stop").drop("turn", "start", "stop")
+    rows = rows.unionByName(done[0]) if done else rows
     return Grid(rows.join(F.broadcast(names), "run").drop("run"), log)
 
 
