@@ -5,6 +5,7 @@ from dataclasses import replace
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import models as ml
 from tidemark.operators import trees
@@ -109,3 +110,25 @@ def test_leaf_budget_and_round_trip():
     assert np.array_equal(model.probabilities(columns), again.probabilities(columns)) and again.settings == how and again.metadata == {"x": 1}
     with pytest.raises(ValueError):
         ml.settings("lightning")
+
+
+@pytest.mark.parametrize("algorithm", ["gbt", "rf"])
+def test_rows_equal_in_all_bins_are_one_entry(spark, monkeypatch, algorithm):
+    """Many rows over few values are grown in one task, with the trees of single rows, and scored once."""
+    rng = np.random.default_rng(7)
+    pdf = pd.DataFrame({"a": rng.integers(0, 6, 3000).astype(float), "b": rng.integers(0, 5, 3000).astype(float)})
+    pdf["y"] = np.where(rng.random(3000) < (pdf["a"] + pdf["b"]) / 10, "yes", "no")
+    df = spark.createDataFrame(pdf).withColumn("m", F.lit("one"))
+    how = replace(ml.settings(algorithm), **SMALL)
+    with monkeypatch.context() as patch:
+        patch.setattr(trees, "LOCAL_CELLS", 0)
+        blocks = trees.fit_many(df, "m", ["a", "b"], "y", how)["one"]
+    monkeypatch.setattr(trees, "LOCAL_CELLS", 200)  # 60 entries of two features, 3,000 rows
+    monkeypatch.setattr(trees, "_fit_large", None)
+    entries = trees.fit_many(df, "m", ["a", "b"], "y", how)["one"]
+    for s, t, v, w in zip(entries.trees, blocks.trees, entries.values, blocks.values, strict=True):
+        assert all(np.array_equal(s[k], t[k]) for k in s) and np.array_equal(v, w)
+    met, whole = [], trees.Trees._of_bins
+    monkeypatch.setattr(trees.Trees, "_of_bins", lambda self, bins: met.append(bins.shape[1]) or whole(self, bins))
+    columns = [pdf["a"].to_numpy(), pdf["b"].to_numpy()]
+    assert np.array_equal(entries.probabilities(columns), whole(entries, trees.binned(columns, entries.edges))) and met == [30]

@@ -6,7 +6,11 @@ channels (gradient, hessian and rows, or weighted rows per label).  Only the sma
 a split is counted, its sibling is the difference.  Channels are whole numbers (fractions of
 2^-20), so sums do not depend on the order or the partitioning of the rows.
 
-A model of up to ``LOCAL_CELLS`` binned cells (rows x features) is grown inside one task, all
+Rows of one label that agree in all bins are one entry: it stands for their number, or in a
+forest for the sums of their draws, which are made per row before.  That changes no histogram,
+and with few features the entries are bounded by the bins, however many the rows.
+
+A model of up to ``LOCAL_CELLS`` binned cells (entries x features) is grown inside one task, all
 such models of a call in parallel; a retraining window is always of that kind.  A larger model
 keeps its rows in blocks over the cluster: one job per level sums the histograms of all open
 nodes of all large models, and only these sums, whose size the settings bound, reach the
@@ -207,10 +211,11 @@ class Grower:
 
 def route(tree: dict[str, np.ndarray], bins: np.ndarray, node: np.ndarray | None = None, levels: int = 1) -> np.ndarray:
     """Node of every row after some more levels; ``bins`` is feature-major."""
-    rows = np.arange(bins.shape[1])
-    node = np.zeros(len(rows), dtype=np.int64) if node is None else node
+    n = bins.shape[1]
+    node = np.zeros(n, dtype=np.int64) if node is None else node
+    flat, rows, start = bins.ravel(), np.arange(n), tree["feature"].astype(np.int64) * n
     for _ in range(levels):
-        node = tree["left"][node] + (bins[tree["feature"][node], rows] > tree["bin"][node])
+        node = tree["left"].take(node) + (flat.take(start.take(node) + rows) > tree["bin"].take(node))
     return node
 
 
@@ -232,7 +237,7 @@ class Rounds:
         self.start = np.log(share) if self.per_round > 1 else np.array([math.log(share[1] / share[0])]) if self.k == 2 else np.zeros(1)
         self.trees: list[dict[str, np.ndarray]] = []
         self.values: list[np.ndarray] = []
-        self.round = 0
+        self.round = self.first = 0
         self._next()
 
     def _next(self) -> None:
@@ -241,31 +246,39 @@ class Rounds:
 
     def go_to(self, number: int) -> None:
         """Begin with a later round, which a forest may."""
-        self.round = number
+        self.round = self.first = number
         self._next()
 
     @property
     def done(self) -> bool:
         return not self.growers
 
-    def channels(self, y: np.ndarray, margin: np.ndarray, row_hash: np.ndarray) -> list[np.ndarray]:
-        """Channels of the round's trees for rows with these labels; ``margin`` is [tree, row]."""
+    def draw(self, y: np.ndarray, row_hash: np.ndarray, number: int) -> np.ndarray:
+        """A Poisson number of copies of every row for one tree of a forest: [weight, copies]."""
+        draw = mix(row_hash ^ mix(np.array([self.s.seed * 7_919 + number + 1], dtype=np.uint64))[0]) / 2.0**64
+        times = np.searchsorted(_POISSON, draw, side="right").astype(float)
+        return np.stack([np.rint(times * self.class_weight[y] * SCALE), times])
+
+    def channels(self, y: np.ndarray, margin: np.ndarray, row_hash: np.ndarray | None, stands_for: np.ndarray | None = None) -> list[np.ndarray]:
+        """Channels of the round's trees for rows with these labels; ``margin`` is [tree, row].
+
+        For entries that are several rows, ``stands_for`` is their number, or in a forest the
+        sums of ``draw`` as [tree, 2, entry] from the first tree grown here on.
+        """
         weight = self.class_weight[y]
-        one = np.ones(len(y))
         if self.s.forest:
-            # a Poisson number of copies of every row
-            draw = mix(row_hash ^ mix(np.array([self.s.seed * 7_919 + self.round + 1], dtype=np.uint64))[0]) / 2.0**64
-            times = np.searchsorted(_POISSON, draw, side="right").astype(float)
+            weighted, times = self.draw(y, row_hash, self.round) if stands_for is None else stands_for[self.round - self.first]
             per_label = np.zeros((self.k, len(y)))
-            per_label[y, np.arange(len(y))] = np.rint(times * weight * SCALE)
+            per_label[y, np.arange(len(y))] = weighted
             return [np.concatenate([per_label, times[None]])]
+        one = np.ones(len(y)) if stands_for is None else stands_for
         if self.per_round == 1:
             p = 1.0 / (1.0 + np.exp(-margin[0]))
             grad, hess = (p - y)[None], (p * (1 - p))[None]
         else:
             p = softmax(margin)
             grad, hess = p - (y == np.arange(self.k)[:, None]), self.k / (self.k - 1) * p * (1 - p)
-        return [np.stack([np.rint(g * weight * SCALE), np.rint(h * weight * SCALE), one]) for g, h in zip(grad, hess)]
+        return [np.stack([np.rint(g * weight * SCALE) * one, np.rint(h * weight * SCALE) * one, one]) for g, h in zip(grad, hess)]
 
     def advance(self) -> list[tuple[dict[str, np.ndarray], np.ndarray]]:
         """Close the round: its trees and their leaf values."""
@@ -318,10 +331,17 @@ class Trees:
 
     def probabilities(self, columns: list[np.ndarray]) -> np.ndarray:
         """[row, label] of rows given as one array per feature; missing and infinite values count as 0."""
-        bins, k = binned(columns, self.edges), len(self.labels)
-        n = bins.shape[1]
-        if k < 2:
-            return np.ones((n, k))
+        bins = binned(columns, self.edges)
+        if len(self.labels) < 2:
+            return np.ones((bins.shape[1], len(self.labels)))
+        if len(bins) <= 8:  # rows with the same bins meet the trees once
+            key = sum(column.astype(np.uint64) << np.uint64(8 * j) for j, column in enumerate(bins))
+            _, first, back = np.unique(key, return_index=True, return_inverse=True)
+            return self._of_bins(np.ascontiguousarray(bins[:, first]))[back]
+        return self._of_bins(bins)
+
+    def _of_bins(self, bins: np.ndarray) -> np.ndarray:
+        n, k = bins.shape[1], len(self.labels)
         if self.settings.forest:
             out = np.zeros((n, k))
             for tree, value in zip(self.trees, self.values):
@@ -374,13 +394,13 @@ def binned(columns: list[np.ndarray], edges: list[np.ndarray]) -> np.ndarray:
 # --- fitting many models ------------------------------------------------------------------
 
 
-def _local(rounds: Rounds, bins: np.ndarray, y: np.ndarray, row_hash: np.ndarray) -> None:
-    """Grow a model whose rows are all here."""
+def _local(rounds: Rounds, bins: np.ndarray, y: np.ndarray, row_hash: np.ndarray | None, stands_for: np.ndarray | None = None) -> None:
+    """Grow a model whose rows, or entries, are all here."""
     s = rounds.s
     margin = np.repeat(rounds.start[:, None], bins.shape[1], axis=1)
     while not rounds.done:
         nodes_of = []
-        for grower, channels in zip(rounds.growers, rounds.channels(y, margin, row_hash)):
+        for grower, channels in zip(rounds.growers, rounds.channels(y, margin, row_hash, stands_for)):
             node = np.zeros(bins.shape[1], dtype=np.int64)
             while grower.pending:
                 level = grower.level
@@ -433,10 +453,13 @@ def fit_many(df: DataFrame, model: str, features: list[str], label: str, setting
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         plans = _plans(rows, names, settings)
-        cells = {m: int(p.rows.sum()) * max(1, len(features)) for m, p in plans.items()}
-        small = [m for m in plans if cells[m] <= LOCAL_CELLS]
+        cut, most = _cut(rows, plans, names), LOCAL_CELLS // max(1, len(features))
+        small = [m for m, p in plans.items() if p.rows.sum() <= most]
+        if unsure := [m for m in plans if m not in small]:
+            entries = cut.filter(F.col("_model").isin(unsure)).select(*_ENTRY).distinct().groupBy("_model").count()
+            small += [r["_model"] for r in entries.collect() if r["count"] <= most]
         began = time.perf_counter()
-        fitted = _fit_small(rows.filter(F.col("_model").isin(small)), plans, features, names, settings) if small else {}
+        fitted = _fit_small(cut.filter(F.col("_model").isin(small)), {m: plans[m] for m in small}, features, settings) if small else {}
         large = {m: plans[m] for m in plans if m not in fitted}
         if large:
             fitted |= _fit_large(rows.filter(F.col("_model").isin(list(large))), large, features, names, settings)
@@ -493,29 +516,92 @@ def _trees(rounds: Rounds, plan: _Plan, features: list[str], settings: Settings)
     return Trees(plan.labels, features, plan.edges, rounds.trees, rounds.values, rounds.start, settings)
 
 
-def _fit_small(rows: DataFrame, plans: dict[str, _Plan], features: list[str], names: list[str], settings) -> dict[str, Trees]:
+_ENTRY = ["_model", "_y", "_bins"]
+
+
+def _cut(rows: DataFrame, plans: dict[str, _Plan], names: list[str]) -> DataFrame:
+    """Label number, bins (a byte per feature) and hash of every row."""
+    lookup, width = {m: {x: i for i, x in enumerate(p.labels)} for m, p in plans.items()}, len(names)
+
+    def run(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for chunk in chunks:
+            for m, part in chunk.groupby("_model", sort=False):
+                y = part["_label"].map(lookup[m]).to_numpy(dtype=np.int32)
+                columns = [part[n].to_numpy(dtype=float) for n in names]
+                raw = binned(columns, plans[m].edges).T.tobytes()
+                bins = [raw[i * width : (i + 1) * width] for i in range(len(y))]
+                yield pd.DataFrame({"_model": m, "_y": y, "_bins": bins, "_hash": _row_hash(columns, y).view(np.int64)})
+
+    return rows.mapInPandas(run, "_model string, _y int, _bins binary, _hash long")
+
+
+def _draws(cut: DataFrame, plans: dict[str, _Plan], n_features: int, settings) -> DataFrame:
+    """Per entry and share of a forest's trees the sums of what its rows draw; an entry may come in several rows."""
+
+    def run(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for chunk in chunks:
+            for m, part in chunk.groupby("_model", sort=False):
+                rounds = plans[m].rounds(_of(settings, m), n_features)
+                y, row_hash = part["_y"].to_numpy(), part["_hash"].to_numpy().view(np.uint64)
+                bins = part["_bins"].to_numpy()
+                # sorted, so rows of one entry lie side by side
+                starts = np.flatnonzero(np.append(True, (y[1:] != y[:-1]) | (bins[1:] != bins[:-1])))
+                for share in range(FOREST_SHARES):
+                    first, last = _dealt(rounds.s, share)
+                    if first == last:
+                        continue
+                    sums = np.stack([np.add.reduceat(rounds.draw(y, row_hash, t), starts, axis=1) for t in range(first, last)])
+                    raw, size = sums.transpose(2, 0, 1).tobytes(), 16 * (last - first)
+                    yield pd.DataFrame({
+                        "_model": m, "_share": share, "_y": y[starts], "_bins": bins[starts],
+                        "_for": [raw[i * size : (i + 1) * size] for i in range(len(starts))],
+                    })
+
+    side_by_side = cut.repartition(*_ENTRY).sortWithinPartitions(*_ENTRY)
+    return side_by_side.mapInPandas(run, "_model string, _share int, _y int, _bins binary, _for binary")
+
+
+def _dealt(settings: Settings, share: int) -> tuple[int, int]:
+    """The trees (first, one behind the last) of one task."""
+    if not settings.forest:
+        return 0, settings.trees
+    return settings.trees * share // FOREST_SHARES, settings.trees * (share + 1) // FOREST_SHARES
+
+
+def _fit_small(cut: DataFrame, plans: dict[str, _Plan], features: list[str], settings) -> dict[str, Trees]:
     """One task per model; the trees of a forest do not depend on each other and are dealt to several."""
 
     def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         began = time.perf_counter()
         m, share = key[0], int(key[1])
         plan, s = plans[m], _of(settings, m)
-        lookup = {x: i for i, x in enumerate(plan.labels)}
-        y = part["_label"].map(lookup).to_numpy(dtype=np.int64)
-        columns = [part[n].to_numpy(dtype=float) for n in names]
-        first, last = (s.trees * (share + i) // FOREST_SHARES for i in (0, 1)) if s.forest else (0, s.trees)
+        y = part["_y"].to_numpy(dtype=np.int64)
+        bins = np.frombuffer(b"".join(part["_bins"]), dtype=np.uint8).reshape(len(part), len(features))
+        if s.forest:
+            stands_for = np.frombuffer(b"".join(part["_for"]), dtype=float).reshape(len(part), -1, 2).transpose(1, 2, 0)
+        else:
+            stands_for = part["_n"].to_numpy(dtype=float)
+        first, last = _dealt(s, share)
         rounds = plan.rounds(replace(s, trees=last), len(features))
         rounds.go_to(first)
-        _local(rounds, binned(columns, plan.edges), y, _row_hash(columns, y))
+        _local(rounds, np.ascontiguousarray(bins.T), y, None, stands_for)
         trees = _trees(rounds, plan, features, s)
         trees.metadata["training_time_s"] = round(time.perf_counter() - began, 3)
         return pd.DataFrame({"model": [m], "share": [share], "trees": [trees.to_bytes()]})
 
     forests = [m for m in plans if _of(settings, m).forest]
-    shares = F.when(F.col("_model").isin(forests), F.sequence(F.lit(0), F.lit(FOREST_SHARES - 1))).otherwise(F.array(F.lit(0)))
-    dealt = rows.withColumn("_share", F.explode(shares)).repartition(8 * max(1, len(plans)), "_model", "_share")
+    boosted = [m for m in plans if m not in forests]
+    entries = None
+    if boosted:
+        entries = cut.filter(F.col("_model").isin(boosted)).groupBy(*_ENTRY).agg(F.count(F.lit(1)).alias("_n"))
+        entries = entries.select("_model", F.lit(0).alias("_share"), "_y", "_bins", "_n", F.lit(None).cast("binary").alias("_for"))
+    if forests:
+        drawn = _draws(cut.filter(F.col("_model").isin(forests)), plans, len(features), settings)
+        drawn = drawn.select("_model", "_share", "_y", "_bins", F.lit(0).cast("long").alias("_n"), "_for")
+        entries = drawn if entries is None else entries.unionByName(drawn)
+    entries = entries.repartition(8 * max(1, len(plans)), "_model", "_share")
     found: dict[str, Trees] = {}
-    for r in sorted(dealt.groupBy("_model", "_share").applyInPandas(fit, "model string, share int, trees binary").collect(), key=lambda r: r["share"]):
+    for r in sorted(entries.groupBy("_model", "_share").applyInPandas(fit, "model string, share int, trees binary").collect(), key=lambda r: r["share"]):
         part = Trees.from_bytes(r["trees"])
         if r["model"] in found:
             whole = found[r["model"]]
