@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import adapt as ad
 from tidemark.operators import detect as dt
+from tidemark.operators import rounds
 from tidemark.operators.detectors import Adwin, Ddm, Eddm, PageHinkley, create
 
 
@@ -229,3 +230,16 @@ def test_a_detector_carried_over_a_chunk_is_where_a_scan_leaves_it():
                 assert [len(x) for x in carried.levels] == [len(x) for x in scanned.levels] and carried.levels == scanned.levels
             for name in {f for fields in carried.carried for f in fields} - {"levels"}:
                 assert mine[name] == pytest.approx(theirs[name]), (method, name)
+
+
+def test_a_stream_takes_no_more_rounds_than_chunks(spark, monkeypatch):
+    """Many drifts in one chunk are one round's work, for all configurations at once."""
+    written, write = [], rounds.materialize
+    monkeypatch.setattr(rounds, "materialize", lambda df, label, **kw: written.append(label) or write(df, label, **kw))
+    values = np.repeat(np.arange(40) % 2, 64).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({"pos": range(len(values)), "err": values}))
+    grid = {"a": {"delta": 0.5}, "b": {"delta": 0.01}}
+    got = dt.detect(df, [], ["pos"], "err", grid=grid, chunk_rows=900).select("config", "pos", "n_drifts").collect()
+    want = [(c, i) for c, p in grid.items() for i, _ in create("adwin", **p).scan(values)]
+    assert sorted((r["config"], r["pos"]) for r in got) == sorted(want)
+    assert max(r["n_drifts"] for r in got) > 3 >= written.count("scanned")
