@@ -237,9 +237,9 @@ def test_a_stream_takes_no_more_rounds_than_chunks(spark, monkeypatch):
     written, write = [], rounds.materialize
     monkeypatch.setattr(rounds, "materialize", lambda df, label, **kw: written.append(label) or write(df, label, **kw))
     values = np.repeat(np.arange(40) % 2, 64).astype(float)
-    df = spark.createDataFrame(pd.DataFrame({"pos": range(len(values)), "err": values}))
+    df = spark.createDataFrame(pd.DataFrame({"pos": range(len(values)), "err": values})).withColumn("ts", F.timestamp_seconds("pos"))
     grid = {"a": {"delta": 0.5}, "b": {"delta": 0.01}}
-    got = dt.detect(df, [], ["pos"], "err", grid=grid, chunk_rows=900).select("config", "pos", "n_drifts").collect()
+    got = dt.detect(df, [], ["ts", "pos"], "err", grid=grid, chunk_rows=900).filter("unix_seconds(ts) = pos").select("config", "pos", "n_drifts").collect()
     want = [(c, i) for c, p in grid.items() for i, _ in create("adwin", **p).scan(values)]
     assert sorted((r["config"], r["pos"]) for r in got) == sorted(want)
     assert max(r["n_drifts"] for r in got) > 3 >= written.count("scanned")

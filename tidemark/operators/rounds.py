@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import pickle
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +25,7 @@ from tidemark.workspace import materialize, ship_package
 
 FIRST_AHEAD = 8  # chunks of the first stretch; after a drift it is one
 MOST_AHEAD = 4_096
-CHUNKS = 32  # a longer stream has longer chunks, up to
+CHUNKS = 12  # a longer stream has longer chunks, up to
 MOST_CHUNK_ROWS = 1_000_000
 
 
@@ -96,8 +95,8 @@ def detect_rounds(rows: DataFrame, keys: list[str], order: list[str], method: st
         detector.settle()
         end = int(part["_seq"].iloc[-1]) + 1 if len(part) else row["at"]
         # one row more than alarms, for the state at the end
-        out = part.loc[[f[0] for f in found], order].astype(object).reset_index(drop=True).reindex(range(len(found) + 1))
-        out[order] = out[order].where(np.arange(len(out))[:, None] < len(found), None)
+        places = [f[0] for f in found]
+        out = pd.DataFrame({o: pd.Series([*part[o].take(places), None], dtype=object) for o in order})
         for k in [*keys, "config", "_chunk"]:
             out[k] = pd.Series([row[k]] * len(out), dtype=object)
         for j, name in enumerate(("state", "n_seen", "n_drifts", "window_size", "estimation"), 1):
