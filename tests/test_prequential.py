@@ -110,3 +110,31 @@ def test_planned_runs_of_a_cell_table_need_no_turns(spark, monkeypatch):
     rows, log = grid.predictions.collect(), grid.log.collect()
     assert len(rows) == 2 * 1500 and sum(e["retrained"] for e in log) == sum(e["pos"] >= 99 for e in log) == 140
     assert {(r["err"], r["y_true"]) for r in rows if r["pos"] == 200} == {(0, None)} and all(r["y_pred"] for r in rows)
+
+
+def test_planned_runs_of_trees_need_no_turns(spark, monkeypatch):
+    """Periodic models are fitted in one job and give what a turn after the other gives."""
+    pdf = stream(1500, turns=(1000,))
+    pdf.loc[700, "Label"], pdf["other"] = None, np.arange(1500) % 7
+    pdf.loc[pdf.index % 11 == 3, "other"] = np.nan
+    pdf.loc[1100:1250, "Label"] = "BENIGN"  # windows in here have one label, so the model stays
+    df = spark.createDataFrame(pdf)
+    policies = [ad.Static(), ad.Periodic(100), ad.Periodic(130)]
+
+    def run():
+        learner = pq.TreeLearner(["cell", "other"], maxIter=3, maxDepth=3)
+        grid = pq.run_grid(df, learner, "Label", policies, 500, seeds=(1, 2), window_rows=140, minimum=110, share=0.7)
+        rows = grid.predictions.orderBy("strategy", "seed", "pos").collect()
+        log = grid.log.drop("train_seconds").orderBy("strategy", "seed", "pos").collect()
+        return [r.asDict() for r in rows], log
+
+    fitted, real = [], pq.TreeLearner.fit
+    with monkeypatch.context() as m:
+        m.setattr(pq, "_score", None)
+        m.setattr(pq.TreeLearner, "fit", lambda self, rows, name, label, seeds: fitted.extend(seeds) or real(self, rows, name, label, seeds))
+        rows, log = run()
+    assert sorted(fitted) == ["first|1", "first|2"]
+    monkeypatch.setattr(pq.TreeLearner, "in_tables", lambda self, window_rows: False)
+    turns, turns_log = run()
+    assert len(rows) == 3 * 2 * 1000 and rows == turns and log == turns_log
+    assert {r["retrained"] for r in log} == {True, False}

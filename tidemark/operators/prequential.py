@@ -18,12 +18,12 @@ What a stretch is long for changes only the number of turns, never the result.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,24 +31,88 @@ from tidemark.functions.expressions import col, hash_uniform
 from tidemark.operators.adapt import MINIMUM_ROWS, WINDOW_ROWS, RetrainPolicy
 from tidemark.operators.detectors import create
 from tidemark.operators.models import settings, train_many
+from tidemark.operators.trees import LOCAL_CELLS, Trees, fit_table
 from tidemark.workspace import materialize, new_path, ship_package
 
 STRETCH_ROWS = 100_000  # rows a drift-triggered run is scored ahead; one task folds them
+WINDOW_CELLS = LOCAL_CELLS >> 4  # values (rows x features) of a window up to which planned models are fitted as a table
 AHEAD = 64  # models of one turn, over all runs
 
 
+@dataclass
+class Planned:
+    """Runs whose triggers are known in advance, as tables.
+
+    Rows meet the spans that models are fitted on, and the stretches that they score, by
+    blocks of positions, so no task gets more than a few blocks.
+    """
+
+    rows: DataFrame  # pos, y, the learner's columns, seeds that draw the row, _block
+    runs: DataFrame  # run, strategy, seed
+    spans: DataFrame  # strategy, trigger, a, z: first and last position a model is fitted on
+    seen: DataFrame  # rows within spans
+    guards: DataFrame  # strategy, trigger, window_rows, n_classes
+    passed: DataFrame  # strategy, trigger of the models to fit
+    n_spans: int
+    block_rows: int
+    end: int
+
+    @staticmethod
+    def of(stored: DataFrame, label: str, columns: list[Column], runs: dict[int, Run], end: int, warm_rows: int, window_rows: int, minimum: int, key: list[str], share: float, first: bool) -> Planned:
+        """``first`` adds the span of the first models, which all policies share, as that of the strategy ""."""
+        spark, policies = stored.sparkSession, {r.strategy: r.policy for r in runs.values()}
+        numbered = spark.createDataFrame([(i, r.strategy, r.seed) for i, r in runs.items()], "run int, strategy string, seed long")
+        seeds = sorted({r.seed for r in runs.values()})
+        spans = [("", -1, -warm_rows, -1)] if first else []
+        for name, policy in policies.items():
+            spans += [(name, t, max(0, t - window_rows + 1), t) for t in policy.planned(policy.first_trigger_base, 0, end, max(end, 0))]
+        n_spans, spans = len(spans), materialize(spark.createDataFrame(spans, "strategy string, trigger long, a long, z long"), "spans")
+        drawn = F.array(*[F.lit(s) for s in seeds]) if share >= 1 else F.array_compact(F.array(*[F.when(hash_uniform(s, *key) < share, F.lit(s)) for s in seeds]))
+        rows = stored.select(
+            (F.col("pos") - warm_rows).alias("pos"), col(label).cast("string").alias("y"), *columns, drawn.cast("array<long>").alias("seeds")
+        ).withColumn("_block", F.floor(F.col("pos") / F.lit(window_rows)))
+        plan = Planned(rows, numbered, spans, rows, spans, spans, n_spans, window_rows, end)
+        plan.seen = plan.within(rows, spans)
+        guards = plan.seen.groupBy("strategy", "trigger").agg(F.count(F.lit(1)).alias("window_rows"), F.count_distinct("y").cast("int").alias("n_classes"))
+        plan.guards = materialize(guards, "guards")
+        plan.passed = plan.guards.filter((F.col("strategy") == "") | ((F.col("window_rows") >= minimum) & (F.col("n_classes") >= 2))).select("strategy", "trigger")
+        return plan
+
+    def within(self, rows: DataFrame, spans: DataFrame) -> DataFrame:
+        block = lambda c: F.floor(F.col(c) / F.lit(self.block_rows))
+        dealt = spans.filter("a <= z").select("*", F.explode(F.sequence(block("a"), block("z"))).alias("_block"))
+        return rows.join(dealt, "_block").filter("pos BETWEEN a AND z")
+
+    def stretches(self, models: DataFrame) -> DataFrame:
+        """A model (run, trigger) scores from the row after its trigger up to the next one's; one row per model."""
+        following = F.lead("trigger").over(Window.partitionBy("run").orderBy("trigger"))
+        return models.withColumns({"a": F.col("trigger") + 1, "z": F.coalesce(following, F.lit(self.end - 1).cast("long"))})
+
+    def log(self, fitted: DataFrame) -> DataFrame:
+        """``fitted``: strategy, trigger, seed, train_seconds of the models."""
+        log = self.spans.filter("strategy <> ''").join(self.runs.drop("run"), "strategy").join(self.guards, ["strategy", "trigger"], "left")
+        log = log.join(fitted.withColumn("retrained", F.lit(True)), ["strategy", "trigger", "seed"], "left")
+        log = log.fillna(0, ["window_rows", "n_classes"]).fillna(False, ["retrained"]).fillna(0.0, ["train_seconds"])
+        return materialize(log.select("strategy", "seed", F.col("trigger").alias("pos"), "window_rows", "n_classes", "retrained", "train_seconds"), "log")
+
+
 class Learner:
     """Extension point: fits one model per name; a model has ``features``, ``labels`` and ``probabilities(columns)``."""
 
     features: list[str]
-    #: whether ``run`` does all runs whose triggers are known in advance
-    in_tables = False
+
+    def in_tables(self, window_rows: int) -> bool:
+        """Whether ``run`` does all runs whose triggers are known in advance."""
+        return False
 
     def fit(self, rows: DataFrame, name: str, label: str, seeds: dict[str, int]) -> dict[str, object]:
         raise NotImplementedError
 
-    def run(self, stored: DataFrame, label: str, runs: dict[int, Run], end: int, warm_rows: int, window_rows: int, minimum: int, key: list[str], share: float) -> tuple[DataFrame, DataFrame]:
-        """Predictions (``SCORED``) and log (``LOG``) of runs, by number."""
+    def run(
+        self, stored: DataFrame, label: str, runs: dict[int, Run], end: int, warm_rows: int, window_rows: int, minimum: int, key: list[str], share: float,
+        first: Callable[[], dict[int, object]],
+    ) -> tuple[DataFrame, DataFrame]:
+        """Predictions (``SCORED``) and log (``LOG``) of runs, by number; ``first`` fits the first model of every seed."""
         raise NotImplementedError
 
 
@@ -58,10 +122,51 @@ class TreeLearner(Learner):
     def __init__(self, features: list[str], algorithm: str = "gbt", **params):
         self.features, self.algorithm, self.params = features, algorithm, params
 
+    def in_tables(self, window_rows):
+        return self.algorithm == "gbt" and window_rows * len(self.features) <= WINDOW_CELLS
+
     def fit(self, rows, name, label, seeds):
         how = {m: settings(self.algorithm, seed=s, **self.params) for m, s in seeds.items()}
         return {m: c.model for m, c in train_many(rows, name, self.features, label, how).items()}
 
+    def run(self, stored, label, runs, end, warm_rows, window_rows, minimum, key, share, first):
+        """All later models are fitted in one job, a task each, and stay a table; another job scores all rows.
+
+        A stretch is scored in parts of ``window_rows`` positions, each next to its model.
+        """
+        spark, n = stored.sparkSession, len(self.features)
+        names = [f"_f{j}" for j in range(n)]
+        columns = [col(f).cast("double").alias(c) for f, c in zip(self.features, names)]
+        plan = Planned.of(stored, label, columns, runs, end, warm_rows, window_rows, minimum, key, share, first=False)
+        firsts = first()
+        how = {s: settings(self.algorithm, seed=s, **self.params) for s in firsts}
+        model = ["strategy", "trigger", "seed"]
+        chosen = plan.seen.join(F.broadcast(plan.passed), ["strategy", "trigger"]).select("strategy", "trigger", F.explode("seeds").alias("seed"), "y", *names)
+        models = materialize(fit_table(chosen, model, names, "y", "seed", how, plan.n_spans * len(how)), "models")
+        begin = spark.createDataFrame([(s, bytearray(m.to_bytes())) for s, m in firsts.items()], "seed long, model binary")  # one row per seed
+        begin = begin.join(plan.runs, "seed").select("run", F.lit(-1).cast("long").alias("trigger"), "model")
+        held = begin.unionByName(models.join(plan.runs, ["strategy", "seed"]).select("run", "trigger", "model"))
+        stretches = materialize(plan.stretches(held.select("run", "trigger")), "stretches")
+        part = lambda c: F.floor((F.col(c) - F.col("a")) / F.lit(window_rows))
+        ask = plan.within(plan.rows.filter("pos >= 0").drop("seeds"), stretches).select("run", "trigger", part("pos").alias("part"), "pos", "y", *names)
+        parts = stretches.filter("a <= z").select("run", "trigger", F.explode(F.sequence(F.lit(0).cast("long"), part("z"))).alias("part"))
+        at = ["run", "trigger", "part"]
+
+        def score(place: tuple, rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+            if not len(rows):
+                return pd.DataFrame({c.split()[0]: [] for c in SCORED.split(", ")})
+            fitted = Trees.from_bytes(bytes(model["model"].iloc[0]))
+            p = fitted.probabilities([rows[f].to_numpy(dtype=float, na_value=np.nan) for f in names])
+            y, y_pred = rows["y"].to_numpy(dtype=object), np.array(fitted.labels, dtype=object)[p.argmax(axis=1)]
+            return pd.DataFrame({
+                "run": np.int32(place[0]), "pos": rows["pos"], "y_true": y, "y_pred": y_pred,
+                "err": ((y != y_pred) & pd.notna(y)).astype(np.int32), "confidence": p.max(axis=1),
+            })
+
+        near = parts.join(held, ["run", "trigger"]).withColumnsRenamed({c: f"_{c}" for c in at})
+        scored = ask.groupBy(*at).cogroup(near.groupBy(*[f"_{c}" for c in at])).applyInPandas(score, SCORED)
+        return materialize(scored, "scored"), plan.log(models.select(*model, F.col("seconds").alias("train_seconds")))
+
 
 @dataclass
 class CellTable:
@@ -83,37 +188,17 @@ class CellTable:
 class CellLearner(Learner):
     """Majority label per value of one whole-number column with few values; ties go to the smaller label."""
 
-    in_tables = True
-
     def __init__(self, cell: str):
         self.features = [cell]
 
-    def run(self, stored, label, runs, end, warm_rows, window_rows, minimum, key, share):
-        """All models as one table, counted in one job, and all rows scored in another.
+    def in_tables(self, window_rows):
+        return True
 
-        Rows meet the spans that models are fitted on, and the stretches that they score, by
-        blocks of positions, so no task gets more than a few blocks.
-        """
-        spark, cell = stored.sparkSession, self.features[0]
-        policies = {r.strategy: r.policy for r in runs.values()}
-        numbered = spark.createDataFrame([(i, r.strategy, r.seed) for i, r in runs.items()], "run int, strategy string, seed long")
-        seeds = sorted({r.seed for r in runs.values()})
-        spans = [("", -1, -warm_rows, -1)]  # the first models, which all policies share
-        for name, policy in policies.items():
-            spans += [(name, t, max(0, t - window_rows + 1), t) for t in policy.planned(policy.first_trigger_base, 0, end, max(end, 0))]
-        spans = materialize(spark.createDataFrame(spans, "strategy string, trigger long, a long, z long"), "spans")
-        block = lambda c: F.floor(c / F.lit(window_rows))
-        blocks = lambda df: df.select("*", F.explode(F.sequence(block(F.col("a")), block(F.col("z")))).alias("_block"))
-        drawn = F.array(*[F.lit(s) for s in seeds]) if share >= 1 else F.array_compact(F.array(*[F.when(hash_uniform(s, *key) < share, F.lit(s)) for s in seeds]))
-        rows = stored.select(
-            (F.col("pos") - warm_rows).alias("pos"), col(label).cast("string").alias("y"), col(cell).alias("cell"), drawn.cast("array<long>").alias("seeds")
-        ).withColumn("_block", block(F.col("pos")))
-        seen = rows.join(blocks(spans.filter("a <= z")), "_block").filter("pos BETWEEN a AND z")
-        guards = seen.groupBy("strategy", "trigger").agg(F.count(F.lit(1)).alias("window_rows"), F.count_distinct("y").cast("int").alias("n_classes"))
-        guards = materialize(guards, "guards")
-        passed = guards.filter((F.col("strategy") == "") | ((F.col("window_rows") >= minimum) & (F.col("n_classes") >= 2))).select("strategy", "trigger")
+    def run(self, stored, label, runs, end, warm_rows, window_rows, minimum, key, share, first):
+        """All models as one table, counted in one job, and all rows scored in another."""
+        plan = Planned.of(stored, label, [col(self.features[0]).alias("cell")], runs, end, warm_rows, window_rows, minimum, key, share, first=True)
         model = ["strategy", "trigger", "seed"]
-        counts = seen.filter("y IS NOT NULL").join(passed, ["strategy", "trigger"]).select("strategy", "trigger", F.explode("seeds").alias("seed"), "cell", "y")
+        counts = plan.seen.filter("y IS NOT NULL").join(plan.passed, ["strategy", "trigger"]).select("strategy", "trigger", F.explode("seeds").alias("seed"), "cell", "y")
         counts = counts.groupBy(*model, "cell", "y").agg(F.count(F.lit(1)).alias("n"))
         counts = materialize(counts, "counts")
         most = F.min(F.struct((-F.col("n")).alias("n"), "y"))["y"]
@@ -121,21 +206,15 @@ class CellLearner(Learner):
         tables = per_cell.groupBy(*model).agg(F.map_from_entries(F.collect_list(F.struct("cell", "y"))).alias("cells"))
         overall = counts.groupBy(*model, "y").agg(F.sum("n").alias("n")).groupBy(*model).agg(most.alias("otherwise"))
         models = materialize(overall.join(tables, model, "left"), "models")
-        first = models.filter("strategy = ''").drop("strategy").join(numbered, "seed")
-        later = models.filter("strategy <> ''").join(numbered, ["strategy", "seed"])
+        first_ones = models.filter("strategy = ''").drop("strategy").join(plan.runs, "seed")
+        later = models.filter("strategy <> ''").join(plan.runs, ["strategy", "seed"])
         kept = ["run", "trigger", "cells", "otherwise"]
-        # a model scores from the row after its trigger up to the next one's; one row per model
-        stretches = first.select(*kept).unionByName(later.select(*kept)).withColumns({
-            "a": F.col("trigger") + 1, "z": F.coalesce(F.lead("trigger").over(Window.partitionBy("run").orderBy("trigger")), F.lit(end - 1).cast("long")),
-        })
-        asked = rows.filter("pos >= 0").select("pos", "y", "cell", "_block").join(blocks(stretches.filter("a <= z")), "_block").filter("pos BETWEEN a AND z")
+        stretches = plan.stretches(first_ones.select(*kept).unionByName(later.select(*kept)))
+        asked = plan.within(plan.rows.filter("pos >= 0").drop("seeds"), stretches)
         guess = F.coalesce(F.try_element_at("cells", F.col("cell")), F.col("otherwise"))
         wrong = F.coalesce((F.col("y") != guess).cast("int"), F.lit(0))
         scored = asked.select("run", "pos", F.col("y").alias("y_true"), guess.alias("y_pred"), wrong.alias("err"), F.lit(1.0).alias("confidence"))
-        fitted = models.select(*model, F.lit(True).alias("retrained"))
-        log = spans.filter("strategy <> ''").join(numbered.drop("run"), "strategy").join(guards, ["strategy", "trigger"], "left").join(fitted, model, "left")
-        log = log.fillna(0, ["window_rows", "n_classes"]).fillna(False, ["retrained"]).withColumn("train_seconds", F.lit(0.0))
-        return materialize(scored, "scored"), materialize(log.select("strategy", "seed", F.col("trigger").alias("pos"), "window_rows", "n_classes", "retrained", "train_seconds"), "log")
+        return materialize(scored, "scored"), plan.log(models.select(*model, F.lit(0.0).alias("train_seconds")))
 
     def fit(self, rows, name, label, seeds):
         cell = self.features[0]
@@ -219,18 +298,22 @@ def run_grid(
             run = Run(f"{policy.name}|{seed}", policy.name, seed, policy, last=policy.first_trigger_base, model=f"first|{seed}")
             run.detector = pickle.dumps(create(method, **(detector_params or {}))) if policy.needs_drifts else b""
             runs.append(run)
-    every, done = list(runs), None
-    if learner.in_tables:
-        known = {i: r for i, r in enumerate(every) if not r.policy.needs_drifts}
-        done = learner.run(stored, label, known, end, warm_rows, window_rows, minimum, key, share) if known and end > 0 else None
-    if done:
-        for i in known:
-            every[i].at = end
-        if len(known) == len(every):
-            seeds = ()
     models: dict[str, object] = {}
     fits = {f"first|{seed}": (seed, -warm_rows, -1) for seed in seeds}
     guards: dict[str, tuple[int, int]] = {}
+
+    def first() -> dict[int, object]:
+        guards.update(_fit(stored, learner, label, fits, warm_rows, key, share, minimum, models))
+        fits.clear()
+        return {seed: models[f"first|{seed}"] for seed in seeds}
+
+    known, done = {i: r for i, r in enumerate(runs) if not r.policy.needs_drifts}, None
+    if known and end > 0 and learner.in_tables(window_rows):
+        done = learner.run(stored, label, known, end, warm_rows, window_rows, minimum, key, share, first)
+        for i in known:
+            runs[i].at = end
+        if len(known) == len(runs):
+            fits = {}
     folder, cuts, turn = new_path(spark, "grid"), [], 0
     while fits or any(r.at < end for r in runs):
         facts = _fit(stored, learner, label, fits, warm_rows, key, share, minimum, models)

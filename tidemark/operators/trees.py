@@ -29,7 +29,7 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import col
@@ -39,6 +39,7 @@ LOCAL_CELLS = 1 << 26
 BLOCK_ROWS = 1 << 16
 FOREST_SHARES = 16  # tasks that the trees of one forest are dealt to
 WRITE_ROUNDS = 10  # rounds between two written tables of margins
+MODEL_TASKS = 8_192  # most tasks that a table of models is dealt to
 MAX_LABELS = 1_000
 SCALE = float(1 << 20)
 CHUNK_CELLS = 1 << 22  # histogram cells searched at a time
@@ -416,10 +417,10 @@ def _local(rounds: Rounds, bins: np.ndarray, y: np.ndarray, row_hash: np.ndarray
 def _count(bins: np.ndarray, node: np.ndarray, channels: np.ndarray, wanted: list[int], n_bins: int) -> np.ndarray:
     slot_of = np.full(max(int(node.max(initial=0)), max(wanted)) + 1, -1)
     slot_of[wanted] = np.arange(len(wanted))
-    slot = slot_of[node]
+    slot = slot_of.take(node)
     here = np.flatnonzero((slot >= 0) & (channels[-1] > 0))
     if len(here) < len(slot):
-        bins, slot, channels = bins[:, here], slot[here], channels[:, here]
+        bins, slot, channels = bins.take(here, axis=1), slot.take(here), channels.take(here, axis=1)
     return histograms(bins, slot, channels, len(wanted), n_bins)
 
 
@@ -445,10 +446,9 @@ def fit_many(df: DataFrame, model: str, features: list[str], label: str, setting
     """
     spark = df.sparkSession
     ship_package(spark)
-    finite = lambda c: F.when(c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")), c).otherwise(0.0)
     names = [f"_f{j}" for j in range(len(features))]
     rows = df.filter(col(label).isNotNull()).select(
-        col(model).cast("string").alias("_model"), col(label).cast("string").alias("_label"), *[finite(col(f).cast("double")).alias(n) for f, n in zip(features, names)]
+        col(model).cast("string").alias("_model"), col(label).cast("string").alias("_label"), *[_finite(f).alias(n) for f, n in zip(features, names)]
     )
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -467,15 +467,57 @@ def fit_many(df: DataFrame, model: str, features: list[str], label: str, setting
     finally:
         rows.unpersist()
     for m, trees in fitted.items():
-        s = _of(settings, m)
-        trees.metadata |= {
-            "algorithm": s.algorithm, "params": {k: v for k, v in s.__dict__.items() if k != "seed"}, "random_seed": s.seed,
-            "training_samples": int(plans[m].rows.sum()), "n_features": len(features), "classes": trees.labels,
-        }
+        trees.metadata |= _facts(trees, plans[m])
         trees.metadata.setdefault("training_time_s", round(seconds, 3))
     return fitted
 
 
+def _finite(feature: str) -> Column:
+    c = col(feature).cast("double")
+    return F.when(c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")), c).otherwise(0.0)
+
+
+def _facts(trees: Trees, plan: _Plan) -> dict:
+    s = trees.settings
+    return {
+        "algorithm": s.algorithm, "params": {k: v for k, v in s.__dict__.items() if k != "seed"}, "random_seed": s.seed,
+        "training_samples": int(plan.rows.sum()), "n_features": len(trees.features), "classes": trees.labels,
+    }
+
+
+def fit_table(df: DataFrame, key: list[str], features: list[str], label: str, seed: str, settings: dict[int, Settings], models: int) -> DataFrame:
+    """Fit one boosted model per value of the columns ``key``: the key, ``model`` (bytes) and ``seconds`` as a table.
+
+    The same models as those of ``fit_many``, for thousands of models of few rows each: no model
+    passes the driver, a model is one task's work and its rows are shuffled once.  The column
+    ``seed`` of the key names the ``settings``; ``models`` is about how many there are.
+    """
+    ship_package(df.sparkSession)
+    names = [f"_f{j}" for j in range(len(features))]
+    rows = df.filter(col(label).isNotNull()).select(*key, col(label).cast("string").alias("_label"), *[_finite(f).alias(n) for f, n in zip(features, names)])
+    rows = rows.repartition(max(1, min(4 * models, MODEL_TASKS)), *key)
+    cuts = rows.groupBy(*key).agg(*_cuts(names, max(s.bins for s in settings.values())))
+    cuts = cuts.withColumnsRenamed({k: f"_of_{k}" for k in key})  # told apart from those of the rows
+
+    def fit(value: tuple, part: pd.DataFrame, cut: pd.DataFrame) -> pd.DataFrame:
+        began, named = time.perf_counter(), dict(zip(key, value))
+        s = settings[int(named[seed])]
+        plan = _plan(part["_label"].value_counts().to_dict(), [np.unique(np.array(cut[n].iloc[0], dtype=float)) for n in names], s)
+        y = part["_label"].map({x: i for i, x in enumerate(plan.labels)}).to_numpy(dtype=np.int16)
+        bins = binned([part[n].to_numpy(dtype=float) for n in names], plan.edges)
+        # rows of one label that agree in all bins are one entry
+        entries, n = np.unique(np.concatenate([y[:, None], bins.T.astype(np.int16)], axis=1), axis=0, return_counts=True)
+        rounds = plan.rounds(s, len(features))
+        _local(rounds, np.ascontiguousarray(entries[:, 1:].T.astype(np.uint8)), entries[:, 0].astype(np.int64), None, n.astype(float))
+        trees = _trees(rounds, plan, features, s)
+        trees.metadata |= _facts(trees, plan) | {"training_time_s": round(time.perf_counter() - began, 3)}
+        return pd.DataFrame({**{k: [v] for k, v in named.items()}, "model": [trees.to_bytes()], "seconds": [trees.metadata["training_time_s"]]})
+
+    types = dict(df.select(*key).dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in key) + ", model binary, seconds double"
+    return rows.groupBy(*key).cogroup(cuts.groupBy(*[f"_of_{k}" for k in key])).applyInPandas(fit, schema)
+
+
 def _of(settings: Settings | dict[str, Settings], model: str) -> Settings:
     return settings[model] if isinstance(settings, dict) else settings
 
@@ -489,16 +531,21 @@ def _plans(rows: DataFrame, names: list[str], settings) -> dict[str, _Plan]:
     for r in counts.collect():
         by_model.setdefault(r["_model"], {})[r["_label"]] = r["n"]
     most = max((_of(settings, m).bins for m in by_model), default=2)
-    points = F.array(*[F.lit(i / most) for i in range(1, most)])
-    sketches = rows.groupBy("_model").agg(*[F.percentile_approx(n, points, 20_000).alias(n) for n in names])
+    sketches = rows.groupBy("_model").agg(*_cuts(names, most))
     edges = {r["_model"]: [np.unique(np.array(r[n], dtype=float)) for n in names] for r in sketches.collect()}
-    plans = {}
-    for m, c in by_model.items():
-        labels, s = sorted(c), _of(settings, m)
-        n = np.array([c[x] for x in labels], dtype=float)
-        cuts = [_thin(e, s.bins - 1) for e in edges[m]]
-        plans[m] = _Plan(labels, n, n.sum() / (len(n) * n) if s.balanced else np.ones(len(n)), cuts)
-    return plans
+    return {m: _plan(c, edges[m], _of(settings, m)) for m, c in by_model.items()}
+
+
+def _plan(rows_of: dict[str, int], edges: list[np.ndarray], s: Settings) -> _Plan:
+    labels = sorted(rows_of)
+    n = np.array([rows_of[x] for x in labels], dtype=float)
+    return _Plan(labels, n, n.sum() / (len(n) * n) if s.balanced else np.ones(len(n)), [_thin(e, s.bins - 1) for e in edges])
+
+
+def _cuts(names: list[str], bins: int) -> list:
+    """Aggregates that give the bin edges of each feature."""
+    points = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+    return [F.percentile_approx(n, points, 20_000).alias(n) for n in names]
 
 
 def _thin(edges: np.ndarray, most: int) -> np.ndarray:
