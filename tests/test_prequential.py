@@ -138,3 +138,12 @@ def test_planned_runs_of_trees_need_no_turns(spark, monkeypatch):
     turns, turns_log = run()
     assert len(rows) == 3 * 2 * 1000 and rows == turns and log == turns_log
     assert {r["retrained"] for r in log} == {True, False}
+
+
+def test_a_quiet_stream_takes_few_turns(spark, monkeypatch):
+    """Stretches without a drift grow, so their number does not grow with the rows."""
+    calls, real = [], pq._score
+    monkeypatch.setattr(pq, "_score", lambda *a: calls.append(a[3]) or real(*a))
+    grid = pq.run_grid(spark.createDataFrame(stream(3500, turns=())), pq.CellLearner("cell"), "Label", [ad.DriftTriggered()], 500, detector_params={"delta": 1e-9}, stretch_rows=100)
+    assert grid.log.count() == 0 and grid.predictions.select("pos").distinct().count() == grid.predictions.count() == 3000
+    assert [z - a + 1 for ((_, a, z, _),) in calls] == [100, 200, 400, 800, 1500]

@@ -34,7 +34,9 @@ from tidemark.operators.models import settings, train_many
 from tidemark.operators.trees import LOCAL_CELLS, Trees, fit_table
 from tidemark.workspace import materialize, new_path, ship_package
 
-STRETCH_ROWS = 100_000  # rows a drift-triggered run is scored ahead; one task folds them
+STRETCH_ROWS = 100_000  # rows a drift-triggered run is scored ahead at first; one task folds a stretch
+MOST_STRETCHES = 16  # a stretch without a drift makes the next one twice as long, up to this many times the first
+SCORE_ROWS = 10_000  # positions one task scores for all runs
 WINDOW_CELLS = LOCAL_CELLS >> 4  # values (rows x features) of a window up to which planned models are fitted as a table
 AHEAD = 64  # models of one turn, over all runs
 
@@ -243,6 +245,7 @@ class Run:
     seed: int
     policy: RetrainPolicy
     at: int = 0  # next position to score
+    reach: int = 1  # length of the next stretch, in first lengths
     last: int = 0  # position of the last trigger
     model: str = ""
     detector: bytes = b""
@@ -346,6 +349,7 @@ def run_grid(
                 trigger, state = found[i]
                 run.detector = state
                 stop = stop if trigger is None else trigger
+                run.reach = min(2 * run.reach, MOST_STRETCHES) if trigger is None else 1
                 if trigger is not None:
                     run.last, run.due = trigger, trigger
                     fits[_name(run, trigger)] = (run.seed, max(0, trigger - window_rows + 1), trigger)
@@ -389,7 +393,7 @@ def _plan(run: Run, end: int, ahead: int, stretch_rows: int) -> tuple[int, list[
     if run.at >= end:
         return run.at - 1, []
     if run.policy.needs_drifts:
-        return min(run.at + stretch_rows, end) - 1, []
+        return min(run.at + run.reach * stretch_rows, end) - 1, []
     triggers = run.policy.planned(run.last, run.at, end, ahead)
     return (end - 1 if len(triggers) < ahead else triggers[-1]), triggers
 
@@ -445,7 +449,9 @@ def _score(stored: DataFrame, label: str, warm_rows: int, segments: list, models
                     "err": ((y != y_pred) & known).astype(np.int32), "confidence": confidence,
                 })
 
-    return stored.filter((F.col("pos") >= low) & (F.col("pos") <= high)).mapInPandas(run, SCORED)
+    # dealt anew, as a few files hold the whole stretch; runs that share a model are told apart by sorted positions
+    dealt = stored.filter((F.col("pos") >= low) & (F.col("pos") <= high)).repartition(-(-(high - low + 1) // SCORE_ROWS), F.floor(F.col("pos") / F.lit(SCORE_ROWS)))
+    return dealt.sortWithinPartitions("pos").mapInPandas(run, SCORED)
 
 
 def _fold(scored: DataFrame, runs: list[Run], segments: list) -> dict[int, tuple[int | None, bytes]]:
