@@ -489,15 +489,16 @@ def fit_table(df: DataFrame, key: list[str], features: list[str], label: str, se
     """Fit one boosted model per value of the columns ``key``: the key, ``model`` (bytes) and ``seconds`` as a table.
 
     The same models as those of ``fit_many``, for thousands of models of few rows each: no model
-    passes the driver, a model is one task's work and its rows are shuffled once.  The column
+    passes the driver, a model is one task's work.  The column
     ``seed`` of the key names the ``settings``; ``models`` is about how many there are.
     """
     ship_package(df.sparkSession)
     names = [f"_f{j}" for j in range(len(features))]
     rows = df.filter(col(label).isNotNull()).select(*key, col(label).cast("string").alias("_label"), *[_finite(f).alias(n) for f, n in zip(features, names)])
-    rows = rows.repartition(max(1, min(4 * models, MODEL_TASKS)), *key)
+    # sketched before the rows are dealt, as fit_many does: the sketch may move by a rank with the rows it is merged from
     cuts = rows.groupBy(*key).agg(*_cuts(names, max(s.bins for s in settings.values())))
     cuts = cuts.withColumnsRenamed({k: f"_of_{k}" for k in key})  # told apart from those of the rows
+    rows = rows.repartition(max(1, min(4 * models, MODEL_TASKS)), *key)
 
     def fit(value: tuple, part: pd.DataFrame, cut: pd.DataFrame) -> pd.DataFrame:
         began, named = time.perf_counter(), dict(zip(key, value))
