@@ -127,6 +127,41 @@ def test_line_dedup(docs, empty, rows):
     assert {r["text"] for r in cleaned.filter("doc_id = 8").collect()} == {""}
 
 
+def test_line_groups_make_no_pairs(spark, monkeypatch):
+    # 60 similar lines whose rarest shared tokens lead to an earlier line that is not similar
+    size, common = 60, [f"a{i}" for i in range(16)]
+    texts = [(0, " ".join(["r1", "r2", "r3", *(f"h{i}" for i in range(17))]))]
+    texts += [(1 + i, " ".join(["r1", "r2", "r3", *common, f"u{i}"])) for i in range(size)]
+    texts += [(1000 + i, "\n".join(" ".join(common[j : j + 3]) for j in range(0, 16, 3))) for i in range(size)]
+    written, settle = [], linejoin.settle
+
+    def counted(df, label):
+        out = settle(df, label)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(linejoin, "settle", counted)
+    got = {r["doc_id"]: r["removed_lines"] for r in linejoin.repeated_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got[0] == got[1] == got[1000] == [] and all(got[i] == [0] for i in range(2, 1 + size))
+    assert all(got[1000 + i] == list(range(6)) for i in range(1, size))
+    assert max(written) <= 1000  # a pair of each two would be 1,770
+
+
+def test_line_dedup_near_the_threshold(spark):
+    draw, lines = random.Random(11), []
+    for _ in range(30):
+        base = [f"t{draw.randrange(400)}" for _ in range(draw.randrange(4, 60))]
+        for _ in range(draw.randrange(1, 9)):
+            kept = [w for w in base if draw.random() > 0.08] + [f"t{draw.randrange(400)}" for _ in range(draw.randrange(0, 1 + len(base) // 6))]
+            lines.append(draw.choice([" ", "\t", "  ", "\r "]).join(draw.sample(kept, len(kept))))
+    draw.shuffle(lines)
+    sets = [frozenset(line.split()) for line in lines]
+    texts = [(i // 4, "\n".join(lines[i : i + 4])) for i in range(0, len(lines), 4)]
+    gone = {i for i, s in enumerate(sets) if s and any(u and len(u & s) * 5 >= len(u | s) * 4 for u in sets[:i])}
+    got = linejoin.repeated_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {4 * r["doc_id"] + i for r in got for i in r["removed_lines"]} == gone and len(gone) > 20
+
+
 def test_near_duplicates(docs, empty, rows):
     got = bagminhash.near_duplicates(docs).collect()
     bags = []

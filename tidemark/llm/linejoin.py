@@ -2,11 +2,12 @@
 
 Lines with one token set are one class.  Tokens are ordered by rarity, counted over all
 texts.  Two sets of similarity 0.8 or more share a token among their rarest ones, so only
-prefixes are joined.  A set first meets the earliest set of each of its buckets, which takes
-no more rows than there are prefix tokens; what that leaves open meets all earlier sets.
-The joins apply the length filter, the positional filter (what can still follow a
-shared token, which also cuts the smaller set to its shorter index prefix) and a parity bitmap (its bits bound the number of tokens that
-only one set has).  Survivors are verified on their real tokens.
+prefixes are joined, by token and class of length.  The joins apply the length filter, the
+positional filter (what can still follow a shared token) and a parity bitmap (its bits bound
+the number of tokens that only one set has).  All of them are semi joins: a set asks whether
+there is such a set and never lists them, so a group of similar sets makes as many rows as
+it has sets and prefix tokens.  The first join leaves the few sets that look similar to any
+other; only their lines are read again, and the last join compares their whole token sets.
 """
 
 from __future__ import annotations
@@ -16,56 +17,85 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import LAST, SPACE, documents, release, settle, unpacked, whole_rows
 
-RARITY_BITS = 18  # tokens are counted in so many hash buckets, which bounds the table of counts
-NOT_SPACE = r"[^\x20\x09-\x0D]"
+RARITY_BITS = 16  # tokens are counted in so many hash buckets, which bounds the table of counts
 LEAST_SIZE = 4  # smaller sets have no other set within 0.8
 PARITY = ("parity_0", "parity_1")  # a bitmap of 128 bits, in which every token turns one over
-PASSES = 4  # parts of the prefix join that run one after another
-TRIED_TOKENS = 3  # rarest tokens by which a set is filed for its first try; what this misses meets all sets later
+PASSES = 3  # parts of the first prefix join that run one after another
+STEP = 1.26  # from one class of length to the next; more than 1.25, so sets within 0.8 are at most one class apart
 
 
 def tokens(line: Column) -> Column:
     return F.array_remove(F.split(line, SPACE), "")
 
 
-def _rarity(texts: DataFrame) -> Column:
-    """A constant array: for each hash bucket how common its tokens are, in quarter octaves of their count.
+def _spaced(text: Column) -> Column:
+    """``text`` with a blank for each other white space but line feeds: a split at one character is the fastest."""
+    for c in ("\t", "\v", "\f", "\r"):
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
 
-    All tokens of all texts are counted; the table has a fixed number of entries.
+
+def _words(texts: DataFrame) -> DataFrame:
+    """One row per line with tokens: its place, the key of its token set and its 64-bit hashes in order, with a 0 between negative and positive ones."""
+    lines = texts.select("ord", "text_key", F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("line_no", "line"))
+    # the test on the line keeps the filter from computing the set a second time
+    lines = lines.filter(F.btrim("line") != "")
+    hashes = F.transform(F.array_remove(F.split("line", " "), ""), lambda w: F.xxhash64(w))
+    lines = lines.select("ord", "text_key", "line_no", F.sort_array(F.array_distinct(F.array_append(hashes, F.lit(0).cast("long")))).alias("words"))
+    return lines.select("ord", "text_key", "line_no", F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"), "words")
+
+
+def _rarity(words: DataFrame) -> Column:
+    """A constant array: for each hash bucket how common its tokens are, in quarter octaves of the lines they are in.
+
+    All tokens of all lines are counted; the table has a fixed number of entries, which are the upper 8 bits of a rank.
     """
-    words = texts.select(F.explode(F.split("text", SPACE)).alias("w")).filter("w <> ''")
-    counted = words.groupBy(F.expr(f"cast(xxhash64(w) & {(1 << RARITY_BITS) - 1} as int)").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    every = texts.sparkSession.range(1 << RARITY_BITS).select(F.col("id").cast("int").alias("b"))
+    counted = words.select(F.explode("words").alias("w")).filter("w <> 0").groupBy(F.expr(f"cast(w & {(1 << RARITY_BITS) - 1} as int)").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    every = words.sparkSession.range(1 << RARITY_BITS).select(F.col("id").cast("int").alias("b"))
     level = F.least(F.round(4 * F.log2(F.coalesce("n", F.lit(0)) + 1)).cast("int"), F.lit(127))
-    dense = every.join(counted, "b", "left").select(F.struct("b", level.alias("level")).alias("s"))
-    table = dense.agg(F.sort_array(F.collect_list("s")).alias("s")).select(F.array_join("s.level", ",")).first()[0]
-    return F.split(F.lit(table), ",").cast("array<int>")
-
-
-def _lines(texts: DataFrame) -> DataFrame:
-    """One row per line with tokens: its place, the key of its token set and its join prefix."""
-    rarity = _rarity(texts)
-    lines = texts.select("ord", "text_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    # the test on the raw line keeps the filter from computing the set a second time
-    lines = lines.filter(F.col("line").rlike(NOT_SPACE))
-    hashes = F.transform(F.split(F.btrim("line", F.lit(" \t\n\v\f\r")), SPACE), lambda w: F.xxhash64(w))
+    dense = every.join(counted, "b", "left").select(F.struct("b", F.shiftleft(level.cast("long"), 56).alias("rank")).alias("s"))
+    table = dense.agg(F.sort_array(F.collect_list("s")).alias("s")).select(F.array_join("s.rank", ",")).first()[0]
+    return F.split(F.lit(table), ",").cast("array<long>")
+
+
+def _lines(words: DataFrame) -> DataFrame:
+    """One row per line with tokens: its place, the key of its token set, its parity bitmap and its join prefix."""
+    rarity = _rarity(words)
     # rarity first, the hash settles ties; the same token has the same rank everywhere
-    rank = lambda h: F.shiftleft(F.coalesce(F.get(rarity, h.bitwiseAND((1 << RARITY_BITS) - 1).cast("int")), F.lit(0)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    ranked = lines.select("ord", "text_key", "line_no", F.sort_array(F.array_distinct(F.transform(hashes, rank))).alias("set"))
-    n = F.size("set")
-    prefix = F.when(n < LEAST_SIZE, F.lit(0)).otherwise(n - F.expr("(4 * size(set) + 4) div 5").cast("int") + 1)
+    rank = lambda h: F.coalesce(F.get(rarity, h.bitwiseAND((1 << RARITY_BITS) - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 8)), F.lit(0).cast("long"))
+    zero, n = F.array_position("words", F.lit(0).cast("long")).cast("int"), F.size("words") - 1
+    ranks = F.sort_array(F.transform(F.array_remove("words", F.lit(0).cast("long")), rank))
+    ranked = words.select("ord", "text_key", "line_no", "k1", "k2", n.alias("n"), "words", zero.alias("zero"), ranks.alias("ranks"))
+    halves = (F.slice("words", F.lit(1), F.col("zero") - 1), F.slice("words", F.col("zero") + 1, F.col("n")))  # a word of the bitmap each
+    turned = lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int")))
+    prefix = F.when(F.col("n") < LEAST_SIZE, F.lit(0)).otherwise(F.col("n") - F.expr("(4 * n + 4) div 5").cast("int") + 1)
     return ranked.select(
-        "ord", "text_key", "line_no", n.alias("n"), F.xxhash64("set").alias("k1"), F.xxhash64(F.lit(1), "set").alias("k2"),
-        *[F.expr(f"aggregate(set, 0L, (a, x) -> if((x & 64) = {64 * w}, a ^ shiftleft(1L, cast(x & 63 as int)), a))").alias(p) for w, p in enumerate(PARITY)],
-        F.transform(F.slice("set", 1, prefix), lambda x: (x % 2147483647).cast("int")).alias("prefix"),
+        "ord", "text_key", "line_no", "n", "k1", "k2",
+        *[F.aggregate(half, F.lit(0).cast("long"), turned).alias(p) for p, half in zip(PARITY, halves, strict=True)],
+        F.transform(F.slice("ranks", F.lit(1), prefix), lambda x: (x % 2147483647).cast("int")).alias("prefix"),
     )
 
 
-def _prefixes(sets: DataFrame, most: int | None = None) -> DataFrame:
-    """One row per token in the join prefix of a set, or per each of its ``most`` rarest tokens."""
-    prefix = F.slice("prefix", 1, most) if most else F.col("prefix")
-    kept = [c for c in sets.columns if c in ("id", "n", *PARITY, "open")]
-    return sets.filter(F.col("n") >= LEAST_SIZE).select(*kept, F.posexplode(prefix).alias("i", "token"))
+def _filed(sets: DataFrame, *more: Column, turn: int | None = None) -> DataFrame:
+    """One row per set (``id``) and bucket: its prefix tokens in its own class of length, and in the next class as the smaller set.
+
+    ``rest`` tokens of the set follow from this one on, itself included.  As the smaller of
+    two sets, a set shares one of its first n - need(n, n) + 1 tokens or is not similar.
+    ``turn`` takes the tokens of one pass only.
+    """
+    length = F.floor(F.log("n") / F.log(F.lit(STEP))).cast("int")
+    own = sets.filter(F.col("n") >= LEAST_SIZE).select("id", "n", *PARITY, "prefix", length.alias("length"), F.posexplode("prefix").alias("i", "token"))
+    if turn is not None:
+        own = own.filter(F.pmod("token", F.lit(PASSES)) == turn)
+    smaller = F.col("i") <= F.col("n") - F.expr("(8 * n + 8) div 9")
+    classes = F.when(smaller, F.array("length", F.col("length") + 1)).otherwise(F.array("length"))
+    filed = own.withColumn("length", F.explode(classes))
+    return filed.select(F.hash("token", "length").alias("bucket"), "id", "n", (F.col("n") - F.col("i")).alias("rest"), *PARITY, *more)
+
+
+def _other(rows: DataFrame) -> DataFrame:
+    """The same rows as the other side of a join: all names end in _e."""
+    return rows.select(*[F.col(c).alias(f"{c}_e") for c in rows.columns])
 
 
 def _need() -> Column:
@@ -80,29 +110,33 @@ def _apart() -> Column:
 
 
 def _fits() -> Column:
-    """Whether a later set (n, i, parity) and an earlier one (the same with _e) that share a token can still be similar."""
+    """Whether lengths and parity of two rows of a bucket let their sets be similar."""
     lengths = (F.col("n") * 5 >= F.col("n_e") * 4) & (F.col("n_e") * 5 >= F.col("n") * 4)
-    follow = F.least(F.col("n") - F.col("i"), F.col("n_e") - F.col("i_e"))
-    return lengths & (follow >= _need()) & (_apart() <= F.col("n") + F.col("n_e") - 2 * _need())
+    return (F.col("bucket") == F.col("bucket_e")) & lengths & (_apart() <= F.col("n") + F.col("n_e") - 2 * _need())
+
+
+def _follows() -> Column:
+    """Whether enough tokens follow the shared one in both sets."""
+    return F.least("rest", "rest_e") >= _need()
 
 
-def _first_tries(sets: DataFrame) -> DataFrame:
-    """For each set at most one pair (late, early): of the earliest sets of its buckets the one that looks closest.
+def _any(rows: DataFrame, condition: Column, label: str, *columns: str) -> DataFrame:
+    """``columns`` of the rows for which another row meets the condition, without repetition, as a written table.
 
-    A bucket holds the sets that share one of their rarest tokens and are about as long.
-    Only its earliest set meets the others, so the rows are few, however many similar sets
-    meet in a bucket.
+    The join stays above the columns of ``rows``: both of its sides are the same rows then,
+    which are made and shuffled once.
     """
-    members = _prefixes(sets, TRIED_TOKENS).withColumn("length", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
-    heads = members.groupBy("token", "length").agg(
-        F.min("id").alias("early"), *[F.min_by(c, "id").alias(f"{c}_e") for c in ("n", "i", *PARITY)], F.count(F.lit(1)).alias("sets")
-    )
-    met = members.join(heads.filter("sets > 1"), ["token", "length"]).filter((F.col("early") < F.col("id")) & _fits())
-    return met.groupBy(F.col("id").alias("late")).agg(F.min_by("early", _apart()).alias("early"))
+    conf, name = rows.sparkSession.conf, "spark.sql.optimizer.excludedRules"
+    before = conf.get(name, None)
+    conf.set(name, ",".join(filter(None, [before, "org.apache.spark.sql.catalyst.optimizer.PushDownLeftSemiAntiJoin"])))
+    try:
+        return settle(rows.join(_other(rows), condition, "left_semi").select(*columns).distinct(), label)
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
 
 
-def _other_tries(sets: DataFrame) -> DataFrame:
-    """All pairs (late, early) that pass the filters, for the sets that are ``open``.
+def _members(sets: DataFrame) -> DataFrame:
+    """Ids of the sets for which some other set passes all filters.
 
     Tokens are dealt to ``PASSES`` passes by their hash and the shuffle files of a pass are
     given back before the next one, as the prefixes together are larger than the texts.
@@ -110,46 +144,40 @@ def _other_tries(sets: DataFrame) -> DataFrame:
     """
     found = []
     for turn in range(PASSES):
-        rows = _prefixes(sets).filter(F.pmod("token", F.lit(PASSES)) == turn)
-        early = rows.select("token", F.col("id").alias("early"), *[F.col(c).alias(f"{c}_e") for c in ("n", "i", *PARITY)])
-        met = rows.join(early, "token").filter(F.col("open") & (F.col("early") < F.col("id")) & _fits())
-        found.append(settle(met.select(F.col("id").alias("late"), "early").distinct(), "line-pairs"))
+        found.append(_any(_filed(sets, turn=turn), _fits() & (F.col("id") != F.col("id_e")) & _follows(), "similar-lines", "id"))
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    return every.distinct()
+    every = settle(every.distinct(), "similar-lines")
+    release(*found)
+    return every
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """``late`` of the pairs whose token sets really have a similarity of 0.8 or more."""
-    wanted = pairs.select(F.col("late").alias("id")).union(pairs.select("early")).distinct()
-    wanted = settle(wanted.join(sets.select("id", "first.*"), "id"), "wanted-lines")
-    by_text = wanted.groupBy("ord", "text_key").agg(F.collect_list(F.struct("line_no", "id")).alias("places"))
+def _with_tokens(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """``members`` with their real token set (``set``: 64-bit hashes), read from their first line."""
+    by_text = members.groupBy("first.ord", "first.text_key").agg(F.collect_list(F.struct("first.line_no", "id")).alias("places"))
     chosen = texts.join(by_text, ["ord", "text_key"]).select(F.split("text", "\n").alias("lines"), F.explode("places").alias("p"))
-    lines = chosen.select("p.id", F.array_distinct(tokens(F.get("lines", F.col("p.line_no")))).alias("set"))
-    lines = settle(lines.dropDuplicates(["id"]), "token-sets")  # rows that repeat id and text give the same line
-    side = lambda x: lines.select(F.col("id").alias(x), F.col("set").alias(f"s_{x}"))
-    full = pairs.join(side("early"), "early").join(side("late"), "late")
-    sized = full.select("late", F.size(F.array_intersect("s_early", "s_late")).alias("both"), (F.size("s_early") + F.size("s_late")).alias("sum"))
-    held = settle(sized.filter("both * 5 >= (sum - both) * 4").select("late").distinct(), "later-sets")
-    release(wanted, lines)
-    return held
+    lines = chosen.select("p.id", F.array_distinct(F.transform(tokens(F.get("lines", F.col("p.line_no"))), lambda w: F.xxhash64(w))).alias("set"))
+    return members.join(lines.dropDuplicates(["id"]), "id")  # rows that repeat id and text give the same line
 
 
 def _later(sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """Ids of the sets that have an earlier set within 0.8; ids ascend with the first place of a set.
-
-    Most copies of a group are near its first set, so each set is tried with one earlier set.
-    Only those that this does not settle meet all earlier sets of their buckets.
-    """
-    tried = settle(_first_tries(sets), "first-tries")
-    held = _similar(tried, sets, texts)
-    settled = sets.select("id", "n", *PARITY, "prefix").join(held.select(F.col("late").alias("id"), F.lit(False).alias("open")), "id", "left")
-    pairs = _other_tries(settled.withColumn("open", F.coalesce("open", F.lit(True)))).join(tried, ["late", "early"], "left_anti")
-    pairs = settle(pairs, "line-pairs")
-    more = _similar(pairs, sets, texts)
-    release(tried, pairs)
-    return held.unionByName(more).withColumnRenamed("late", "id")
+    """The keys (k1, k2) of the sets that have an earlier set within 0.8."""
+    found = _members(sets.withColumnRenamed("k1", "id"))
+    few = sets.join(found.withColumnRenamed("id", "k1"), "k1", "left_semi")
+    placed = few.repartitionByRange("first.ord", "first.text_key", "first.line_no").sortWithinPartitions("first")
+    placed = settle(placed.withColumn("id", F.monotonically_increasing_id()), "line-members")  # ids ascend with the first place
+    members = settle(_with_tokens(placed, texts), "line-members")
+    # a pair is looked at under the first token that it shares
+    rows = _filed(members, F.expr("slice(prefix, 1, i)").alias("before"))
+    first = ~F.arrays_overlap("before", "before_e")
+    met = _any(rows, _fits() & (F.col("id") != F.col("id_e")) & _follows() & first, "shared-tokens", "bucket", "id")
+    whole = met.join(members.select("id", "n", *PARITY, "set"), "id")
+    alike = F.size(F.array_intersect("set", "set_e")) >= _need()
+    held = _any(whole, _fits() & (F.col("id_e") < F.col("id")) & alike, "later-sets", "id")
+    later = settle(members.select("id", "k1", "k2").join(held, "id", "left_semi").select("k1", "k2"), "later-sets")
+    release(found, placed, members, met, held)
+    return later
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -165,17 +193,18 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """
     plain = documents(docs)
     texts = plain.select(F.coalesce("doc_id", F.lit(LAST)).alias("ord"), F.xxhash64("text").alias("text_key"), "text")
-    lines = settle(_lines(texts), "lines")
+    words = settle(_words(texts), "line-words")
+    lines = settle(_lines(words), "lines")
+    release(words)
     first = F.min(F.struct("ord", "text_key", "line_no", "n", *PARITY, "prefix")).alias("m")
     sets = lines.groupBy("k1", "k2").agg(first, F.count(F.lit(1)).alias("lines"))
     sets = sets.select("k1", "k2", "lines", "m.n", *[f"m.{p}" for p in PARITY], "m.prefix", F.struct("m.ord", "m.text_key", "m.line_no").alias("first"))
-    placed = sets.repartitionByRange("first.ord", "first.text_key", "first.line_no").sortWithinPartitions("first")
-    sets = settle(placed.withColumn("id", F.monotonically_increasing_id()), "line-sets")
+    sets = settle(sets, "line-sets")
     slim = settle(lines.select("ord", "text_key", "line_no", "k1", "k2"), "lines")
     release(lines)
     later = _later(sets, texts)
 
-    named = sets.select("id", "k1", "k2", "lines", "first").join(later.withColumn("near", F.lit(True)), "id", "left")
+    named = sets.select("k1", "k2", "lines", "first").join(later.withColumn("near", F.lit(True)), ["k1", "k2"], "left")
     named = named.select("k1", "k2", "lines", "first", F.coalesce("near", F.lit(False)).alias("near"))
     named = settle(named.filter("near or lines > 1").drop("lines"), "named-sets")  # no other set loses a line
 
@@ -186,7 +215,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     gone = gone.groupBy("ord", "text_key").agg(
         F.sort_array(F.collect_set("line_no")).alias("removed_lines"), F.size(F.collect_set(F.when(F.col("near"), F.col("line_no")))).alias("n_near")
     )
-    feeds = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
+    feeds = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1
     rows = plain.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("ord"), F.xxhash64("text").alias("text_key"), feeds.cast("long").alias("n_lines"))
     out = rows.join(gone, ["ord", "text_key"], "left")
     none = F.array().cast("array<int>")
