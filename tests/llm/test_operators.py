@@ -129,10 +129,10 @@ def test_line_dedup(docs, empty, rows):
 
 def test_line_groups_make_no_pairs(spark, monkeypatch):
     # 60 similar lines whose rarest shared tokens lead to an earlier line that is not similar
-    size, common = 60, [f"a{i}" for i in range(16)]
-    texts = [(0, " ".join(["r1", "r2", "r3", *(f"h{i}" for i in range(17))]))]
+    size, common, others = 60, [f"a{i}" for i in range(16)], [f"h{i}" for i in range(17)]
+    texts = [(0, " ".join(["r1", "r2", "r3", *others]))]
     texts += [(1 + i, " ".join(["r1", "r2", "r3", *common, f"u{i}"])) for i in range(size)]
-    texts += [(1000 + i, "\n".join(" ".join(common[j : j + 3]) for j in range(0, 16, 3))) for i in range(size)]
+    texts += [(1000 + i, "\n".join(" ".join((common + others)[j : j + 3]) for j in range(0, 33, 3))) for i in range(size)]
     written, settle = [], linejoin.settle
 
     def counted(df, label):
@@ -143,7 +143,7 @@ def test_line_groups_make_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(linejoin, "settle", counted)
     got = {r["doc_id"]: r["removed_lines"] for r in linejoin.repeated_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert got[0] == got[1] == got[1000] == [] and all(got[i] == [0] for i in range(2, 1 + size))
-    assert all(got[1000 + i] == list(range(6)) for i in range(1, size))
+    assert all(got[1000 + i] == list(range(11)) for i in range(1, size))
     assert max(written) <= 1000  # a pair of each two would be 1,770
 
 
