@@ -147,6 +147,31 @@ def test_line_groups_make_no_pairs(spark, monkeypatch):
     assert max(written) <= 1000  # a pair of each two would be 1,770
 
 
+def test_line_joins_shuffle_their_rows_once(spark, monkeypatch):
+    plans, settle = [], linejoin.settle
+
+    def planned(df, label):
+        if label in ("similar-lines", "shared-tokens"):
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settle(df, label)
+
+    monkeypatch.setattr(linejoin, "settle", planned)
+    texts = [(i, " ".join(f"w{(i // 2 * 7 + k) % 90}" for k in range(12 + i % 3)) + "\na b c") for i in range(40)]
+    with linejoin._set(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        linejoin.repeated_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    joins = [plan.split("== Initial Plan ==")[0] for plan in plans if "LeftSemi" in plan]
+    assert len(joins) > 2 and all("ReusedExchange" in plan for plan in joins)
+
+
+def test_line_sets_are_in_the_next_class_only_if_a_set_there_can_be_similar(spark):
+    rows = [(i, n, 0, 0, list(range(n - -(-4 * n // 5) + 1))) for i, n in enumerate((10, 12, 13, 15))]
+    filed = linejoin._filed(spark.createDataFrame(rows, "id long, n int, parity_0 long, parity_1 long, prefix array<int>"))
+    own = {i: len(r) for i, *_, r in rows}
+    got = {r["id"]: r["count"] for r in filed.groupBy("id").count().collect()}
+    assert got[0] == own[0] and got[1] == own[1] and got[2] > own[2] and got[3] > own[3]  # sets of 16 are within 0.8 of 13, not of 12
+
+
 def test_line_dedup_near_the_threshold(spark):
     draw, lines = random.Random(11), []
     for _ in range(30):
