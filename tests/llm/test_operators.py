@@ -169,7 +169,7 @@ def test_line_sets_are_in_the_next_class_only_if_a_set_there_can_be_similar(spar
     filed = linejoin._filed(spark.createDataFrame(rows, "id long, n int, parity_0 long, parity_1 long, prefix array<int>"))
     own = {i: len(r) for i, *_, r in rows}
     got = {r["id"]: r["count"] for r in filed.groupBy("id").count().collect()}
-    assert got[0] == own[0] and got[1] == own[1] and got[2] > own[2] and got[3] > own[3]  # sets of 16 are within 0.8 of 13, not of 12
+    assert got[0] > own[0] and got[1] > own[1] and got[2] == own[2] and got[3] > own[3]  # 13 to 16 are one class
 
 
 def test_line_dedup_near_the_threshold(spark):
