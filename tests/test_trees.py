@@ -1,5 +1,7 @@
 """Histogram trees: one task against many, several labels, weights, missing values, importances."""
 
+import io
+import json
 from dataclasses import replace
 
 import numpy as np
@@ -132,3 +134,46 @@ def test_rows_equal_in_all_bins_are_one_entry(spark, monkeypatch, algorithm):
     monkeypatch.setattr(trees.Trees, "_of_bins", lambda self, bins: met.append(bins.shape[1]) or whole(self, bins))
     columns = [pdf["a"].to_numpy(), pdf["b"].to_numpy()]
     assert np.array_equal(entries.probabilities(columns), whole(entries, trees.binned(columns, entries.edges))) and met == [30]
+
+
+def test_models_of_a_table_are_grown_in_the_jvm(spark, monkeypatch):
+    """With two labels no model is grown by array operations, and all trees are those that these give."""
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({"g": np.arange(4000) % 2, "a": rng.normal(size=4000), "b": rng.integers(0, 9, 4000).astype(float)})
+    pdf["y"] = np.where(pdf["a"] + rng.normal(size=4000) > pdf["g"], "yes", "no")
+    pdf.loc[3, "a"], pdf.loc[4, "b"], pdf.loc[5, "y"] = np.nan, np.inf, None
+    pdf["draws"] = [[s for s in (7, 8) if rng.random() < 0.8] for _ in range(len(pdf))]
+    df = spark.createDataFrame(pdf).repartition(1).cache()  # the sketches of edges see one order of rows
+    how = {7: ml.settings(seed=7, maxIter=30), 8: ml.settings(seed=8, maxIter=12, maxLeaves=0, maxDepth=4, minInstancesPerNode=3)}
+
+    def fitted():
+        rows = trees.fit_table(df, ["g"], ["a", "b"], "y", "draws", how, 2).collect()
+        assert all(r["seconds"] > 0 for r in rows)
+        return {(r["g"], r["seed"]): trees.Trees.from_bytes(bytes(r["model"])) for r in rows}
+
+    with monkeypatch.context() as patch:
+        patch.setattr(trees, "_local", None)
+        there = fitted()
+    monkeypatch.setattr(trees.jvm, "function", lambda *a: None)
+    here = fitted()
+    assert set(here) == set(there) == {(g, s) for g in (0, 1) for s in (7, 8)}
+    for m, model in here.items():
+        other = there[m]
+        assert (len(model.trees), model.labels, model.settings) == (how[m[1]].trees, other.labels, other.settings)
+        for s, t, v, w in zip(model.trees, other.trees, model.values, other.values, strict=True):
+            assert all(np.array_equal(s[k], t[k]) for k in ("feature", "bin", "left")) and np.allclose(s["gain"], t["gain"]) and np.allclose(v, w)
+        assert model.metadata["training_samples"] == other.metadata["training_samples"] == sum(m[1] in d and y is not None for g, d, y in zip(pdf["g"], pdf["draws"], pdf["y"]) if g == m[0])
+
+
+def test_models_saved_as_archives_are_still_read():
+    how = trees.Settings(trees=1, bins=4)
+    tree = {"feature": np.array([0, 0, 0], dtype=np.int32), "bin": np.array([1, 4, 4], dtype=np.int32), "left": np.array([1, 1, 2], dtype=np.int32), "gain": np.array([2.0, 0, 0])}
+    model = trees.Trees(["n", "y"], ["a"], [np.array([0.0, 1.0])], [tree], [np.array([0.0, -1.0, 1.0])], np.zeros(1), how, {"x": 1})
+    head = {"labels": model.labels, "features": model.features, "settings": how.__dict__, "metadata": model.metadata, "trees": 1}
+    out = io.BytesIO()
+    arrays = {f"{k}0": v for k, v in tree.items()} | {"value0": model.values[0], "edges0": model.edges[0], "start": model.start}
+    np.savez_compressed(out, head=np.frombuffer(json.dumps(head).encode(), dtype=np.uint8), **arrays)
+    x = [np.array([-1.0, 0.5, 3.0])]
+    for raw in (out.getvalue(), model.to_bytes()):
+        again = trees.Trees.from_bytes(raw)
+        assert np.array_equal(again.probabilities(x), model.probabilities(x)) and again.settings == how and again.metadata == {"x": 1}

@@ -143,8 +143,8 @@ class TreeLearner(Learner):
         firsts = first()
         how = {s: settings(self.algorithm, seed=s, **self.params) for s in firsts}
         model = ["strategy", "trigger", "seed"]
-        chosen = plan.seen.join(F.broadcast(plan.passed), ["strategy", "trigger"]).select("strategy", "trigger", F.explode("seeds").alias("seed"), "y", *names)
-        models = materialize(fit_table(chosen, model, names, "y", "seed", how, plan.n_spans * len(how)), "models")
+        chosen = plan.seen.join(F.broadcast(plan.passed), ["strategy", "trigger"]).select("strategy", "trigger", "seeds", "y", *names)
+        models = materialize(fit_table(chosen, ["strategy", "trigger"], names, "y", "seeds", how, plan.n_spans), "models")
         begin = spark.createDataFrame([(s, bytearray(m.to_bytes())) for s, m in firsts.items()], "seed long, model binary")  # one row per seed
         begin = begin.join(plan.runs, "seed").select("run", F.lit(-1).cast("long").alias("trigger"), "model")
         held = begin.unionByName(models.join(plan.runs, ["strategy", "seed"]).select("run", "trigger", "model"))

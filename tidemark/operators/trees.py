@@ -31,7 +31,9 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from tidemark import jvm
 from tidemark.functions.expressions import col
 from tidemark.workspace import materialize, ship_package
 
@@ -40,6 +42,7 @@ BLOCK_ROWS = 1 << 16
 FOREST_SHARES = 16  # tasks that the trees of one forest are dealt to
 WRITE_ROUNDS = 10  # rounds between two written tables of margins
 MODEL_TASKS = 8_192  # most tasks that a table of models is dealt to
+JVM_CELLS = 1 << 22  # histogram cells of a tree's leaves up to which the JVM grows it, 16 bytes each
 MAX_LABELS = 1_000
 SCALE = float(1 << 20)
 CHUNK_CELLS = 1 << 22  # histogram cells searched at a time
@@ -317,6 +320,10 @@ def softmax(margin: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=0)
 
 
+_MARK = b"tidemark"
+_NODE = [("feature", "<i4"), ("bin", "<i4"), ("left", "<i4"), ("gain", "<f8")]
+
+
 @dataclass
 class Trees:
     """A fitted model: labels, features, bin edges and all trees."""
@@ -366,15 +373,49 @@ class Trees:
         return out / out.sum() if out.sum() else out
 
     def to_bytes(self) -> bytes:
-        arrays = {f"{name}{i}": tree[name] for i, tree in enumerate(self.trees) for name in ("feature", "bin", "left", "gain")}
-        arrays |= {f"value{i}": v for i, v in enumerate(self.values)} | {f"edges{i}": e for i, e in enumerate(self.edges)} | {"start": self.start}
-        head = {"labels": self.labels, "features": self.features, "settings": self.settings.__dict__, "metadata": self.metadata, "trees": len(self.trees)}
-        out = io.BytesIO()
-        np.savez_compressed(out, head=np.frombuffer(json.dumps(head).encode(), dtype=np.uint8), **arrays)
-        return out.getvalue()
+        """A head (everything but the trees) and a body: numbers of trees and nodes, nodes per tree, then each array over all nodes."""
+        arrays = [np.concatenate([np.ravel(t[name]) for t in self.trees], dtype=kind) if self.trees else np.empty(0) for name, kind in _NODE]
+        values = np.concatenate([np.ravel(v) for v in self.values]) if self.values else np.empty(0)
+        sizes = np.array([len(t["left"]) for t in self.trees], dtype="<i4")
+        body = np.array([len(sizes), sizes.sum()], dtype="<i4").tobytes() + sizes.tobytes()
+        return self.head() + body + b"".join(a.tobytes() for a in arrays) + values.astype("<f8").tobytes()
+
+    def head(self) -> bytes:
+        facts = {
+            "labels": self.labels, "features": self.features, "settings": self.settings.__dict__, "metadata": self.metadata,
+            "edges": [len(e) for e in self.edges], "start": len(self.start),
+        }
+        text = json.dumps(facts).encode()
+        numbers = np.concatenate([*self.edges, self.start]).astype("<f8").tobytes()
+        return _MARK + np.array([len(text)], dtype="<i4").tobytes() + text + numbers
 
     @staticmethod
     def from_bytes(raw: bytes) -> Trees:
+        if not raw.startswith(_MARK):
+            return Trees._from_archive(raw)
+        at = 0
+
+        def take(kind: str, n: int) -> np.ndarray:
+            nonlocal at
+            at, start = at + n * np.dtype(kind).itemsize, at
+            return np.frombuffer(raw, kind, n, start)
+
+        take("u1", len(_MARK))
+        head = json.loads(take("u1", int(take("<i4", 1)[0])).tobytes())
+        edges, start = [take("<f8", n) for n in head["edges"]], take("<f8", head["start"])
+        n, nodes = take("<i4", 2).tolist()
+        ends = np.cumsum(take("<i4", n)).tolist()
+        spans = list(zip([0, *ends], ends))
+        arrays = {name: take(kind, nodes) for name, kind in _NODE}
+        values = np.frombuffer(raw, "<f8", -1, at)
+        if head["settings"]["algorithm"] == "rf":  # one value per label
+            values = values.reshape(nodes, len(head["labels"]))
+        trees = [{name: x[a:b] for name, x in arrays.items()} for a, b in spans]
+        return Trees(head["labels"], head["features"], edges, trees, [values[a:b] for a, b in spans], start, Settings(**head["settings"]), head["metadata"])
+
+    @staticmethod
+    def _from_archive(raw: bytes) -> Trees:
+        """As models were saved before: an archive of arrays, four per tree."""
         with np.load(io.BytesIO(raw)) as a:
             head = json.loads(a["head"].tobytes())
             trees = [{name: a[f"{name}{i}"] for name in ("feature", "bin", "left", "gain")} for i in range(head["trees"])]
@@ -485,38 +526,82 @@ def _facts(trees: Trees, plan: _Plan) -> dict:
     }
 
 
-def fit_table(df: DataFrame, key: list[str], features: list[str], label: str, seed: str, settings: dict[int, Settings], models: int) -> DataFrame:
-    """Fit one boosted model per value of the columns ``key``: the key, ``model`` (bytes) and ``seconds`` as a table.
+def fit_table(df: DataFrame, key: list[str], features: list[str], label: str, draws: str, settings: dict[int, Settings], models: int) -> DataFrame:
+    """Fit boosted models per value of the columns ``key``, one per seed: the key, ``seed``, ``model`` (bytes) and ``seconds`` as a table.
 
     The same models as those of ``fit_many``, for thousands of models of few rows each: no model
-    passes the driver, a model is one task's work.  The column
-    ``seed`` of the key names the ``settings``; ``models`` is about how many there are.
+    passes the driver, those of a key are one task's work.  The array ``draws`` has the seeds whose
+    model is fitted on a row, out of those that ``settings`` names; ``models`` is about how many
+    keys there are.  Models for two labels are grown in the JVM (``Boost.java``) if it compiles there.
     """
-    ship_package(df.sparkSession)
-    names = [f"_f{j}" for j in range(len(features))]
-    rows = df.filter(col(label).isNotNull()).select(*key, col(label).cast("string").alias("_label"), *[_finite(f).alias(n) for f, n in zip(features, names)])
+    spark = df.sparkSession
+    ship_package(spark)
+    names, seeds = [f"_f{j}" for j in range(len(features))], sorted(settings)
+    rows = df.filter(col(label).isNotNull()).select(*key, col(label).cast("string").alias("_label"), col(draws).alias("_draws"), *[_finite(f).alias(n) for f, n in zip(features, names)])
     # sketched before the rows are dealt, as fit_many does: the sketch may move by a rank with the rows it is merged from
-    cuts = rows.groupBy(*key).agg(*_cuts(names, max(s.bins for s in settings.values())))
+    drawn = rows.select(*key, F.explode("_draws").alias("_seed"), *names)
+    cuts = drawn.groupBy(*key, "_seed").agg(*_cuts(names, max(s.bins for s in settings.values())))
     cuts = cuts.withColumnsRenamed({k: f"_of_{k}" for k in key})  # told apart from those of the rows
+    # a row goes to its task once, with a column per seed
+    rows = rows.select(*key, "_label", *names, *[F.array_contains("_draws", F.lit(s)).alias(f"_d{i}") for i, s in enumerate(seeds)])
     rows = rows.repartition(max(1, min(4 * models, MODEL_TASKS)), *key)
+    grow = jvm.function(spark, __package__, "Boost", StructType.fromDDL("trees binary, seconds double"))
+    native = grow is not None
 
     def fit(value: tuple, part: pd.DataFrame, cut: pd.DataFrame) -> pd.DataFrame:
-        began, named = time.perf_counter(), dict(zip(key, value))
-        s = settings[int(named[seed])]
-        plan = _plan(part["_label"].value_counts().to_dict(), [np.unique(np.array(cut[n].iloc[0], dtype=float)) for n in names], s)
-        y = part["_label"].map({x: i for i, x in enumerate(plan.labels)}).to_numpy(dtype=np.int16)
-        bins = binned([part[n].to_numpy(dtype=float) for n in names], plan.edges)
-        # rows of one label that agree in all bins are one entry
-        entries, n = np.unique(np.concatenate([y[:, None], bins.T.astype(np.int16)], axis=1), axis=0, return_counts=True)
-        rounds = plan.rounds(s, len(features))
-        _local(rounds, np.ascontiguousarray(entries[:, 1:].T.astype(np.uint8)), entries[:, 0].astype(np.int64), None, n.astype(float))
-        trees = _trees(rounds, plan, features, s)
-        trees.metadata |= _facts(trees, plan) | {"training_time_s": round(time.perf_counter() - began, 3)}
-        return pd.DataFrame({**{k: [v] for k, v in named.items()}, "model": [trees.to_bytes()], "seconds": [trees.metadata["training_time_s"]]})
+        named, out = dict(zip(key, value)), []
+        codes, known = pd.factorize(part["_label"], sort=True)
+        columns = [part[n].to_numpy(dtype=float) for n in names]
+        for at, seed in enumerate(cut["_seed"].tolist()):
+            began, s = time.perf_counter(), settings[seed]
+            mine = np.flatnonzero(part[f"_d{seeds.index(seed)}"].to_numpy(dtype=bool))
+            per_label = np.bincount(codes[mine], minlength=len(known))
+            here = np.flatnonzero(per_label)  # labels that this draw has
+            y = np.searchsorted(here, codes[mine])
+            plan = _plan(dict(zip(known[here], per_label[here].tolist())), [np.unique(np.array(cut[n].iloc[at], dtype=float)) for n in names], s)
+            bins = binned([c[mine] for c in columns], plan.edges)
+            y, bins, n = _entries(y, bins)
+            rounds = plan.rounds(s, len(features))
+            trees, packed = _trees(rounds, plan, features, s), _packed(rounds, bins, y, n, plan) if native else None
+            if packed is None:
+                _local(rounds, bins, y, None, n.astype(float))
+            seconds = round(time.perf_counter() - began, 3)
+            trees.metadata |= _facts(trees, plan) | ({"training_time_s": seconds} if packed is None else {})
+            out.append((*named.values(), seed, trees.to_bytes() if packed is None else trees.head(), packed, seconds))
+        return pd.DataFrame(out, columns=[*named, "seed", "model", "packed", "seconds"])
 
     types = dict(df.select(*key).dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in key) + ", model binary, seconds double"
-    return rows.groupBy(*key).cogroup(cuts.groupBy(*[f"_of_{k}" for k in key])).applyInPandas(fit, schema)
+    schema = ", ".join(f"{k} {types[k]}" for k in key) + ", seed long, model binary, packed binary, seconds double"
+    fitted = rows.groupBy(*key).cogroup(cuts.groupBy(*[f"_of_{k}" for k in key])).applyInPandas(fit, schema)
+    if not native:
+        return fitted.drop("packed")
+    fitted = fitted.withColumn("grown", grow(F.col("packed")))
+    model = F.concat("model", F.coalesce("grown.trees", F.lit(b"")))
+    return fitted.select(*key, "seed", model.alias("model"), (F.col("seconds") + F.coalesce("grown.seconds", F.lit(0.0))).alias("seconds"))
+
+
+def _entries(y: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of one label that agree in all bins as one entry: labels, bins and number of rows."""
+    if len(bins) <= 6:  # all in one number
+        key = y.astype(np.uint64) << np.uint64(8 * len(bins))
+        for j, column in enumerate(bins):
+            key |= column.astype(np.uint64) << np.uint64(8 * j)
+        _, first, n = np.unique(key, return_index=True, return_counts=True)
+    else:
+        rows = np.concatenate([y[:, None].astype(np.int16), bins.T.astype(np.int16)], axis=1)
+        _, first, n = np.unique(rows, axis=0, return_index=True, return_counts=True)
+    return y[first].astype(np.int64), np.ascontiguousarray(bins[:, first]), n
+
+
+def _packed(rounds: Rounds, bins: np.ndarray, y: np.ndarray, n: np.ndarray, plan: _Plan) -> bytes | None:
+    """What ``Boost.java`` reads; nothing for models that it does not grow."""
+    s, widths = rounds.s, [len(e) + 1 for e in plan.edges]
+    leaves = min(s.leaves or 2**s.depth, 2**s.depth, len(y))
+    if s.forest or rounds.k != 2 or n.sum() >= 1 << 22 or leaves * sum(widths) > JVM_CELLS:
+        return None
+    whole = [len(y), len(bins), s.trees, s.depth, s.leaves, leaves, s.min_rows, max(2 * s.min_rows, s.min_split), s.bins]
+    parts = [np.array(whole, "<i4"), np.array([s.rate, *rounds.class_weight, rounds.start[0]], "<f8"), np.array(widths, "<i4")]
+    return b"".join(a.tobytes() for a in [*parts, bins, y.astype(np.uint8), n.astype("<i4")])
 
 
 def _of(settings: Settings | dict[str, Settings], model: str) -> Settings:
