@@ -177,3 +177,20 @@ def test_models_saved_as_archives_are_still_read():
     for raw in (out.getvalue(), model.to_bytes()):
         again = trees.Trees.from_bytes(raw)
         assert np.array_equal(again.probabilities(x), model.probabilities(x)) and again.settings == how and again.metadata == {"x": 1}
+
+
+@pytest.mark.parametrize("labels,leaves", [(2, 63), (3, 7), (2, 0)])
+def test_scoring_by_tables_equals_a_walk_down_the_trees(monkeypatch, labels, leaves):
+    rng = np.random.default_rng(6)
+    edges = [np.arange(n, dtype=float) for n in (254, 0, 30)]  # the second feature has one bin
+    bins, y = np.stack([rng.integers(0, len(e) + 1, 2000) for e in edges]).astype(np.uint8), rng.integers(0, labels, 2000)
+    how, rows = trees.Settings(trees=5, leaves=leaves, min_rows=2), np.bincount(y).astype(float)
+    rounds = trees._Plan(list("abc"[:labels]), rows, np.ones(labels), edges).rounds(how, 3)
+    trees._local(rounds, bins, y, None)
+    model = trees.Trees(list("abc"[:labels]), list("xyz"), edges, rounds.trees, rounds.values, rounds.start, how)
+    walked, route = [], trees.route
+    monkeypatch.setattr(trees, "route", lambda *a, **kw: walked.append(1) or route(*a, **kw))
+    fast = model._of_bins(bins)
+    assert bool(walked) == (max(len(t["left"]) for t in rounds.trees) > 127)  # a longer row of leaves has no place in a table
+    monkeypatch.setattr(trees, "TABLE_FEATURES", 0)
+    assert np.array_equal(fast, model._of_bins(bins)) and walked

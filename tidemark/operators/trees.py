@@ -43,6 +43,8 @@ FOREST_SHARES = 16  # tasks that the trees of one forest are dealt to
 WRITE_ROUNDS = 10  # rounds between two written tables of margins
 MODEL_TASKS = 8_192  # most tasks that a table of models is dealt to
 JVM_CELLS = 1 << 22  # histogram cells of a tree's leaves up to which the JVM grows it, 16 bytes each
+TABLE_FEATURES = 16  # most features of boosted trees that are scored by tables
+TABLE_ROWS = 4_096  # rows scored by tables at a time
 MAX_LABELS = 1_000
 SCALE = float(1 << 20)
 CHUNK_CELLS = 1 << 22  # histogram cells searched at a time
@@ -320,6 +322,11 @@ def softmax(margin: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=0)
 
 
+def _place(bit: np.ndarray) -> np.ndarray:
+    """A place from 0 to 63 for each single bit, its own for every bit (a de Bruijn sequence)."""
+    return ((bit * np.uint64(0x03F79D71B4CB0A89)) >> np.uint64(58)).view(np.int64)
+
+
 _MARK = b"tidemark"
 _NODE = [("feature", "<i4"), ("bin", "<i4"), ("left", "<i4"), ("gain", "<f8")]
 
@@ -336,6 +343,7 @@ class Trees:
     start: np.ndarray
     settings: Settings
     metadata: dict = field(default_factory=dict)
+    _tables: tuple | None = field(default=None, init=False, repr=False, compare=False)
 
     def probabilities(self, columns: list[np.ndarray]) -> np.ndarray:
         """[row, label] of rows given as one array per feature; missing and infinite values count as 0."""
@@ -357,13 +365,61 @@ class Trees:
             return out / out.sum(axis=1, keepdims=True)
         per_round = len(self.start)
         margin = np.repeat(self.start[:, None], n, axis=1)
-        for i, (tree, value) in enumerate(zip(self.trees, self.values)):
-            margin[i % per_round] += value[route(tree, bins, levels=self.settings.depth)]
+        if len(bins) <= TABLE_FEATURES and 0 < max((len(t["left"]) for t in self.trees), default=0) < 2 * 64:
+            self._add_by_table(margin, bins)
+        else:
+            for i, (tree, value) in enumerate(zip(self.trees, self.values)):
+                margin[i % per_round] += value[route(tree, bins, levels=self.settings.depth)]
         if per_round > 1:
             return softmax(margin).T
         p = 1.0 / (1.0 + np.exp(-margin[0]))
         return np.stack([1 - p, p], axis=1)
 
+    def _add_by_table(self, margin: np.ndarray, bins: np.ndarray) -> None:
+        """Adds all trees to the margins: per tree one look-up for each feature instead of a walk down the levels."""
+        if self._tables is None:
+            self._tables = self._leaf_tables()
+        (reach, ends, values), per_round = self._tables, len(self.start)
+        spans = list(zip([0, *ends], ends))
+        for a in range(0, bins.shape[1], TABLE_ROWS):
+            columns = [c.astype(np.intp) for c in bins[:, a : a + TABLE_ROWS]]
+            for i, (of, value) in enumerate(zip(reach, values)):
+                left = of[slice(*spans[0])].take(columns[0])
+                for (start, end), column in zip(spans[1:], columns[1:]):
+                    left &= of[start:end].take(column)
+                left &= np.negative(left)  # the lowest bit
+                margin[i % per_round, a : a + TABLE_ROWS] += value.take(_place(left))
+
+    def _leaf_tables(self) -> tuple[np.ndarray, list[int], np.ndarray]:
+        """Per tree, feature and bin the leaves, as bits from left to right, that a row may still end in; per tree the leaf values.
+
+        A split that sends a row to the right rules out the leaves on its left, so the lowest bit left by all features is the row's leaf.
+        """
+        sizes = [len(t["left"]) for t in self.trees]
+        tree = np.repeat(np.arange(len(sizes)), sizes)
+        feature, cut, left = (np.concatenate([t[name] for t in self.trees]).astype(np.int64) for name in ("feature", "bin", "left"))
+        left += np.repeat(np.cumsum([0, *sizes[:-1]]), sizes)
+        inner = np.flatnonzero(left != np.arange(len(left)))
+        low, high = left[inner], left[inner] + 1
+        leaves, first = np.ones(len(left), dtype=np.int64), np.zeros(len(left), dtype=np.int64)
+        for _ in range(self.settings.depth):
+            leaves[inner] = leaves[low] + leaves[high]
+        for _ in range(self.settings.depth):
+            first[low], first[high] = first[inner], first[inner] + leaves[low]
+        one = np.uint64(1)
+        ruled_out = ((one << leaves[low].astype(np.uint64)) - one) << first[low].astype(np.uint64)
+        widths = np.array([len(e) + 1 for e in self.edges])
+        ends = np.cumsum(widths)
+        reach = np.full((len(sizes), int(ends[-1])), ~np.uint64(0))
+        met = cut[inner] + 1 < widths[feature[inner]]  # else no row goes right
+        at = (ends - widths)[feature[inner]] + cut[inner] + 1
+        np.bitwise_and.at(reach, (tree[inner][met], at[met]), ~ruled_out[met])
+        for start, end in zip((ends - widths).tolist(), ends.tolist()):
+            np.bitwise_and.accumulate(reach[:, start:end], axis=1, out=reach[:, start:end])
+        values, leaf = np.zeros((len(sizes), 64)), np.flatnonzero(left == np.arange(len(left)))
+        values[tree[leaf], _place(one << first[leaf].astype(np.uint64))] = np.concatenate(self.values)[leaf]
+        return reach, ends.tolist(), values
+
     def importances(self, kind: str = "gain") -> np.ndarray:
         """Share of each feature in the gain (or the number) of all splits."""
         out = np.zeros(len(self.features))
