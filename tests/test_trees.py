@@ -194,3 +194,14 @@ def test_scoring_by_tables_equals_a_walk_down_the_trees(monkeypatch, labels, lea
     assert bool(walked) == (max(len(t["left"]) for t in rounds.trees) > 127)  # a longer row of leaves has no place in a table
     monkeypatch.setattr(trees, "TABLE_FEATURES", 0)
     assert np.array_equal(fast, model._of_bins(bins)) and walked
+
+
+def test_a_key_whose_rows_no_seed_draws_has_no_model(spark, monkeypatch):
+    rows = [(g, float(i % 5), "yes" if i % 2 else "no", [1] if g else []) for g in (0, 1) for i in range(60)]
+    df = spark.createDataFrame(rows + [(1, 1.0, None, [1, 2]), (2, 1.0, "yes", [2])], "g int, a double, y string, draws array<long>")
+    how = {s: ml.settings(seed=s, maxIter=2) for s in (1, 2)}
+    for function in (trees.jvm.function, lambda *a: None):
+        monkeypatch.setattr(trees.jvm, "function", function)
+        found = {(r["g"], r["seed"]): trees.Trees.from_bytes(bytes(r["model"])) for r in trees.fit_table(df, ["g"], ["a"], "y", "draws", how, 3).collect()}
+        assert set(found) == {(1, 1), (2, 2)} and found[2, 2].labels == ["yes"] and not found[2, 2].trees
+        assert found[2, 2].probabilities([np.zeros(2)]).tolist() == [[1.0], [1.0]]
